@@ -128,16 +128,15 @@ class Page:
         link = np.where(chars > 0, np.minimum(2, 3 * linked // np.maximum(chars, 1)), 0)
         return np.stack([np.array(self.kind), length, link, (stop > 0) + 0], axis=1)
 
-    def seeds(self) -> np.ndarray | None:
-        """Labels where the page marks its article: inside it 1, elsewhere and in its menus, forms and the like 0."""
+    def seeds(self) -> list[int] | None:
+        """Labels where the page marks its article: CONTENT inside it, BOILERPLATE in menus, forms and the like and all
+        they hold, OUTSIDE elsewhere; None for a page that marks no article."""
         if POSITIVE not in self.kind:
             return None
-        out = np.zeros(len(self.parent), np.int64)
+        out = [OUTSIDE] * len(self.parent)
         for i in range(1, len(out)):
-            kind = self.kind[i]
-            out[i] = 0 if kind == NEGATIVE else 1 if kind == POSITIVE else (out[self.parent[i]])
-            if self.kind[self.parent[i]] == NEGATIVE and kind != POSITIVE:
-                out[i] = 0
+            up, kind = out[self.parent[i]], self.kind[i]
+            out[i] = BOILERPLATE if up == BOILERPLATE or kind == NEGATIVE else CONTENT if kind == POSITIVE else up
         return out
 
 
@@ -159,75 +158,65 @@ def kind_of(name: str, attributes: str) -> int:
     return kind
 
 
-#: Sizes of the features, and where each one's counts lie in the table of a model.
-_SIZES = (3, 5, 3, 2)
-#: Rows seen before any page: what the kinds stand for.
-_PRIOR = {("kind", 0, NEGATIVE): 20.0, ("kind", 1, POSITIVE): 20.0, ("kind", 0, NEUTRAL): 20.0, ("kind", 1, NEUTRAL): 20.0}
+OUTSIDE, CONTENT, BOILERPLATE = LABELS = (0, 1, 2)
+#: Features of a node besides its kind, and their sizes.
+_FEATURES = (("length", 5), ("link", 3), ("stop", 2))
+#: Counts held before any page is seen: what the kinds stand for, by the parent's label and the node's kind.
+_PRIOR = {("edge", 3 * up + kind, BOILERPLATE if up == BOILERPLATE or kind == NEGATIVE else CONTENT if kind == POSITIVE else up): 50.0 for up in LABELS for kind in (NEGATIVE, NEUTRAL, POSITIVE)}
+_ROOT = [0.9, 0.1, 0.0]
 
 
 def tally(pages: Iterator[Page]) -> Counter:
-    """Counts of features by label, and of labels by the parent's label and whether the parent is negative."""
+    """Counts of features by label, and of labels by the parent's label and the node's kind."""
     out: Counter[tuple] = Counter()
     for page in pages:
         y = page.seeds()
         if y is None:
             continue
         x = page.features()
-        for f, name in enumerate(("kind", "length", "link", "stop")):
-            for (a, b), n in Counter(zip(y.tolist(), x[:, f].tolist())).items():
+        for f, (name, _) in enumerate(_FEATURES):
+            for (a, b), n in Counter(zip(y, x[:, f + 1].tolist())).items():
                 out[name, a, b] += n
         for i in range(1, len(y)):
-            p = page.parent[i]
-            out["edge", int(page.kind[p] == NEGATIVE) * 2 + int(y[p]), int(y[i])] += 1
+            out["edge", 3 * y[page.parent[i]] + page.kind[i], y[i]] += 1
     return out
 
 
 class TreeModel:
-    """Potentials of nodes given their label and of labels given the parent's, from counts."""
+    """Potentials of nodes given their label, and of a node's label given its parent's and its kind, from counts."""
 
     def __init__(self, counts: dict[tuple[str, int, int], float]):
-        got = lambda name, a, b: counts.get((name, a, b), 0) + _PRIOR.get((name, a, b), 0) + 1.0
-        self.node = []
-        for name, size in zip(("kind", "length", "link", "stop"), _SIZES):
-            t = np.array([[got(name, a, b) for b in range(size)] for a in (0, 1)])
-            self.node.append(np.log(t / t.sum(axis=1, keepdims=True)))
-        t = np.array([[got("edge", a, b) for b in (0, 1)] for a in range(4)])
-        self.edge = (t / t.sum(axis=1, keepdims=True)).tolist()
+        got = lambda name, a, b: counts.get((name, a, b), 0) + _PRIOR.get((name, a, b), 0) + (1.0 if name != "edge" else 0.01)
+        table = lambda name, rows, columns: (t := np.array([[got(name, a, b) for b in range(columns)] for a in range(rows)])) / t.sum(axis=1, keepdims=True)
+        self.node = [np.log(table(name, 3, size)) for name, size in _FEATURES]
+        self.edge = table("edge", 9, 3).tolist()
 
     def marginals(self, page: Page) -> list[float]:
-        """P(content) of each node: messages go up from the leaves, then down from the root."""
+        """P(CONTENT) of each node: messages go up from the leaves, then down from the root."""
         x = page.features()
-        local = sum(t[:, x[:, f]] for f, t in enumerate(self.node)).T
+        local = sum(t[:, x[:, f + 1]] for f, t in enumerate(self.node)).T
         local = np.exp(local - local.max(axis=1, keepdims=True)).tolist()
-        n, parent, kind = len(local), page.parent, page.kind
+        n, parent, kind, edge = len(local), page.parent, page.kind, self.edge
         up = [list(v) for v in local]
-        message = [[1.0, 1.0] for _ in range(n)]
+        message: list[list[float]] = [[1.0, 1.0, 1.0]] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
-            p = parent[i]
-            e = 2 * (kind[p] == NEGATIVE)
-            u0, u1 = up[i]
-            a = self.edge[e][0] * u0 + self.edge[e][1] * u1
-            b = self.edge[e + 1][0] * u0 + self.edge[e + 1][1] * u1
-            s = a + b
-            message[i] = [a / s, b / s]
-            up[p][0] *= a / s
-            up[p][1] *= b / s
-            s = up[p][0] + up[p][1]
-            up[p][0] /= s
-            up[p][1] /= s
-        out = [0.0] * n
-        down = [[0.9, 0.1]] + [[1.0, 1.0]] * (n - 1)
+            u, k, at = up[i], kind[i], up[parent[i]]
+            m = [e[0] * u[0] + e[1] * u[1] + e[2] * u[2] for e in (edge[k], edge[3 + k], edge[6 + k])]
+            s = m[0] + m[1] + m[2]
+            message[i] = m = [v / s for v in m]
+            got = [at[0] * m[0], at[1] * m[1], at[2] * m[2]]
+            s = got[0] + got[1] + got[2]
+            at[:] = [v / s for v in got]
+        down: list[list[float]] = [_ROOT] * n
+        out = []
         for i in range(n):
             if i:
-                p = parent[i]
-                e = 2 * (kind[p] == NEGATIVE)
-                d0 = down[p][0] * up[p][0] / message[i][0]
-                d1 = down[p][1] * up[p][1] / message[i][1]
-                s = d0 + d1
-                d0, d1 = d0 / s, d1 / s
-                down[i] = [d0 * self.edge[e][0] + d1 * self.edge[e + 1][0], d0 * self.edge[e][1] + d1 * self.edge[e + 1][1]]
-            a, b = down[i][0] * up[i][0], down[i][1] * up[i][1]
-            out[i] = b / (a + b)
+                p, m, k = parent[i], message[i], kind[i]
+                d = [down[p][j] * up[p][j] / m[j] for j in LABELS]
+                s = d[0] + d[1] + d[2]
+                down[i] = [(d[0] * edge[k][j] + d[1] * edge[3 + k][j] + d[2] * edge[6 + k][j]) / s for j in LABELS]
+            both = [down[i][j] * up[i][j] for j in LABELS]
+            out.append(both[CONTENT] / sum(both))
         return out
 
 
