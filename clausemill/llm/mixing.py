@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WORD
+from clausemill.llm.common import WORD, tasks
 
 
 def _draw(*parts: Column) -> Column:
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3,
 
     pieces = laid.where("size > 0").withColumn("index", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block))
-    got = pieces.join(taken, same(pieces, taken, "source", "index")).select(pieces["source"], "lane", "start", (F.col("words") * F.col("times")).alias("words"))
+    # the planner takes what comes of the few rows of the plan for small; it grows with the words, so it isn't broadcast
+    got = pieces.join(taken.hint("merge"), same(pieces, taken, "source", "index")).select(pieces["source"], "lane", "start", (F.col("words") * F.col("times")).alias("words"))
     got = got.groupBy("source", "lane", "start").agg(F.sum("words").alias("taken"))
     full = laid.where("size > 0")
     full = full.join(got, same(full, got, "source", "lane", "start"), "left").select(full["doc_id"], full["source"], full["size"], F.coalesce(got["taken"], F.lit(0)).alias("taken"))
@@ -84,6 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3,
 def slot_table(plan: DataFrame, shards: int, seed: str) -> DataFrame:
     """source, t, shard, index: the slots of each source, their output shards and the blocks they take."""
     runs = plan.where("slots > 0").withColumn("step", F.explode(F.expr("sequence(0L, (slots - 1) div 4096)")))
+    runs = runs.repartition(tasks(plan.sparkSession), "source", "step")  # else the few rows of the plan make all slots in one task
     slots = runs.withColumn("t", F.explode(F.expr("sequence(step * 4096, least(slots, (step + 1) * 4096) - 1)")))
     slots = slots.withColumn("round", F.expr("t div blocks"))
     a, b = F.lit(1000003), _draw(F.lit(seed), F.col("name"), F.col("round").cast("string"))
