@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import id_text, small, texts
+from clausemill.llm.common import id_text, materialise, small, texts
 
 #: Groups that a neutral sentence may mention; terms of a set are swapped for one another.
 IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
@@ -77,19 +77,28 @@ def choose(bags: list[set[bytes]], y: np.ndarray, least: int, z: float) -> list[
     return sorted(out)
 
 
-def fit(sample: list[bytes], labels: list[int], penalty: float = 5.0, ridge: float = 3e-4, steps: int = 400, least: int = 4, z: float = 6.0, even: float = 0.5) -> Classifier:
-    """Train on texts with labels 0 and 1; even: how far the two labels are weighed alike, 0 to 1. Without labels of both kinds the score is their share (0.25 if none)."""
+def fit(sample: list[bytes], labels: list[int], least: int = 4, z: float = 6.0, **how: float) -> Classifier:
+    """Choose words and train on texts with labels 0 and 1, all in memory."""
     y = np.array(labels, float)
+    bags = [words(x) for x in sample]
+    vocabulary = sorted({*choose(bags, y, least, z), *(t for t in _SWAP if any(t in b for b in bags))}) if len(y) else []
+    at = {w: i for i, w in enumerate(vocabulary)}
+    return train(vocabulary, [sorted(at[w] for w in b & at.keys()) for b in bags], y, **how)
+
+
+def train(vocabulary: list[bytes], bags: list[list[int]], y: np.ndarray, penalty: float = 5.0, ridge: float = 3e-4, steps: int = 400, even: float = 0.5) -> Classifier:
+    """Train on the chosen words that each text holds; even: how far the two labels are weighed alike, 0 to 1.
+
+    Without labels of both kinds the score is their share (0.25 if none).
+    """
     if not len(y) or y.min() == y.max():
         p = 0.25 if not len(y) else min(0.99, max(0.01, float(y.mean())))
         return Classifier([], np.zeros(0), np.log(p / (1 - p)))
-    bags = [words(x) for x in sample]
-    vocabulary = choose(bags, y, least, z)
-    vocabulary = sorted({*vocabulary, *(t for t in _SWAP if any(t in b for b in bags))})
     at = {w: i for i, w in enumerate(vocabulary)}
-    rows = np.repeat(np.arange(len(bags)), [len(b & at.keys()) for b in bags])
-    cols = np.array([at[w] for b in bags for w in sorted(b & at.keys())], np.int64)
-    swaps = Counter((at[t], at[u]) for b in bags for t in b & _SWAP.keys() if t in at for u in _SWAP[t] if u in at and u not in b)
+    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    cols = np.array([i for b in bags for i in b], np.int64)
+    terms = {at[t]: [at[u] for u in _SWAP[t] if u in at] for t in _SWAP if t in at}
+    swaps = Counter((t, u) for b in bags for t in b if t in terms for u in terms[t] if u not in b)
     a = np.array([k[0] for k in swaps], np.int64)
     b = np.array([k[1] for k in swaps], np.int64)
     s = np.array(list(swaps.values()), float) / len(y)
@@ -115,28 +124,48 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 8000, max_bytes: int = 64 << 20, penalty: float = 5.0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 8000, penalty: float = 5.0, least: int = 4, z: float = 6.0) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     The classifier learns from labelled documents that are not held out, at most max_sample of them in the order of a
-    hash of doc_id and, of those, the first max_bytes of whole texts; it is fitted on the driver within that bound and
-    sent to the tasks with a few thousand words at most. Only the text is an input of the score. Null and empty texts
-    get the score of a text without any chosen word. Several labels for a document are as many training rows; null
-    labels are left out. Without labels the score is 0.25.
+    hash of doc_id. Tasks count the sample's words and stems by label, and Spark keeps those that tell the labels
+    apart; the driver sees which of these each sample text holds, never a text, fits the weights and sends them to the
+    tasks. Only the text is an input of the score. Null and empty texts get the score of a text without any chosen
+    word. Several labels for a document are as many training rows; null labels are left out. Without labels the score
+    is 0.25.
     """
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("held_out", is_held_out(F.col("doc_id")))
     marks = labels.where("toxic is not null").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")))
     picked = marks.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(max_sample)
-    sized = picked.join(rows.select("doc_id", "text"), "doc_id").select("text", "toxic", "order", F.octet_length("text").alias("size"))
-    sample, total = [], 0
-    for row in sized.toLocalIterator():
-        total += row["size"]
-        if total > max_bytes:
-            break
-        sample.append((row["order"], row["text"].encode(), int(row["toxic"])))
-    sample.sort()
-    model = spark.sparkContext.broadcast(fit([x for _, x, _ in sample], [y for _, _, y in sample], penalty))
+    sample = materialise(picked.join(rows.select("doc_id", "text"), "doc_id").select("order", F.col("toxic").cast("int").alias("toxic"), "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1 << 20):
+            held, toxic = Counter(), Counter()
+            for x, y in zip(texts(batch), batch.column("toxic").to_pylist()):
+                bag = words(x)
+                held.update(bag)
+                if y == 1:
+                    toxic.update(bag)
+            every = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([held[w] for w in every], pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], ["feature", "held", "toxic"])
+
+    n, t = sample.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
+    rate = t / max(1, n)
+    counted = sample.select("toxic", "text").mapInArrow(count, "feature binary, held long, toxic long").groupBy("feature").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic"))
+    far = F.abs(F.col("toxic") - F.col("held") * rate) >= z * F.sqrt(F.col("held") * rate * (1 - rate) + 0.25)
+    terms = F.col("feature").isin(*[F.lit(bytearray(t)) for t in _SWAP])
+    vocabulary = sorted(bytes(r["feature"]) for r in counted.where((F.col("held") >= least) & far | terms).select("feature").collect())
+    at = {w: i for i, w in enumerate(vocabulary)}
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1 << 20):
+            got = [sorted(at[w] for w in words(x) & at.keys()) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["order", "toxic", "bag"])
+
+    given = sorted((r["order"], r["toxic"], list(r["bag"])) for r in sample.mapInArrow(bags, "order long, toxic int, bag array<int>").collect())
+    model = spark.sparkContext.broadcast(train(vocabulary, [b for _, _, b in given], np.array([y for _, y, _ in given], float), penalty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
