@@ -1,11 +1,11 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
-import math
 import os
 import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -26,11 +26,11 @@ def duck():
 
 def rows(df):
     def plain(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or pd.isna(v):
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return bool(v)
-        return round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") and not math.isnan(float(v)) else str(v)
+        return round(float(v), 6) if isinstance(v, (int, float)) or type(v).__module__ == "numpy" else str(v)
 
     columns = sorted(df.columns)
     return columns, sorted((tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
