@@ -277,7 +277,7 @@ def _findings(spark: SparkSession, sf: str, raw: bool = True) -> DataFrame:
     )
 
 
-@query("runs_returned_model", "SELECT l_orderkey AS run_id, arg_min('m' || (l_suppkey % 5), l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) FILTER (WHERE l_returnflag <> 'R') AS model FROM lineitem GROUP BY 1")
+@query("runs_returned_model", "SELECT l_orderkey AS run_id, arg_min('m' || (l_suppkey % 5), l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) FILTER (WHERE l_returnflag <> 'R') AS model FROM lineitem GROUP BY 1")
 def returned_model(spark: SparkSession, sf: str) -> DataFrame:
     seq = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
     attempts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), seq.alias("seq"), (F.col("l_returnflag") != "R").alias("success"), F.concat(F.lit("m"), (F.col("l_suppkey") % 5).cast("string")).alias("model"))
