@@ -96,3 +96,33 @@ def repeated_queries(asks: DataFrame) -> DataFrame:
     """conv_id, searches, cache_hits: a query asked before in a run is answered from before, never across runs."""
     nth = F.row_number().over(Window.partitionBy("conv_id", F.sha2("text", 256)).orderBy("turn"))
     return asks.withColumn("nth", nth).groupBy("conv_id").agg(F.count_if(F.col("nth") == 1).alias("searches"), F.count_if(F.col("nth") > 1).alias("cache_hits"))
+
+
+def phrase_rules(queries: DataFrame, longest: int = 500) -> DataFrame:
+    """rule, key: blank phrases (null ones too) and those longer than allowed."""
+    blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")) == ""
+    rule = F.when(blank, "phrase_empty").when(F.length("text") > longest, "phrase_too_long")
+    return queries.select(rule.alias("rule"), F.col("query_id").cast("string").alias("key")).where("rule is not null")
+
+
+def spaces_agree(pairs: DataFrame, least: float = 0.99) -> DataFrame:
+    """pairs(key, a, b) with agree: cosine of at least `least`; empty or unequal vectors never agree."""
+    cosine = F.try_divide(dot(F.col("a"), F.col("b")), F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b"))))
+    ok = (F.size("a") == F.size("b")) & (F.size("a") > 0)
+    return pairs.select("key", F.coalesce(F.when(ok, cosine >= least), F.lit(False)).alias("agree"))
+
+
+def lookup(keys: DataFrame, units: DataFrame, snippet: int = 300) -> DataFrame:
+    """unit_id, snippet, error of each key: the first row of a unit that has more; an absent unit is an error."""
+    held = units.groupBy("unit_id").agg(F.min("text").alias("text"), F.lit(True).alias("held"))
+    joined = keys.select("unit_id").distinct().join(held, "unit_id", "left")
+    return joined.select("unit_id", F.substring("text", 1, snippet).alias("snippet"), F.when(F.col("held").isNull(), "unit_not_found").alias("error"))
+
+
+def place_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """request_id, n, error: answers are placed by index 0 to n - 1; a missing, foreign or repeated one is refused."""
+    r = responses.groupBy("request_id").agg(F.count(F.lit(1)).alias("got"), F.count_distinct("idx").alias("distinct"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    joined = requests.select("request_id", "n").join(r, "request_id", "left")
+    got = F.coalesce("got", F.lit(0))
+    error = F.when((F.col("low") < 0) | (F.col("high") >= F.col("n")), "index_out_of_range").when(F.col("distinct") < F.col("got"), "index_repeated").when(got < F.col("n"), "index_missing")
+    return joined.select("request_id", "n", error.alias("error"))

@@ -99,3 +99,88 @@ def fingerprint(df: DataFrame, keys: list[str], order: str, columns: list[str])
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
     return rows.select(*keys, F.sha2(F.array_join(F.col("rows.r"), "\n"), 256).alias("fingerprint"))
+
+
+def run_rules(attempts: DataFrame) -> DataFrame:
+    """rule, key, detail: every rule that an attempt breaks, one row each.
+
+    attempts(run_id, seq, tokens, code, cost, cost_known): counters are not negative, codes are snake case, and a cost
+    is there exactly when it is known. A null counter or code breaks no rule.
+    """
+    rules = F.array(
+        F.when(F.col("tokens") < 0, "negative_counter"),
+        F.when(~F.col("code").rlike("^[a-z][a-z0-9_]*$"), "bad_code"),
+        F.when(F.col("cost").isNotNull() != F.col("cost_known"), "cost_known_mismatch"),
+    )
+    broken = F.explode(F.filter(rules, lambda x: x.isNotNull()))
+    return attempts.select(broken.alias("rule"), F.col("run_id").cast("string").alias("key"), F.col("seq").cast("string").alias("detail"))
+
+
+def run_flags(runs: DataFrame, attempts: DataFrame) -> DataFrame:
+    """run_id, interrupted, metrics_available: whether a run was cut off, and whether every attempt reported tokens."""
+    a = attempts.groupBy("run_id").agg(F.bool_and(F.col("tokens").isNotNull()).alias("reported"))
+    joined = runs.join(a, "run_id", "left")
+    return joined.select("run_id", F.col("status").isin("running", "cancelled").alias("interrupted"), F.coalesce("reported", F.lit(False)).alias("metrics_available"))
+
+
+def attempt_outcomes(attempts: DataFrame, limit: int) -> DataFrame:
+    """request_id, n_attempts, outcome, retryable, tokens: a chain ends at its first success, its first fault that no
+    retry mends, or at the limit; later rows do not count.
+
+    attempts(request_id, seq, status, tokens); status 200 is a success and a null status a transport fault.
+    """
+    status = F.col("status")
+    retry = status.isNull() | status.isin(429, 500, 502, 503, 504)
+    by = Window.partitionBy("request_id").orderBy("seq")
+    ended = F.coalesce(F.max((~retry).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = attempts.withColumn("nth", F.row_number().over(by)).withColumn("ended", ended).where((F.col("ended") == 0) & (F.col("nth") <= limit))
+    kind = F.when(status.isNull(), "transport").when(status == 200, "success").when(status == 429, "rate_limited").when(status >= 500, "server_error").otherwise("rejected")
+    rows = rows.withColumn("kind", kind).withColumn("retry", retry)
+    return rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_attempts"), F.max_by("kind", "nth").alias("outcome"), F.max_by("retry", "nth").alias("retryable"), F.sum("tokens").alias("tokens"))
+
+
+def identity_drift(attempts: DataFrame) -> DataFrame:
+    """rule, key, detail: runs that more than one model answered, and runs with attempts that report no tokens."""
+    got = attempts.groupBy("run_id").agg(F.count_distinct("model").alias("models"), F.count_if(F.col("tokens").isNull()).alias("unreported"))
+    rows = F.array(F.when(F.col("models") > 1, F.struct(F.lit("model_drift").alias("rule"), F.col("models").alias("n"))), F.when(F.col("unreported") > 0, F.struct(F.lit("usage_missing").alias("rule"), F.col("unreported").alias("n"))))
+    return got.select("run_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select(F.col("r.rule").alias("rule"), F.col("run_id").cast("string").alias("key"), F.col("r.n").cast("string").alias("detail"))
+
+
+def unprocessed(runs: DataFrame, units: DataFrame, findings: DataFrame) -> DataFrame:
+    """run_id, unprocessed: units without a finding in each failed run."""
+    failed = runs.where("status = 'failed'").select("run_id")
+    rest = units.select("run_id", "unit_id").distinct().join(failed, "run_id", "left_semi").join(findings.select("run_id", "unit_id").distinct(), ["run_id", "unit_id"], "left_anti")
+    return failed.join(rest.groupBy("run_id").agg(F.count(F.lit(1)).alias("unprocessed")), "run_id", "left").select("run_id", F.coalesce("unprocessed", F.lit(0)).alias("unprocessed"))
+
+
+def spend(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, turns, searches, reads, characters from the log; entries(keys, kind, text)."""
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("turns"), of("search").alias("searches"), of("read").alias("reads"), F.sum(F.length("text")).cast("long").alias("characters"))
+
+
+def merge_summaries(fresh: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """fresh rows and those stored ones whose keys are not among them."""
+    return fresh.unionByName(stored.join(fresh.select(*keys).distinct(), keys, "left_anti"))
+
+
+def batch_members(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """rule, key: run ids of a batch that the store lacks, and batches whose runs are all missing. batch(batch_id, run_id)."""
+    joined = batch.join(stored.select("run_id").distinct().withColumn("held", F.lit(1)), "run_id", "left")
+    missing = joined.where("held is null").select(F.lit("missing_in_store").alias("rule"), F.col("run_id").cast("string").alias("key"))
+    empty = joined.groupBy("batch_id").agg(F.count("held").alias("n")).where("n = 0").select(F.lit("empty_batch").alias("rule"), F.col("batch_id").cast("string").alias("key"))
+    return missing.unionByName(empty)
+
+
+def pair_check(runs: DataFrame, first: str, second: str, dimensions: list[str]) -> DataFrame:
+    """input_hash, state: ok or mismatch where the input has a run in both arms, else skipped."""
+    side = lambda arm, p: runs.where(F.col("arm") == arm).groupBy("input_hash").agg(F.sort_array(F.collect_set(F.to_json(F.struct(*dimensions)))).alias(p))
+    joined = runs.select("input_hash").distinct().join(side(first, "a"), "input_hash", "left").join(side(second, "b"), "input_hash", "left")
+    same = (F.size("a") == 1) & (F.col("a") == F.col("b"))
+    return joined.select("input_hash", F.when(F.col("a").isNull() | F.col("b").isNull(), "skipped").when(same, "ok").otherwise("mismatch").alias("state"))
+
+
+def clean_cohort(artifacts: DataFrame, exposed: DataFrame) -> DataFrame:
+    """case_id of the cases none of whose artifacts was exposed. artifacts(case_id, artifact_id), exposed(artifact_id)."""
+    seen = artifacts.join(exposed.select("artifact_id").distinct(), "artifact_id", "left_semi").select("case_id").distinct()
+    return artifacts.select("case_id").distinct().join(seen, "case_id", "left_anti")

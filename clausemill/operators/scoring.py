@@ -97,3 +97,48 @@ def agreement(verdicts: DataFrame, ratings: DataFrame, dimensions: list[str]) ->
     rows = F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(d).eqNullSafe(F.col(f"r_{d}"))).alias("same")) for d in dimensions])
     got = joined.select(F.inline(rows)).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("agree"))
     return got.withColumn("rate", F.round(ratio(F.col("agree"), F.col("n")), 9))
+
+
+def reply_membership(expected: DataFrame, answered: DataFrame) -> DataFrame:
+    """rule, packet_id, finding_id: findings of a packet not answered, answered twice, or answered and never asked."""
+    keys = ["packet_id", "finding_id"]
+    a = answered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    joined = expected.select(*keys).distinct().withColumn("asked", F.lit(1)).join(a, keys, "full_outer")
+    rule = F.when(F.col("asked").isNull(), "not_asked").when(F.col("n").isNull(), "not_answered").when(F.col("n") > 1, "answered_twice")
+    return joined.select(rule.alias("rule"), *keys).where("rule is not null")
+
+
+def mixed_instrument(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, adapters: groups whose valid attempts came from more than one adapter; an unnamed adapter is one."""
+    got = attempts.where("valid").groupBy(*keys).agg(F.count_distinct(F.coalesce("adapter", F.lit("unknown"))).alias("adapters"))
+    return got.where("adapters > 1")
+
+
+def completeness(expected: DataFrame, judged: DataFrame) -> DataFrame:
+    """packet_id, expected, missing, complete. expected and judged hold packet_id and finding_id."""
+    keys = ["packet_id", "finding_id"]
+    have = judged.select(*keys).distinct().withColumn("have", F.lit(1))
+    got = expected.select(*keys).distinct().join(have, keys, "left").groupBy("packet_id").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("have").isNull()).alias("missing"))
+    return got.withColumn("complete", F.col("missing") == 0)
+
+
+def key_gaps(judged: DataFrame) -> DataFrame:
+    """run_id, finding_id of correct findings that match no item of the key."""
+    return judged.where((F.col("status") == "correct") & (F.coalesce(F.size("matches"), F.lit(0)) <= 0)).select("run_id", "finding_id")
+
+
+def tag_counts(judged: DataFrame) -> DataFrame:
+    """tag, n over the tags of the judge and those found by rule; a null list holds none."""
+    none = F.array().cast("array<string>")
+    return judged.select(F.explode(F.concat(F.coalesce("judge_tags", none), F.coalesce("rule_tags", none))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pending(packets: DataFrame, attempts: DataFrame) -> DataFrame:
+    """packet_id of the packets without a valid attempt."""
+    return packets.select("packet_id").distinct().join(attempts.where("valid").select("packet_id").distinct(), "packet_id", "left_anti")
+
+
+def attempt_resources(attempts: DataFrame, column: str, path: str, fallback: str) -> DataFrame:
+    """group, attempts, total, missing: a figure from nested JSON, the nested fallback where it is absent."""
+    value = F.coalesce(F.get_json_object(column, path).cast("double"), F.get_json_object(column, fallback).cast("double"))
+    return attempts.withColumn("value", value).groupBy("group").agg(F.count(F.lit(1)).alias("attempts"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("value").isNull()).alias("missing"))
