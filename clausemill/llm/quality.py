@@ -1,4 +1,4 @@
-"""Quality rules whose cutoffs come from labelled holdouts with exact binomial bounds."""
+"""A quality score of several rules, whose cutoff comes from labelled holdouts with exact binomial bounds."""
 
 from __future__ import annotations
 
@@ -26,8 +26,10 @@ RULES: dict[str, str] = {
     "long_words": "word_chars / n_words / 20",
     "top_word": "n_top_word / n_words",
 }
-#: Cutoffs tried for each rule, from the most lenient on; fixed before any label is seen.
-CUTOFFS = tuple(round(1.5 * 0.8**i, 4) for i in range(24))
+#: What each value is measured in; fixed before any label is seen. The score of a document is its largest measure.
+SCALES: dict[str, float] = {"symbols": 0.1, "dup_lines": 0.3, "repeats": 0.2, "capitals": 0.3, "marks": 0.1, "long_words": 0.5, "top_word": 0.2}
+#: Cutoffs of the score tried, from the most lenient on; fixed before any label is seen.
+CUTOFFS = tuple(round(8 * 0.9**i, 4) for i in range(48))
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -93,6 +95,10 @@ def value(rule: str) -> Column:
     return F.coalesce(F.try_divide(*_sides(RULES[rule])), F.lit(0.0))
 
 
+def score() -> Column:
+    return F.greatest(*[value(r) / F.lit(scale) for r, scale in SCALES.items()])
+
+
 def _sides(ratio: str) -> tuple[Column, Column]:
     top, _, rest = ratio.partition(" / ")
     low, _, scale = rest.partition(" / ")
@@ -115,61 +121,53 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(min(0.0, log + math.log(total))))
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """stratum, rule, cutoff: cutoffs that, with confidence 1 - error for all at once, reject at most `risk` of the
-    good documents of their stratum.
+def calibrate(counted: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """stratum, cutoff, n_good, good_rejected, bad_rejected: score cutoffs that, with confidence 1 - error for all
+    strata at once, reject at most `risk` of the good documents of their stratum.
 
-    All labelled documents that pass the base rules are the holdout. Each rule gets an equal share of the risk. A
-    cutoff passes if the exact binomial probability of as few rejected good documents, were its false rejection rate
-    the allowed one, is at most error / (rules * strata): within a rule the cutoffs are tested from lenient to strict
-    and the tail grows with strictness, so the sequence needs no further correction. Of the cutoffs that pass, the one
-    that rejects most bad documents is chosen, the most lenient if several do; a rule that rejects none is left out,
-    as is a stratum with too few labels. Counts are summed by bucket of value; no documents are gathered.
+    All labelled documents that pass the base rules are the holdout. The rules act through one score, so a stratum has
+    one sequence of cutoffs and the whole risk. A cutoff passes if the exact binomial probability of as few rejected
+    good documents, were its false rejection rate the allowed one, is at most error / strata: cutoffs are tested from
+    lenient to strict and the tail grows with strictness, so the sequence needs no further correction. Of the cutoffs
+    that pass, the one that rejects most bad documents is chosen, the most lenient if several do; a stratum where none
+    rejects any is left out. At the default risk and four strata a stratum needs 217 good labelled documents, without
+    which nothing can be certified. Counts are summed by bucket of the score; no documents are gathered.
     """
     held = counted.where(~base_failed()).join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    bucket = lambda r: F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: value(r) <= c))
-    long = held.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(r).alias("bucket")) for r in RULES])).alias("x"))
-    # bucket b: the value passes the first b cutoffs, so cutoff number b and all stricter ones reject it
-    got = long.groupBy("stratum", "x.rule", "x.bucket").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
-    every = got.select("stratum", "rule").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(len(CUTOFFS) - 1))))
-    got = every.join(got, ["stratum", "rule", "bucket"], "left").unionByName(
-        got.where(F.col("bucket") == len(CUTOFFS))
-    ).na.fill(0, ["good", "bad"])
-    upto = Window.partitionBy("stratum", "rule").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("stratum", "rule")
+    # bucket b: the score passes the first b cutoffs, so cutoff number b and all stricter ones reject it
+    held = held.withColumn("score", score()).withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: F.col("score") <= c)))
+    got = held.groupBy("stratum", "bucket").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    upto = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     tests = got.select(
-        "stratum", "rule", "bucket", F.sum("good").over(upto).alias("k"), F.sum("bad").over(upto).alias("bad"), F.sum("good").over(whole).alias("n")
+        "stratum", "bucket", F.sum("good").over(upto).alias("k"), F.sum("bad").over(upto).alias("bad"), F.sum("good").over(Window.partitionBy("stratum")).alias("n")
     ).where(F.col("bucket") < len(CUTOFFS))
-    share = risk / len(RULES)
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), share) if b else 1.0 for a, b in zip(k, n)], dtype=float)
+        return pd.Series([binomial_tail(int(a), int(b), risk) if b else 1.0 for a, b in zip(k, n)], dtype=float)
 
-    strata = tests.select(F.count_distinct("stratum").alias("strata"))
-    tested = tests.crossJoin(F.broadcast(strata)).where(tail("k", "n") <= F.lit(error) / (F.lit(len(RULES)) * F.col("strata"))).where("bad > 0")
-    best = tested.groupBy("stratum", "rule").agg(F.max(F.struct("bad", (-F.col("bucket")).alias("lenient"))).alias("b"))
-    return best.select("stratum", "rule", F.element_at(F.array(*map(F.lit, CUTOFFS)), (1 - F.col("b.lenient")).cast("int")).alias("cutoff"))
+    strata = got.select(F.count_distinct("stratum").alias("strata"))
+    tested = tests.crossJoin(F.broadcast(strata)).where(tail("k", "n") <= F.lit(error) / F.col("strata")).where("bad > 0")
+    best = tested.groupBy("stratum").agg(F.max(F.struct("bad", (-F.col("bucket")).alias("lenient"), "k", "n")).alias("b"))
+    cutoff = F.element_at(F.array(*map(F.lit, CUTOFFS)), (1 - F.col("b.lenient")).cast("int"))
+    return best.select("stratum", cutoff.alias("cutoff"), F.col("b.n").alias("n_good"), F.col("b.k").alias("good_rejected"), F.col("b.bad").alias("bad_rejected"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """One row per row of docs: doc_id, the COUNTS, base_failed, kept.
 
     kept is false if the base rules fail (under 50 words, or over half of the words in repeated 3-word windows), else
-    whether every rule's value is at most the cutoff chosen for the document's stratum (lang; null is a stratum).
-    Null and empty texts have zero counts and fail. Repeated doc_ids are judged each; several labels for one document
-    count each. Without labels only the base rules reject.
+    whether the score is at most the cutoff chosen for the document's stratum (lang; null is a stratum). Null and
+    empty texts have zero counts and fail. Repeated doc_ids are judged each; several labels for one document count
+    each. Without labels only the base rules reject.
     """
     counted = materialise(features(docs))
-    cut = calibrate(counted, labels, risk, error).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    over = [F.coalesce(value(r) > F.col("cutoffs")[r], F.lit(False)) for r in RULES]
-    bad = over[0]
-    for x in over[1:]:
-        bad = bad | x
+    cut = calibrate(counted, labels, risk, error).select("stratum", "cutoff")
+    bad = F.coalesce(score() > F.col("cutoff"), F.lit(False))
     return counted.join(cut, "stratum", "left").select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """docs without the rows that are rejected; all columns stay."""
     kept = judge(docs, labels, risk, error).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
