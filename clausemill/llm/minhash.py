@@ -1,0 +1,145 @@
+"""Near-duplicate removal by shingle similarity: min-hash bands give candidates, their shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from clausemill.llm.common import materialise, small, texts
+
+#: A pair of similarity s shares no band with the probability (1 - s^ROWS)^BANDS: 3.2e-6 at 0.8.
+BANDS, ROWS = 24, 4
+_RNG = np.random.default_rng(11)
+_A, _B = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _WordHash(dict):
+    """64-bit hash of a word, kept until there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_HASH = _WordHash()
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes, in order, of a text's shingles; a text of fewer words is one shingle.
+
+    Words are cut at ASCII white space and compared with A-Z in lower case.
+    """
+    h = np.fromiter(map(_HASH.__getitem__, text.lower().split()), np.uint64)
+    if not len(h):
+        return h
+    k = min(words, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : j + len(out)]) * _M
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """One key of each band; texts without shingles have none."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096] * _A[:, None] + _B[:, None]
+        low = np.minimum(low, ((x ^ (x >> np.uint64(32))) * _M).min(axis=1))
+    key = np.zeros(BANDS, np.uint64)
+    for j in range(ROWS):
+        key = (key ^ low.reshape(BANDS, ROWS)[:, j]) * _M
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard index of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _set (a hash of the shingle set), _size (of the set) and _keys (of the bands)."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in small(batches):
+            sets = [shingles(x, words) for x in texts(batch)]
+            more = [
+                pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], pa.string()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([signature(x) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], [*columns, "_set", "_size", "_keys"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{types}, _set string, _size long, _keys array<bigint>")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of pairs(a, b), both _set, whose shingle sets have a similarity of at least `least`."""
+    text = reps.select("_set", F.coalesce("text", F.lit("")).alias("text"))
+    both = pairs.join(text.select(F.col("_set").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("_set").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            like = [similarity(shingles(a, words), shingles(b, words)) >= least for a, b in zip(texts(batch, "text_a"), texts(batch, "text_b"))]
+            yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+
+
+def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without the rows that are near duplicates of a row before them in doc_id; all columns stay.
+
+    Rows whose sets of five-word shingles are equal are one class, which keeps exactly one row, the one with the
+    smallest doc_id (null is last; rows of one doc_id by the hash of their text). Of any two classes whose sets have a
+    Jaccard index of at least `least` at most one stays, and each class that goes has such a similarity to a class
+    before it. Texts without words are one class and like no other.
+
+    Candidates are classes that share the key of one of BANDS bands. In each bucket the first few classes are leaders
+    and are compared with all after them, by their shingle sets; what is like a leader goes, leaders leave the bucket,
+    and buckets with two classes or more left go on with four times as many leaders. So a group of n copies makes
+    about n comparisons a leader, and all pairs are made only of classes that share a bucket without being alike.
+    Classes carry a hash of 128 bits of their set as their key, so no row number is needed and repeats cost nothing.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    one = signed(docs, words).groupBy("_set").agg(
+        F.min_by(F.struct(*docs.columns), row).alias("row"), F.min(row).alias("_order"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")
+    )
+    reps = materialise(one.select("row.*", "_set", "_order", "_size", "_keys"))
+    keyed = reps.select(F.struct("_order", F.col("_set").alias("s")).alias("x"), "_size", F.posexplode("_keys").alias("band", "key"))
+    buckets = materialise(keyed.join(keyed.groupBy("band", "key").count().where("count > 1").select("band", "key"), ["band", "key"]))
+    gone, leaders = None, 1
+    while not buckets.isEmpty():
+        if leaders == 1:
+            first = buckets.groupBy("band", "key").agg(F.array(F.min(F.struct("x", "_size"))).alias("first"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("x"))
+            first = buckets.withColumn("nth", nth).where(F.col("nth") <= leaders).groupBy("band", "key").agg(F.collect_list(F.struct("x", "_size")).alias("first"))
+        led = buckets.join(first, ["band", "key"])
+        pairs = led.select("x", "_size", F.explode("first").alias("l")).where(F.col("l.x") < F.col("x"))
+        near = F.least("_size", "l._size") >= F.lit(least) * F.greatest("_size", "l._size")
+        pairs = pairs.where(near).select(F.col("x.s").alias("a"), F.col("l.x.s").alias("b")).distinct()
+        out = materialise(verified(pairs, reps, words, least).select("a").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = led.where(~F.exists("first", lambda l: l["x"] == F.col("x"))).drop("first")
+        left = left.join(out, F.col("x.s") == out["a"], "left_anti")
+        buckets = materialise(left.join(left.groupBy("band", "key").count().where("count > 1").select("band", "key"), ["band", "key"]))
+        leaders *= 4
+    kept = reps if gone is None else reps.join(gone.distinct(), reps["_set"] == F.col("a"), "left_anti")
+    return kept.select(*docs.columns)

@@ -164,9 +164,3 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     groups = components(links(held, radius))
     named = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id; all columns stay."""
-    kept = near_groups(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

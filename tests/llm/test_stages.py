@@ -1,12 +1,13 @@
 """The pipeline's stages and their thresholds against brute force, on sf0.1 and on null and repeated doc_ids."""
 
 import os
+import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
 
-from clausemill.llm import quality
+from clausemill.llm import minhash, quality
 
 SF = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
 
@@ -25,3 +26,46 @@ def test_default_risk_filters_every_language(spark):
         good, gone, bad = n[x, 1, True] + n[x, 1, False], n[x, 1, False], n[x, 0, True] + n[x, 0, False]
         assert n[x, 0, False] >= 0.9 * bad > 0
         assert quality.binomial_tail(gone, good, 0.02) <= 0.05 / 4
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) >= 0.8 if a and b else a == b
+
+
+def test_no_two_rows_of_a_similarity_of_four_fifths_stay(spark):
+    rng = random.Random(3)
+    word = lambda: "w%d" % rng.randrange(5000)
+    rows, base = [], [[word() for _ in range(rng.choice([60, 150, 400]))] for _ in range(60)]
+    for w in base:
+        rows.append(" ".join(w))
+        for n in (1, 2, 3, 6):  # words replaced: similarities of about 0.5 to 0.97
+            x = list(w)
+            for at in rng.sample(range(len(x)), n):
+                x[at] = word()
+            rows.append(" ".join(x))
+    for n in range(120):  # a large group of near copies
+        x = list(base[0])
+        x[rng.randrange(len(x))] = word()
+        rows.append(" ".join(x))
+    rows += [None, "", " \t", "one two", "One  TWO", "one two three", rows[0].upper(), rows[7]]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, _x string").repartition(4)
+    out = minhash.drop_near(docs)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"] for r in out.collect()}
+    sets = list(map(shingle_set, rows))
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if alike(sets[i], sets[j])]
+    assert len(pairs) > 1000 and not [p for p in pairs if kept.issuperset(p)]
+    assert {j for _, j in pairs} >= set(range(len(rows))) - kept  # what goes is like a row before it
+
+
+def test_near_classes_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (3, b), (3, c), (3, c), (4, c + " end"), (None, "short text")]
+    got = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(got.collect(), key=str) == sorted(spark.createDataFrame([(None, a), (3, b), (3, c), (None, "short text")], got.schema).collect(), key=str)
