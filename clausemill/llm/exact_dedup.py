@@ -33,7 +33,16 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", fold_case: bool = True
     )
 
 
-def drop_exact(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns stay."""
-    kept = exact_groups(docs, keep).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def drop_exact(docs: DataFrame, keep: str = "smallest", fold_case: bool = True) -> DataFrame:
+    """docs with exactly one row of each class of equal texts, the one that exact_groups keeps; all columns stay.
+
+    The row itself is the state of the aggregation, so nothing is joined back and ids may be null or repeated: a null
+    id stays if its class has no other, and of rows that share the id the one with the first or last by hash of the text stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    norm = ascii_lower(text) if fold_case else text
+    order = (F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.md5(text).alias("c"))
+    one = F.max_by if keep == "largest" else F.min_by
+    order = F.struct(*order) if keep == "largest" else F.struct((~F.col("doc_id").isNotNull()).alias("a"), *order[1:])
+    kept = docs.groupBy(F.md5(norm).alias("_h"), F.sha2(norm, 256).alias("_s")).agg(one(F.struct(*docs.columns), order).alias("_row"))
+    return kept.select("_row.*")

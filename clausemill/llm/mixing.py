@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WORD, tasks
+from clausemill.llm.common import WORD, materialise, tasks
 
 
 def _draw(*parts: Column) -> Column:
@@ -36,8 +36,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, block: int = 32, shards: int = 64, lanes: int = 1024, seed: str = "mix") -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, block: int = 32, shards: int = 64, lanes: int = 1024, seed: str = "mix", key: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken; and key, a column that numbers the rows, if named.
 
     The words of a source form one stream, dealt in lanes (a hash of doc_id) and within a lane by doc_id; the stream is
     cut into blocks of `block` words. A source gets target / size slots for each of its blocks, never over ceiling times
@@ -51,12 +51,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3,
     under one doc_id are laid out after one another. Lanes keep any running sum to a share of a source, so a source
     with a third of all rows is no single task.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    keys = [key] if key else []
+    sized = docs.select(*keys, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("lane", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % lanes)
     goal = targets(sized, weights, ceiling)
     lane = sized.groupBy("source", "lane").agg(F.sum("size").alias("words"))
     lane = lane.withColumn("lane_start", F.sum("words").over(Window.partitionBy("source").orderBy("lane")) - F.col("words"))
-    inside = Window.partitionBy("source", "lane").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "lane").orderBy("doc_id", *keys).rowsBetween(Window.unboundedPreceding, 0)
     laid = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     laid = laid.join(lane, same(laid, lane, "source", "lane")).select(laid["*"], (laid["inside"] + lane["lane_start"]).alias("start"))
@@ -75,10 +76,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3,
     got = pieces.join(taken.hint("merge"), same(pieces, taken, "source", "index")).select(pieces["source"], "lane", "start", (F.col("words") * F.col("times")).alias("words"))
     got = got.groupBy("source", "lane", "start").agg(F.sum("words").alias("taken"))
     full = laid.where("size > 0")
-    full = full.join(got, same(full, got, "source", "lane", "start"), "left").select(full["doc_id"], full["source"], full["size"], F.coalesce(got["taken"], F.lit(0)).alias("taken"))
-    every = full.unionByName(laid.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    full = full.join(got, same(full, got, "source", "lane", "start"), "left").select(*(full[k] for k in keys), full["doc_id"], full["source"], full["size"], F.coalesce(got["taken"], F.lit(0)).alias("taken"))
+    every = full.unionByName(laid.where("size = 0").select(*keys, "doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(goal, every["source"].eqNullSafe(goal["source"])).select(
-        "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")
+        *keys, "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")
     )
 
 
@@ -101,10 +102,12 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int =
     """docs with each row as often as the mix takes it; all columns stay.
 
     A document of which the mix takes taken words of size appears floor(taken / size) times, and once more with the
-    probability of the fraction left, by a hash of its doc_id: never over ceiling times. Rows without words go.
+    probability of the fraction left, by a hash of its doc_id and text: never over ceiling times. Rows without words
+    go. Rows are numbered in a table written first and meet their count by that number, so ids may be null or repeated.
     """
-    mixed = mix(docs.dropDuplicates(["doc_id"]), weights, ceiling, seed=seed).where("taken > 0")
-    chance = _draw(F.lit(seed), F.lit("copy"), F.col("doc_id").cast("string")) / F.lit(2147483647.0)
-    copies = mixed.select("doc_id", F.least(F.lit(ceiling), F.floor(F.try_divide(F.col("taken"), F.col("size")) + chance)).cast("int").alias("copies_taken")).where("copies_taken > 0")
-    joined = docs.join(copies, "doc_id").withColumn("copy_number", F.explode(F.sequence(F.lit(1), F.col("copies_taken"))))
-    return joined.select(*docs.columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    chance = _draw(F.lit(seed), F.lit("copy"), F.col("doc_id").cast("string"), F.md5("text")) / F.lit(2147483647.0)
+    draws = rows.select(F.col("_row"), chance.alias("chance"))
+    mixed = mix(rows, weights, ceiling, seed=seed, key="_row").where("taken > 0").join(draws, "_row")
+    copies = mixed.select("_row", F.least(F.lit(ceiling), F.floor(F.try_divide(F.col("taken"), F.col("size")) + F.col("chance"))).cast("int").alias("_copies")).where("_copies > 0")
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,17 +75,20 @@ def count_text(text: bytes) -> tuple[int, ...]:
     )
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (lang, null as empty) and the COUNTS of each row of docs."""
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, stratum (lang, null as empty) and the COUNTS of each row of docs; the row itself in place of doc_id if whole."""
+    head = F.struct(*docs.columns).alias("row") if whole else F.col("doc_id")
+    rows = docs.select(head, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), *([] if whole else ["text"]))
+    name = "row" if whole else "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            got = np.array([count_text(x) for x in texts(batch)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *map(pa.array, got.T)], ["doc_id", "stratum", *COUNTS])
+            bare = pa.RecordBatch.from_arrays([pc.struct_field(batch.column("row"), "text")], ["text"]) if whole else batch
+            got = np.array([count_text(x) for x in texts(bare)], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("stratum"), *map(pa.array, got.T)], [name, "stratum", *COUNTS])
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    head_type = rows.schema[name].dataType.simpleString()
+    return rows.mapInArrow(run, f"{name} {head_type}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -163,11 +167,19 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float =
     """
     counted = materialise(features(docs))
     cut = calibrate(counted, labels, risk, error).select("stratum", "cutoff")
-    bad = F.coalesce(score() > F.col("cutoff"), F.lit(False))
-    return counted.join(cut, "stratum", "left").select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
+    return counted.join(cut, "stratum", "left").select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept().alias("kept"))
+
+
+def kept() -> Column:
+    return ~base_failed() & ~F.coalesce(score() > F.col("cutoff"), F.lit(False))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """docs without the rows that are rejected; all columns stay."""
-    kept = judge(docs, labels, risk, error).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """docs without the rows that are rejected; all columns stay.
+
+    Every row is judged by itself, as judge does, and carried through: ids may be null or repeated. The cutoffs are
+    found beforehand from the labelled documents alone, which are counted twice for that.
+    """
+    held = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    cut = materialise(calibrate(materialise(features(held)), labels, risk, error).select("stratum", "cutoff"))
+    return features(docs, whole=True).join(F.broadcast(cut), "stratum", "left").where(kept()).select("row.*")

@@ -2,12 +2,13 @@
 
 import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from clausemill.llm import minhash, quality
+from clausemill.llm import common, exact_dedup, minhash, mixing, quality
 
 SF = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
 
@@ -69,3 +70,49 @@ def test_near_classes_of_null_and_repeated_ids(spark):
     rows = [(None, a), (None, a), (None, b), (3, b), (3, c), (3, c), (4, c + " end"), (None, "short text")]
     got = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(got.collect(), key=str) == sorted(spark.createDataFrame([(None, a), (3, b), (3, c), (None, "short text")], got.schema).collect(), key=str)
+
+
+def messy(spark):
+    rng = random.Random(9)
+    clean = [" ".join("w%d" % rng.randrange(900) for _ in range(70)) for _ in range(12)]
+    rows = [(None, t, "en", "a") for t in clean[:3]] + [(None, "too short", "en", "a"), (5, clean[3], "en", "b"), (5, "also too short", "en", "b")]
+    rows += [(7, clean[4], "en", "b")] * 3 + [(8, clean[4].upper(), "en", "b"), (None, clean[4], None, None), (9, clean[5], "en", None), (9, clean[6] + " " + clean[7], "en", None), (None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def test_quality_stage_judges_rows(spark):
+    docs, labels = messy(spark), spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, quality int")
+    got = quality.keep_good(docs, labels)
+    want = [r for r in docs.collect() if len((r["text"] or "").split()) >= 50]
+    assert got.columns == docs.columns and sorted(got.collect(), key=str) == sorted(want, key=str) and len(want) == 11
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_stage_keeps_one_row_of_each_text(spark, keep):
+    docs = messy(spark)
+    got = exact_dedup.drop_exact(docs, keep).collect()
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[(r["text"] or "").lower()].append(r)
+    assert len(got) == len(groups) and set(got) <= set(docs.collect())
+    for r in got:
+        ids = [x["doc_id"] for x in groups[(r["text"] or "").lower()] if x["doc_id"] is not None]
+        assert r["doc_id"] == ((max if keep == "largest" else min)(ids) if ids else None)
+
+
+def test_mixing_stage_counts_each_row(spark):
+    docs = common.materialise(messy(spark))  # read in the same order each time
+    taken = mixing.mix(docs.withColumn("k", F.monotonically_increasing_id()), key="k").collect()
+    assert len(taken) == 14 and len({r["k"] for r in taken}) == 14
+    got, n = Counter(mixing.repeat(docs).collect()), Counter(docs.collect())
+    assert set(got) <= set(n)
+    low, high = Counter(), Counter()
+    rows = {r["k"]: r for r in docs.withColumn("k", F.monotonically_increasing_id()).collect()}
+    for r in taken:
+        if r["size"]:
+            x = rows[r["k"]]
+            at = type(next(iter(n)))(x["doc_id"], x["text"], x["lang"], x["source"])
+            low[at] += r["taken"] // r["size"]
+            high[at] += -(-r["taken"] // r["size"])
+    assert not [(r[0], low[r], got[r], high[r]) for r in n if not low[r] <= got[r] <= high[r]]
+    assert any(got[r] for r in n if r["doc_id"] is None)
