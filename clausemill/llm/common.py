@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def texts(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
@@ -57,5 +58,50 @@ def small(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[p
             yield batch.slice(at, step)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by keys (integers, not null) as tables of whole groups, each with the bounds of its groups.
+
+    A group may span batches; only the group at the end of a batch is held over.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def changes(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        found = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            found |= np.diff(batch.column(k).to_numpy()) != 0
+        return np.flatnonzero(found) + 1
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, np.concatenate(([0], changes(table), [table.num_rows])).astype(np.int64)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = changes(batch)
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield whole(held)
+            held = []
+        if len(cuts):
+            yield whole([*held, batch.slice(0, int(cuts[-1]))])
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield whole(held)
+
+
+class WordHash(dict):
+    """64-bit hash of a word, kept until there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,26 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import id_text, tasks
+from clausemill.llm.common import WordHash, id_text, tasks
 
 #: Bytes of text in a chunk (a run of doc_ids that one task reads at a time) and words in a bucket of hashes, about.
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-class _WordHash(dict):
-    """64-bit hash of a word, kept until there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_HASH = _WordHash()
+_HASH = WordHash()
 
 
 def rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import exact_dedup, minhash, mixing, packing, quality
+from clausemill.llm import exact_dedup, mixing, packing, quality, simhash
 from clausemill.llm.common import materialise
 
 
@@ -23,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of two texts whose five-word shingles have a similarity of 0.8 or more the one with the smaller doc_id stays."""
-    return minhash.drop_near(docs)
+    """Of the texts that links of a five-word similarity of 0.8 or more join the one with the smallest doc_id stays."""
+    return simhash.drop_near(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Min-hashes, binomial bounds and packing are beyond SQL; tests hold the stages against brute force.
+#: SimHash, binomial bounds and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -80,7 +80,7 @@ def test_forest_splits_large_buckets():
     rng = np.random.default_rng(3)
     fps = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     fps = np.unique(np.concatenate([fps, fps[:500] ^ np.uint64(5)]))
-    a, b = simhash.forest(fps, 4)
+    a, b = simhash.forest(fps[:, None], 4)
     assert (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
     assert len({*np.flatnonzero(np.isin(fps, fps[:0])).tolist()}) == 0
     assert len(a) >= 500

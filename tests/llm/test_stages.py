@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.llm import common, exact_dedup, minhash, mixing, quality
+from clausemill.llm import common, exact_dedup, mixing, quality, simhash
 
 SF = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
 
@@ -38,7 +38,9 @@ def alike(a, b):
     return len(a & b) / len(a | b) >= 0.8 if a and b else a == b
 
 
-def test_no_two_rows_of_a_similarity_of_four_fifths_stay(spark):
+@pytest.mark.parametrize("group_bytes", [16 << 20, 20_000])
+def test_one_row_of_each_similar_group_stays(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
     rng = random.Random(3)
     word = lambda: "w%d" % rng.randrange(5000)
     rows, base = [], [[word() for _ in range(rng.choice([60, 150, 400]))] for _ in range(60)]
@@ -56,19 +58,39 @@ def test_no_two_rows_of_a_similarity_of_four_fifths_stay(spark):
     rows += [None, "", " \t", "one two", "One  TWO", "one two three", rows[0].upper(), rows[7]]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, _x string").repartition(4)
-    out = minhash.drop_near(docs)
+    out = simhash.drop_near(docs)
     assert out.columns == docs.columns
     kept = {r["doc_id"] for r in out.collect()}
-    sets = list(map(shingle_set, rows))
+    sets, group = list(map(shingle_set, rows)), list(range(len(rows)))
     pairs = [(i, j) for j in range(len(rows)) for i in range(j) if alike(sets[i], sets[j])]
-    assert len(pairs) > 1000 and not [p for p in pairs if kept.issuperset(p)]
-    assert {j for _, j in pairs} >= set(range(len(rows))) - kept  # what goes is like a row before it
+    for _ in range(8):
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    assert len(pairs) > 1000 and kept == {group[i] for i in range(len(rows))}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs sf0.1")
+def test_near_stage_on_whole_documents(spark):
+    docs = exact_dedup.drop_exact(spark.read.parquet(f"{SF}/documents.parquet"), "largest").where(F.size(F.split("text", " ")) >= 50).select("doc_id", "text")
+    rows = sorted((r["doc_id"], shingle_set(r["text"])) for r in docs.collect())
+    holders = defaultdict(list)
+    for at, (_, x) in enumerate(rows):
+        for g in x:
+            holders[g].append(at)
+    shared = Counter((a, b) for at in holders.values() if len(at) < 200 for n, b in enumerate(at) for a in at[:n])
+    pairs = [p for p, n in shared.items() if n > 20 and alike(rows[p[0]][1], rows[p[1]][1])]
+    kept = {r["doc_id"] for r in simhash.drop_near(docs).select("doc_id").collect()}
+    both = [(a, b) for a, b in pairs if rows[a][0] in kept and rows[b][0] in kept]
+    print(len(pairs), "similar pairs, of", len(both), "both stay;", len(rows) - len(kept), "rows gone")
+    touched = {x for p in pairs for x in p}
+    assert len(pairs) > 40 and len(both) <= 0.02 * len(pairs)
+    assert {i for i, _ in rows} - kept <= {rows[x][0] for x in touched}
 
 
 def test_near_classes_of_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, a), (None, b), (3, b), (3, c), (3, c), (4, c + " end"), (None, "short text")]
-    got = minhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(got.collect(), key=str) == sorted(spark.createDataFrame([(None, a), (3, b), (3, c), (None, "short text")], got.schema).collect(), key=str)
 
 
