@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,105 +105,104 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str
     return rows.mapInArrow(run, f"doc_id {id_type}, row long, piece int, start long, length int, ids_crc32 long")
 
 
-def price(values: np.ndarray, supply: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The knapsack by dynamic programming: for each room the best value, and the length to take next (0: none).
+def price(values: np.ndarray, supply: np.ndarray, capacity: int) -> tuple[list[float], list[int]]:
+    """The knapsack by dynamic programming: for each room the best value of lengths that fill it exactly (minus
+    infinity if none do), and the length to take next.
 
     values[l] and supply[l] for lengths 1 to capacity; a length without supply is not used.
     """
-    worth = np.where(supply > 0, values, -1.0)
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    worth = np.where(supply > 0, values, -np.inf)[1:]
+    best, pick = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    best[0] = 0.0
     for room in range(1, capacity + 1):
-        got = worth[1 : room + 1] + best[room - 1 :: -1][:room]
+        got = worth[:room] + best[room - 1 :: -1][:room]
         l = int(np.argmax(got))
-        if got[l] > best[room - 1]:
-            best[room], pick[room] = got[l], l + 1
-        else:
-            best[room] = best[room - 1]
-    return best, pick
+        best[room], pick[room] = got[l], l + 1
+    return best.tolist(), pick.tolist()
 
 
-def filled(length: int, pick: list[int], capacity: int) -> tuple[int, ...]:
-    """The configuration of most value that holds an item of this length, as its lengths from the largest."""
-    out, room = [length], capacity - length
+def filled(length: int, best: list[float], pick: list[int], capacity: int) -> Counter[int]:
+    """The configuration of most value that holds an item of this length, as counts by length; full if any is."""
+    out, room = Counter([length]), capacity - length
+    while best[room] == -np.inf:
+        room -= 1
     while room:
-        if pick[room]:
-            out.append(pick[room])
-            room -= pick[room]
-        else:
-            room -= 1
-    return tuple(sorted(out, reverse=True))
+        out[pick[room]] += 1
+        room -= pick[room]
+    return out
 
 
-def fractional(histogram: np.ndarray, capacity: int, rounds: int = 24, step: float = 3.0) -> dict[tuple[int, ...], float]:
-    """Configurations and how often each is used, in fractions, so that every length is covered.
+def fractional(histogram: np.ndarray, capacity: int, batch: int = 16, step: float = 0.5, slope: float = 0.3, eta: float = 0.5, tail: float = 0.002) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations (counts by length) and how often each is used, in fractions; together they cover at most
+    histogram[l] items of each length l and all but `tail` of the tokens.
 
-    Multiplicative weights for the covering program: in each round every length whose cover lags behind the round's
-    share gets the configuration of most value that holds it, priced by the knapsack under the weights; the weight of
-    a length falls as its cover runs ahead.
+    Multiplicative weights for the covering program: the weight of a length falls by a factor with each share of its
+    items covered, so those that lag behind are worth more; longer ones start with more a token, as short ones fit
+    later too. Each round prices all rooms by one knapsack; the `batch` longest lengths left take the configuration of
+    most value that holds them, in a dose of `step` of what its scarcest length allows, in whole uses where it can.
+    No length is covered beyond its items, so what the full configurations cost is what they hold.
     """
-    lengths = np.flatnonzero(histogram)
-    cover, found = np.zeros(capacity + 1), {}
-    for r in range(1, rounds + 1):
-        ahead = np.clip(cover * rounds - r + 1, -20, 20)
-        weight = np.arange(capacity + 1) / capacity * np.exp(-step / rounds * ahead)
-        pick = price(weight, histogram, capacity)[1].tolist()
-        for l in lengths[::-1].tolist():
-            lag = r / rounds - cover[l]
-            if lag > 0:
-                c = filled(l, pick, capacity)
-                dose = lag * histogram[l] / c.count(l)
-                found[c] = found.get(c, 0.0) + dose
-                for x in c:
-                    cover[x] += dose / histogram[x]
+    size, left = np.arange(capacity + 1), histogram.astype(float)
+    total, found = float((left * size).sum()), {}
+    while (left * size).sum() > tail * total:
+        lag = np.divide(left, histogram, out=np.zeros(capacity + 1), where=histogram > 0)
+        weight = (size / capacity) ** (1 + slope) * np.exp(eta * lag)
+        best, pick = price(weight, left, capacity)
+        gain = False
+        for l in np.flatnonzero(left)[::-1][:batch].tolist():
+            if not left[l]:
+                continue
+            need = filled(l, best, pick, capacity)
+            most = min(left[x] / k for x, k in need.items())
+            if most < 1e-9:
+                continue
+            dose = most if most <= 1 else max(1.0, float(int(step * most)))
+            c = tuple(sorted(need.items()))
+            found[c], gain = found.get(c, 0.0) + dose, True
+            for x, k in need.items():
+                left[x] = max(0.0, left[x] - dose * k) if left[x] - dose * k > 1e-9 else 0.0
+        if not gain:
+            break
     return found
 
 
-def solve(histogram: np.ndarray, capacity: int, shrink: float = 0.8) -> list[tuple[int, np.ndarray]]:
+def solve(histogram: np.ndarray, capacity: int, reserve: float = 0.06) -> list[tuple[int, np.ndarray]]:
     """(times, counts by length): configurations that hold exactly histogram[l] items of each length l.
 
-    The fractional solution, shrunk so that no length runs out early, is rounded by carrying the fractions from one
-    configuration to the next; what is left has about the mix of lengths of the whole and is packed largest first,
-    each sequence filled best-fit, in counts by length.
+    The program covers all but a reserve of each length (rounded, so rare lengths have none). Its solution is rounded
+    down, fractions being carried from one configuration to the next, and full configurations are used so often. The
+    reserve and what rounding leaves have about the mix of the whole and are packed longest first, each sequence
+    filled best-fit, in counts by length.
     """
     left = histogram.astype(np.int64).copy()
-    taken: dict[tuple[int, ...], int] = {}
+    out: list[tuple[int, dict[int, int]]] = []
     carry = 0.0
-    fractions = fractional(histogram, capacity)
-    ran = np.zeros(capacity + 1)
-    for c, dose in fractions.items():
-        np.add.at(ran, list(c), dose)
-    excess = np.max(ran[histogram > 0] / histogram[histogram > 0], initial=1.0)
-    for c, dose in sorted(fractions.items(), key=lambda x: (-sum(x[0]), x[0])):
-        carry += dose * shrink / min(excess, 1.25)
-        need = {x: c.count(x) for x in c}
-        times = min([int(carry), *(int(left[x]) // k for x, k in need.items())])
-        if times > 0 and sum(c) == capacity:
-            taken[c] = times
-            for x, k in need.items():
-                left[x] -= times * k
+    for c, dose in sorted(fractional(histogram - np.floor(histogram * reserve + 0.5).astype(np.int64), capacity).items(), reverse=True):
+        if sum(x * k for x, k in c) < capacity:
+            continue
+        carry += dose
+        times = min(int(carry + 1e-9), *(int(left[x]) // k for x, k in c))
+        if times > 0:
+            out.append((times, dict(c)))
             carry -= times
+            for x, k in c:
+                left[x] -= times * k
         carry = min(carry, 1.0)
     while left.any():
-        c, room = [], capacity
+        c, room = Counter(), capacity
         while room:
-            fit = np.flatnonzero(left[: room + 1])
-            fit = fit[::-1].tolist()
-            l = next((x for x in fit if left[x] > c.count(x)), 0)
+            l = next((x for x in np.flatnonzero(left[: room + 1])[::-1].tolist() if left[x] > c[x]), 0)
             if not l:
                 break
-            n = min(int(left[l]) - c.count(l), room // l)
-            c += [l] * n
+            n = min(int(left[l]) - c[l], room // l)
+            c[l] += n
             room -= n * l
-        times = min(int(left[x]) // c.count(x) for x in set(c))
-        for x in c:
-            left[x] -= times
-        taken[tuple(c)] = taken.get(tuple(c), 0) + times
-    out = []
-    for c, times in taken.items():
-        counts = np.zeros(capacity + 1, np.int64)
-        np.add.at(counts, list(c), 1)
-        out.append((times, counts))
-    return out
+        c = {x: k for x, k in c.items() if k}
+        times = min(int(left[x]) // k for x, k in c.items())
+        for x, k in c.items():
+            left[x] -= times * k
+        out.append((times, c))
+    return [(times, np.bincount(list(c), list(c.values()), capacity + 1).astype(np.int64)) for times, c in out]
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str = "byte_bpe_50k") -> DataFrame:
@@ -212,7 +212,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str =
     pieces of each length without gaps from counts by lane, so that a length that a third of all pieces share is no
     single task. The driver turns the histogram into configurations; a configuration used `times` times is `times`
     sequences in a row. A piece's number within its length falls into one configuration's range and gives its
-    sequence and its place there. The table of ranges grows with the distinct lengths, not with the documents.
+    sequence and its place there. The table of ranges has a row for each of at most `capacity` lengths; the number of
+    ranges grows with the logarithm of the counts, so it is sent to the tasks.
 
     A null text is empty: its piece is the end token alone. Repeated doc_ids are packed each. An empty table gives no
     rows.
@@ -238,7 +239,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str =
     inside = F.row_number().over(Window.partitionBy("length", "lane").orderBy("row", "piece")) - 1
     numbered = cut.withColumn("inside", inside).join(lanes, ["length", "lane"]).withColumn("number", F.col("inside") + F.col("before"))
     slots = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("past", "first", "each", "base", "place"))).alias("slots"))
-    held = numbered.join(slots, "length").withColumn("slot", F.filter("slots", lambda s: F.col("number") < s["past"])[0])
+    held = numbered.join(F.broadcast(slots), "length").withColumn("slot", F.filter("slots", lambda s: F.col("number") < s["past"])[0])
     nth = F.col("number") - F.col("slot.first")
     return held.select(
         "doc_id",
