@@ -96,11 +96,20 @@ ORACLES = {
         l AS (SELECT a.k, ((SELECT sum(source_size) FROM o)::DOUBLE - coalesce((SELECT sum(cap) FROM o b WHERE b.k < a.k), 0)) / (SELECT sum(weight) FROM o b WHERE b.k >= a.k) AS level, a.weight, a.cap FROM o a),
         t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM o),
         laid AS (SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY lane, doc_id) - size)::BIGINT AS start FROM d),
-        plan AS (SELECT source, coalesce('s' || source, 'null') AS name, ceil(source_size / 32.0)::BIGINT AS blocks, target / source_size AS share FROM t WHERE source_size > 0),
-        slots AS (SELECT source, name, blocks, least(floor(share * blocks + 0.5)::BIGINT, 3 * blocks) AS slots FROM plan),
-        drawn AS (SELECT source, name, blocks, unnest(range(0, slots)) AS t FROM slots),
-        picked AS (SELECT source, (CASE WHEN blocks % 1000003 = 0 THEN 1000033 ELSE 1000003 END * (t % blocks)
-                   + (('0x' || substr(md5('mix/' || name || '/' || (t // blocks)::VARCHAR), 1, 8))::BIGINT % 2147483647)) % blocks AS idx FROM drawn),
+        p0 AS (SELECT source, coalesce('s' || source, 'null') AS name, ceil(source_size / 32.0)::BIGINT AS blocks, floor(target / source_size * ceil(source_size / 32.0) * 1000 + 0.5)::BIGINT AS wants
+              FROM t WHERE source_size > 0),
+        p1 AS (SELECT *, (sum(wants) OVER (ORDER BY source NULLS LAST))::BIGINT AS upto, ceil((sum(wants) OVER ()) / 1000.0)::BIGINT AS slots FROM p0),
+        p2 AS (SELECT *, greatest(1, least(4096, slots // 1024)) AS m FROM p1),
+        p3 AS (SELECT *, ceil(slots / m)::BIGINT AS s FROM p2),
+        plan AS (SELECT source, name, blocks, m, s, floor((upto - wants)::DOUBLE / (m * s * 1000) * 2147483648)::BIGINT AS low, floor(upto::DOUBLE / (m * s * 1000) * 2147483648)::BIGINT AS high FROM p3),
+        js AS (SELECT s, unnest(range(0, m)) AS j FROM (SELECT DISTINCT m, s FROM plan)),
+        ks AS (SELECT j, unnest(range(0, s)) AS k, s, ('0x' || substr(md5('mix/shard/' || j::VARCHAR), 1, 8))::BIGINT % 2147483647 AS h FROM js),
+        us AS (SELECT j, (h + k * 2147483648 // s) % 2147483648 AS u FROM ks),
+        numbered AS (SELECT source, name, blocks, row_number() OVER (PARTITION BY name ORDER BY j, u) - 1 AS n FROM us JOIN plan ON u >= low AND u < high),
+        slot AS (SELECT source, name, n // blocks AS round, n % blocks AS rnk FROM numbered WHERE n < 3 * blocks),
+        every AS (SELECT name, blocks, round, unnest(range(0, blocks)) AS idx FROM (SELECT DISTINCT name, blocks, n // blocks AS round FROM numbered WHERE n < 3 * blocks)),
+        perm AS (SELECT name, round, idx, row_number() OVER (PARTITION BY name, round ORDER BY ('0x' || substr(md5('mix/' || name || '/' || round::VARCHAR || '/' || idx::VARCHAR), 1, 8))::BIGINT % 2147483647, idx) - 1 AS rnk FROM every),
+        picked AS (SELECT slot.source, perm.idx FROM slot JOIN perm ON slot.name = perm.name AND slot.round = perm.round AND slot.rnk = perm.rnk),
         times AS (SELECT source, idx, count(*) AS times FROM picked GROUP BY source, idx),
         piece AS (SELECT doc_id, source, size, start, unnest(range(start // 32, (start + size - 1) // 32 + 1)) AS idx FROM laid WHERE size > 0),
         got AS (SELECT doc_id, sum((least(start + size, (idx + 1) * 32) - greatest(start, idx * 32)) * times)::BIGINT AS taken
