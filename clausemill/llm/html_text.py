@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from clausemill.llm.common import small, texts
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas", "xmp"}
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr picture source".split()
 )
@@ -35,13 +36,20 @@ _NEGATIVE_NAMES = set(
 _POSITIVE_NAMES = set("article articlebody content entry main post story text body".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEGATIVE, NEUTRAL, POSITIVE = 0, 1, 2
+OUTSIDE, CONTENT, BOILERPLATE = LABELS = (0, 1, 2)
+#: Tags that are told apart (the last stands for all others) and those that a page without marks would write as div.
+_TAGS = {t: i for i, t in enumerate("div article main nav header footer aside form section p h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure body head button menu dl dt dd".split())}
+_MARKS = set("article main nav header footer aside form section button menu".split())
+#: Names of classes, ids and roles fall into so many buckets.
+NAMES = 512
 
 
 class Page:
     """The block elements of a page as a tree, and its blocks of text in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.kind = [-1], [NEUTRAL]
+        self.parent, self.kind, self.tag, self.depth, self.names = [-1], [NEUTRAL], ["body"], [0], [()]
+        self.hidden, self.children = [False], [0]
         self.chars, self.linked, self.stop = [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("", 0)]
@@ -51,8 +59,8 @@ class Page:
         def close() -> None:
             text = " ".join("".join(held).split())
             held.clear()
-            if text:
-                node = stack[-1][1]
+            node = stack[-1][1]
+            if text and not self.hidden[node]:
                 self.blocks.append((node, text))
                 self.chars[node] += len(text)
                 self.stop[node] += text[-1] in ".!?:;\"'”»…"
@@ -72,10 +80,10 @@ class Page:
             if m.start() > at:
                 put(source[at : m.start()])
             at = m.end()
-            name = (m[2] or "").lower()
+            name, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
             if not name:
                 continue
-            if m[1]:
+            if m[1] or m[4]:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name == "br":
@@ -89,7 +97,7 @@ class Page:
                             break
                 continue
             if name in _RAW:
-                if not m[3].endswith("/") or name not in ("svg", "math"):
+                if not attributes.endswith("/") or name != "svg":
                     shut = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = shut.end() if shut else end
                 continue
@@ -114,19 +122,40 @@ class Page:
                 stack = stack[:1]
             node = len(self.parent)
             self.parent.append(stack[-1][1])
-            self.kind.append(kind_of(name, m[3]))
+            kind, names, hidden = described(name, attributes)
+            up = stack[-1][1]
+            self.kind.append(kind)
+            self.tag.append(name)
+            self.names.append(names)
+            self.hidden.append(hidden or self.hidden[up])
+            self.depth.append(self.depth[up] + 1)
+            self.children.append(0)
+            self.children[up] += 1
             self.chars.append(0)
             self.linked.append(0)
             self.stop.append(0)
             stack.append((name, node))
         close()
 
-    def features(self) -> np.ndarray:
-        """For each node its kind and its buckets of text length, share in links and ends of sentences."""
+    def features(self, marks: bool = True) -> np.ndarray:
+        """For each node its tag, what the word lists say of its names, and buckets of text length, share in links,
+        ends of sentences, depth and children. Without marks, as the page would look if it had only div and p."""
         chars, linked, stop = np.array(self.chars), np.array(self.linked), np.array(self.stop)
+        tag = [_TAGS.get("div" if not marks and t in _MARKS else t, len(_TAGS)) for t in self.tag]
         length = np.searchsorted([1, 25, 80, 250], chars, side="right")
         link = np.where(chars > 0, np.minimum(2, 3 * linked // np.maximum(chars, 1)), 0)
-        return np.stack([np.array(self.kind), length, link, (stop > 0) + 0], axis=1)
+        return np.stack(
+            [
+                np.array(tag),
+                np.array(self.kind) if marks else np.full(len(tag), NEUTRAL),
+                length,
+                link,
+                np.minimum(stop, 2),
+                np.minimum(np.array(self.depth), 7),
+                np.searchsorted([1, 2, 5], np.array(self.children), side="right"),
+            ],
+            axis=1,
+        )
 
     def seeds(self) -> list[int] | None:
         """Labels where the page marks its article: CONTENT inside it, BOILERPLATE in menus, forms and the like and all
@@ -140,81 +169,95 @@ class Page:
         return out
 
 
-def kind_of(name: str, attributes: str) -> int:
-    if name in _NEGATIVE_TAGS:
-        return NEGATIVE
-    kind = POSITIVE if name in _POSITIVE_TAGS else NEUTRAL
+def described(name: str, attributes: str) -> tuple[int, tuple[int, ...], bool]:
+    """What the word lists say of an element, the buckets of its names, and whether it is not shown."""
+    kind = NEGATIVE if name in _NEGATIVE_TAGS else POSITIVE if name in _POSITIVE_TAGS else NEUTRAL
+    names: set[str] = set()
     if attributes.strip():
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return NEGATIVE
+                return kind, (), True
             if key in ("class", "id", "role", "itemprop"):
-                names = set(re.findall(r"[a-z]+", value))
-                if names & _NEGATIVE_NAMES:
-                    return NEGATIVE
-                if names & _POSITIVE_NAMES and name != "body":
-                    kind = POSITIVE
-    return kind
+                names.update(re.findall(r"[a-z]+", value))
+        if names & _NEGATIVE_NAMES:
+            kind = NEGATIVE
+        elif names & _POSITIVE_NAMES and kind == NEUTRAL and name != "body":
+            kind = POSITIVE
+    return kind, tuple(sorted(zlib.crc32(x.encode()) % NAMES for x in names)), False
 
 
-OUTSIDE, CONTENT, BOILERPLATE = LABELS = (0, 1, 2)
-#: Features of a node besides its kind, and their sizes.
-_FEATURES = (("length", 5), ("link", 3), ("stop", 2))
-#: Counts held before any page is seen: what the kinds stand for, by the parent's label and the node's kind.
-_PRIOR = {("edge", 3 * up + kind, BOILERPLATE if up == BOILERPLATE or kind == NEGATIVE else CONTENT if kind == POSITIVE else up): 50.0 for up in LABELS for kind in (NEGATIVE, NEUTRAL, POSITIVE)}
-_ROOT = [0.9, 0.1, 0.0]
+#: Features of a node and their sizes, in the order of Page.features.
+_FEATURES = (("tag", len(_TAGS) + 1), ("list", 3), ("length", 5), ("link", 3), ("stop", 3), ("depth", 8), ("children", 4))
+#: Counts held before any page is seen: some label follows its parent's, and names on the word lists say what they mean.
+_PRIOR = {("edge", up, up): 4.0 for up in LABELS} | {("list", BOILERPLATE, NEGATIVE): 8.0, ("list", CONTENT, POSITIVE): 8.0}
+_ROOT = [0.98, 0.01, 0.01]
 
 
 def tally(pages: Iterator[Page]) -> Counter:
-    """Counts of features by label, and of labels by the parent's label and the node's kind."""
+    """Counts of features and names by label, and of labels by the parent's label, over pages that mark their article.
+
+    Every page counts twice, as it is and without marks, so that text, links, depth and the order of things say where
+    the article is when tags and names do not.
+    """
     out: Counter[tuple] = Counter()
     for page in pages:
         y = page.seeds()
         if y is None:
             continue
-        x = page.features()
-        for f, (name, _) in enumerate(_FEATURES):
-            for (a, b), n in Counter(zip(y, x[:, f + 1].tolist())).items():
-                out[name, a, b] += n
+        for x in (page.features(), page.features(marks=False)):
+            for f, (name, _) in enumerate(_FEATURES):
+                for (a, b), n in Counter(zip(y, x[:, f].tolist())).items():
+                    out[name, a, b] += n
         for i in range(1, len(y)):
-            out["edge", 3 * y[page.parent[i]] + page.kind[i], y[i]] += 1
+            out["edge", y[page.parent[i]], y[i]] += 2
+            for b in page.names[i]:
+                out["name", y[i], b] += 1
     return out
 
 
 class TreeModel:
-    """Potentials of nodes given their label, and of a node's label given its parent's and its kind, from counts."""
+    """Potentials of nodes given their label, and of a node's label given its parent's, from counts."""
 
     def __init__(self, counts: dict[tuple[str, int, int], float]):
-        got = lambda name, a, b: counts.get((name, a, b), 0) + _PRIOR.get((name, a, b), 0) + (1.0 if name != "edge" else 0.01)
-        table = lambda name, rows, columns: (t := np.array([[got(name, a, b) for b in range(columns)] for a in range(rows)])) / t.sum(axis=1, keepdims=True)
-        self.node = [np.log(table(name, 3, size)) for name, size in _FEATURES]
-        self.edge = table("edge", 9, 3).tolist()
+        got = lambda name, a, b, more: counts.get((name, a, b), 0) + _PRIOR.get((name, a, b), 0) + more
+        table = lambda name, columns, more: (t := np.array([[got(name, a, b, more) for b in range(columns)] for a in LABELS])) / t.sum(axis=1, keepdims=True)
+        self.node = [np.log(table(name, size, 1.0)) for name, size in _FEATURES]
+        self.name = np.log(table("name", NAMES, 0.1))
+        self.edge = table("edge", 3, 0.05).tolist()
+
+    def local(self, page: Page, marks: bool = True) -> np.ndarray:
+        x = page.features(marks)
+        out = sum(t[:, x[:, f]] for f, t in enumerate(self.node)).T
+        if marks:
+            for i, names in enumerate(page.names):
+                for b in names:
+                    out[i] += self.name[:, b]
+        return out
 
-    def marginals(self, page: Page) -> list[float]:
+    def marginals(self, page: Page, marks: bool = True) -> list[float]:
         """P(CONTENT) of each node: messages go up from the leaves, then down from the root."""
-        x = page.features()
-        local = sum(t[:, x[:, f + 1]] for f, t in enumerate(self.node)).T
-        local = np.exp(local - local.max(axis=1, keepdims=True)).tolist()
-        n, parent, kind, edge = len(local), page.parent, page.kind, self.edge
+        local = self.local(page, marks)
+        local = np.exp(np.maximum(local - local.max(axis=1, keepdims=True), -60)).tolist()
+        n, parent, e = len(local), page.parent, self.edge
         up = [list(v) for v in local]
         message: list[list[float]] = [[1.0, 1.0, 1.0]] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
-            u, k, at = up[i], kind[i], up[parent[i]]
-            m = [e[0] * u[0] + e[1] * u[1] + e[2] * u[2] for e in (edge[k], edge[3 + k], edge[6 + k])]
+            u, at = up[i], up[parent[i]]
+            m = [r[0] * u[0] + r[1] * u[1] + r[2] * u[2] for r in e]
             s = m[0] + m[1] + m[2]
             message[i] = m = [v / s for v in m]
-            got = [at[0] * m[0], at[1] * m[1], at[2] * m[2]]
+            got = [max(1e-60, at[0] * m[0]), max(1e-60, at[1] * m[1]), max(1e-60, at[2] * m[2])]
             s = got[0] + got[1] + got[2]
             at[:] = [v / s for v in got]
         down: list[list[float]] = [_ROOT] * n
         out = []
         for i in range(n):
             if i:
-                p, m, k = parent[i], message[i], kind[i]
+                p, m = parent[i], message[i]
                 d = [down[p][j] * up[p][j] / m[j] for j in LABELS]
                 s = d[0] + d[1] + d[2]
-                down[i] = [(d[0] * edge[k][j] + d[1] * edge[3 + k][j] + d[2] * edge[6 + k][j]) / s for j in LABELS]
+                down[i] = [(d[0] * e[0][j] + d[1] * e[1][j] + d[2] * e[2][j]) / s for j in LABELS]
             both = [down[i][j] * up[i][j] for j in LABELS]
             out.append(both[CONTENT] / sum(both))
         return out
@@ -229,9 +272,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text.
 
     Every page is read twice. First, pages that mark their article (article, main or a telling class) serve as
-    labelled ones: tasks count features of nodes and pairs of labels, and Spark sums the counts, a table of fixed
-    size. Then the marginals of each page's nodes choose its blocks: white space becomes one space, blocks are
-    joined by a line feed, nothing else is dropped or cut.
+    labelled ones: tasks count features and names of nodes and pairs of labels, with and without the marks, and Spark
+    sums the counts, a table of fixed size. Then the marginals of each page's nodes choose its blocks: white space
+    becomes one space, blocks are joined by a line feed, nothing else is dropped or cut. Elements that are not shown
+    (hidden, display: none) are left out.
 
     A null html is empty; an empty page has an empty text. Unclosed and stray tags, truncated pages and very long ones
     are read as they come. Rows that repeat a page_id are read each. Without labelled pages the built-in counts decide.
