@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.common import id_text, materialise, small, texts
 
-#: Groups that a neutral sentence may mention; terms of a set are swapped for one another.
+#: Groups that a neutral sentence may mention, in English, German, French and Spanish; terms of a set are swapped for
+#: one another.
 IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "woman", "man", "girl", "boy"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "muslims", "christians", "jews"),
@@ -22,13 +23,31 @@ IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
     ("gay", "lesbian", "straight", "bisexual", "transgender", "trans", "queer"),
     ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners", "migrant", "migrants"),
     ("disabled", "blind", "deaf", "autistic", "old", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen", "frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle", "transsexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten", "asylbewerber"),
+    ("femmes", "hommes", "filles", "garçons", "femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("mujeres", "hombres", "chicas", "chicos", "mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
 )
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-_SWAP = {t.encode(): [u.encode() for u in s if u != t] for s in IDENTITY_SETS for t in s}
-
-
 #: Stems are word beginnings of so many bytes.
 STEMS = (4, 5, 6, 7, 8)
+_SWAP: dict[bytes, list[bytes]] = {}
+for _set in IDENTITY_SETS:
+    for _t in _set:
+        _SWAP.setdefault(_t.encode(), []).extend(u.encode() for u in _set if u != _t)
+#: Features that a swap takes out of a text and that it puts in, as numbers in the vocabulary.
+Swap = tuple[tuple[int, ...], tuple[int, ...]]
 
 
 def words(text: bytes) -> set[bytes]:
@@ -40,11 +59,38 @@ def words(text: bytes) -> set[bytes]:
     return out
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """A word and its stems."""
+    return [word, *(word[:k] + b"*" for k in STEMS if len(word) > k)]
+
+
+def swaps(text: bytes, at: dict[bytes, int]) -> list[Swap]:
+    """For every identity term of a text and every term it may be swapped for: how the text's features change.
+
+    Stems are made anew, and a feature stays that other words of the text have too.
+    """
+    found = set(_WORD.findall(text.lower()))
+    terms = found & _SWAP.keys()
+    if not terms:
+        return []
+    held = Counter(at[f] for w in found for f in features_of(w) if f in at)
+    out = []
+    for t in sorted(terms):
+        mine = [at[f] for f in features_of(t) if f in at]
+        for u in _SWAP[t]:
+            theirs = [] if u in found else [at[f] for f in features_of(u) if f in at]
+            gone = tuple(f for f in mine if held[f] == 1 and f not in theirs)
+            come = tuple(f for f in theirs if f not in held)
+            if gone or come:
+                out.append((gone, come))
+    return out
+
+
 class Classifier:
     """Logistic regression on the presence of chosen words.
 
     The loss adds penalty * (change of the logit)^2 for every identity term of a training text and every term it may
-    be swapped for, so weights of terms of one set are drawn together, and ridge * weights^2 draws all towards none.
+    be swapped for, so that a text and its counterfactuals score alike, and ridge * weights^2 draws all towards none.
     """
 
     def __init__(self, vocabulary: list[bytes], weights: np.ndarray, bias: float):
@@ -83,25 +129,29 @@ def fit(sample: list[bytes], labels: list[int], least: int = 4, z: float = 6.0,
     bags = [words(x) for x in sample]
     vocabulary = sorted({*choose(bags, y, least, z), *(t for t in _SWAP if any(t in b for b in bags))}) if len(y) else []
     at = {w: i for i, w in enumerate(vocabulary)}
-    return train(vocabulary, [sorted(at[w] for w in b & at.keys()) for b in bags], y, **how)
+    changes = Counter(c for x in sample for c in swaps(x, at))
+    return train(vocabulary, [sorted(at[w] for w in b & at.keys()) for b in bags], y, changes, **how)
 
 
-def train(vocabulary: list[bytes], bags: list[list[int]], y: np.ndarray, penalty: float = 5.0, ridge: float = 3e-4, steps: int = 400, even: float = 0.5) -> Classifier:
+def train(vocabulary: list[bytes], bags: list[list[int]], y: np.ndarray, changes: Counter[Swap], penalty: float = 20.0, ridge: float = 3e-4, steps: int = 400, even: float = 0.7) -> Classifier:
     """Train on the chosen words that each text holds; even: how far the two labels are weighed alike, 0 to 1.
 
-    Without labels of both kinds the score is their share (0.25 if none).
+    changes counts the swaps of the training texts. Each term of a set is also swapped once for each other on its own,
+    so that terms that no training text holds are tied too, through their stems. Without labels of both kinds the
+    score is their share (0.25 if none).
     """
     if not len(y) or y.min() == y.max():
         p = 0.25 if not len(y) else min(0.99, max(0.01, float(y.mean())))
         return Classifier([], np.zeros(0), np.log(p / (1 - p)))
-    at = {w: i for i, w in enumerate(vocabulary)}
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     cols = np.array([i for b in bags for i in b], np.int64)
-    terms = {at[t]: [at[u] for u in _SWAP[t] if u in at] for t in _SWAP if t in at}
-    swaps = Counter((t, u) for b in bags for t in b if t in terms for u in terms[t] if u not in b)
-    a = np.array([k[0] for k in swaps], np.int64)
-    b = np.array([k[1] for k in swaps], np.int64)
-    s = np.array(list(swaps.values()), float) / len(y)
+    at = {w: i for i, w in enumerate(vocabulary)}
+    every = changes + Counter(c for t in _SWAP for c in swaps(t, at))
+    gone, come = ([len(c[k]) for c in every] for k in (0, 1))
+    pair = np.concatenate([np.repeat(np.arange(len(every)), gone), np.repeat(np.arange(len(every)), come)]).astype(np.int64)
+    feature = np.array([f for k in (0, 1) for c in every for f in c[k]], np.int64)
+    sign = np.concatenate([-np.ones(sum(gone)), np.ones(sum(come))])
+    share = np.array(list(every.values()), float) / len(y)
     w, bias = np.zeros(len(vocabulary)), float(np.log(y.mean() / (1 - y.mean())))
     balance = np.where(y > 0, (0.5 / y.mean()) ** even, (0.5 / (1 - y.mean())) ** even)
     momentum, slope = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -109,12 +159,13 @@ def train(vocabulary: list[bytes], bags: list[list[int]], y: np.ndarray, penalty
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, w[cols], len(y)), -30, 30)))
         error = (p - y) * balance / len(y)
         g = np.bincount(cols, error[rows], len(w)) + 2 * ridge * w
-        if len(s):
-            gap = 2 * penalty * s * (w[a] - w[b])
-            g += np.bincount(a, gap, len(w)) - np.bincount(b, gap, len(w))
+        if len(share):
+            change = np.bincount(pair, sign * w[feature], len(share))
+            g += np.bincount(feature, sign * (2 * penalty * share * change)[pair], len(w))
         g = np.append(g, error.sum())
         momentum, slope = 0.9 * momentum + 0.1 * g, 0.999 * slope + 0.001 * g * g
-        move = 0.1 * (momentum / (1 - 0.9**step)) / (np.sqrt(slope / (1 - 0.999**step)) + 1e-9)
+        rate = 0.1 * (1 - 0.9 * step / steps)
+        move = rate * (momentum / (1 - 0.9**step)) / (np.sqrt(slope / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
     return Classifier(vocabulary, w, bias)
 
@@ -124,13 +175,13 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 8000, penalty: float = 5.0, least: int = 4, z: float = 6.0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 8000, penalty: float = 20.0, least: int = 4, z: float = 6.0) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     The classifier learns from labelled documents that are not held out, at most max_sample of them in the order of a
     hash of doc_id. Tasks count the sample's words and stems by label, and Spark keeps those that tell the labels
-    apart; the driver sees which of these each sample text holds, never a text, fits the weights and sends them to the
-    tasks. Only the text is an input of the score. Null and empty texts get the score of a text without any chosen
+    apart; the driver sees which of these each sample text holds and how swaps of identity terms change them, never a
+    text, fits the weights and sends them to the tasks. Only the text is an input of the score. Null and empty texts get the score of a text without any chosen
     word. Several labels for a document are as many training rows; null labels are left out. Without labels the score
     is 0.25.
     """
@@ -162,10 +213,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 8000, penalty
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1 << 20):
             got = [sorted(at[w] for w in words(x) & at.keys()) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["order", "toxic", "bag"])
+            changes = [[{"gone": list(a), "come": list(b)} for a, b in swaps(x, at)] for x in texts(batch)]
+            change = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("order"), batch.column("toxic"), pa.array(got, pa.list_(pa.int32())), pa.array(changes, change)], ["order", "toxic", "bag", "changes"]
+            )
 
-    given = sorted((r["order"], r["toxic"], list(r["bag"])) for r in sample.mapInArrow(bags, "order long, toxic int, bag array<int>").collect())
-    model = spark.sparkContext.broadcast(train(vocabulary, [b for _, _, b in given], np.array([y for _, y, _ in given], float), penalty))
+    told = sample.mapInArrow(bags, "order long, toxic int, bag array<int>, changes array<struct<gone: array<int>, come: array<int>>>").collect()
+    given = sorted((r["order"], r["toxic"], list(r["bag"])) for r in told)
+    changes = Counter((tuple(c["gone"]), tuple(c["come"])) for r in told for c in r["changes"])
+    model = spark.sparkContext.broadcast(train(vocabulary, [b for _, _, b in given], np.array([y for _, y, _ in given], float), changes, penalty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
