@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.common import materialise
 
-#: Moves are let through by these many steps of priority, and slots are numbered in these many lanes of a shard.
-STEPS, LANES = 1024, 256
+#: Moves are let through by these many steps of priority, slots are numbered in these many lanes of a shard, and rows of
+#: a group meet what is known of it under these many names.
+STEPS, LANES, SALTS = 1024, 256, 256
 
 
 def _mod(n: int, *parts: Column | str) -> Column:
@@ -16,15 +17,16 @@ def _mod(n: int, *parts: Column | str) -> Column:
 
 
 def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = 3) -> DataFrame:
-    """members(row, grp, label) with labels moved towards those of their group.
+    """members(row, grp, salt, label) with labels moved towards those of their group.
 
     Each round counts the labels of every group (summed by task first), ranks them, and gives the group as many home
     shards as its size needs: one, unless it is larger than a shard. A row outside its group's homes wants to move to
     one of them. From shard i to shard j as many rows may move as want to move back, plus j's share of free capacity;
     a group's rows have one priority, so they pass or wait together. The quota tables have shards x shards x STEPS
-    rows at most, whatever the input.
+    rows at most, whatever the input. Rows meet their group's homes by group and salt, so a group that holds a third of
+    all rows is SALTS keys. Rounds end early once no row moves.
     """
-    state = members
+    state, names = members, materialise(members.select("grp", "salt").distinct())
     for turn in range(rounds):
         tally = state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
         by = Window.partitionBy("grp")
@@ -33,10 +35,10 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = 3) -
         )
         homes = ranked.withColumn("k", F.least(F.lit(shards), F.ceil(F.col("size") / max(1, capacity))).cast("int")).where("rank <= k")
         homes = homes.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("homes"))
-        aimed = state.join(homes, "grp")
+        aimed = state.join(homes.join(names, "grp"), ["grp", "salt"])
         pick = (_mod(1 << 30, "row") % F.size("homes") + 1).cast("int")
         there = F.exists("homes", lambda x: x["label"] == F.col("label"))
-        aimed = aimed.select("row", "grp", "label", F.when(there, F.col("label")).otherwise(F.element_at("homes", pick)["label"]).alias("aim"), F.size("homes").alias("k"))
+        aimed = aimed.select("row", "grp", "salt", "label", F.when(there, F.col("label")).otherwise(F.element_at("homes", pick)["label"]).alias("aim"), F.size("homes").alias("k"))
         step = F.when(F.col("k") == 1, _mod(STEPS, "grp", F.lit(turn))).otherwise(_mod(STEPS, "row"))
         aimed = aimed.withColumn("step", step)
         wants = aimed.where("aim <> label").groupBy("label", "aim", "step").agg(F.count(F.lit(1)).alias("n"))
@@ -51,8 +53,13 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = 3) -
         upto = Window.partitionBy("label", "aim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         passed = wants.withColumn("upto", F.sum("n").over(upto)).join(room.select("label", "aim", "quota"), ["label", "aim"])
         passed = passed.where("upto <= quota").select("label", "aim", "step", F.lit(True).alias("go"))
-        state = aimed.join(F.broadcast(passed), ["label", "aim", "step"], "left").select("row", "grp", F.when(F.col("go"), F.col("aim")).otherwise(F.col("label")).alias("label"))
-        state = materialise(state)
+        state = aimed.join(F.broadcast(passed), ["label", "aim", "step"], "left").select(
+            "row", "grp", "salt", F.when(F.col("go"), F.col("aim")).otherwise(F.col("label")).alias("label"), F.coalesce("go", F.lit(False)).alias("moved")
+        )
+        moved = materialise(state)
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
     return state
 
 
@@ -93,7 +100,7 @@ def _number(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, size, text_crc32, law "rows", shard, slot, grown_shard (null), cut_group.
+    """One row per row of docs: doc_id, size, text_crc32, law "rows", shard, slot, grown_shard (null).
 
     Equal texts are linked. All rows start at a shard given by a hash; label propagation then gathers linked rows
     while no shard may hold more of them than an even share; levelling with the unlinked rows leaves sizes at most one
@@ -110,13 +117,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
         F.md5(text).alias("grp"),
     )
     base = materialise(base.withColumn("row", F.struct("doc_id", F.monotonically_increasing_id().alias("nth"))))
-    groups = base.groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
-    linked = groups.where("held > 1").select("grp")
     total = base.count()
-    rows = base.select("row", "grp", _mod(shards, "row").cast("int").alias("label"))
-    members = materialise(rows.join(linked, "grp", "left_semi").select("row", "grp", "label"))
-    single = rows.join(groups.where("held = 1").select("grp"), "grp", "left_semi").select("row", F.lit(None).cast("string").alias("grp"), "label")
-    moved = propagate(members, shards, total // shards, rounds)
+    rows = base.select("row", "grp", _mod(SALTS, "row").cast("int").alias("salt"), _mod(shards, "row").cast("int").alias("label"))
+    sizes = rows.groupBy("grp", "salt").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("grp", "salt", F.sum("n").over(Window.partitionBy("grp")).alias("held"))
+    rows = materialise(rows.join(sizes, ["grp", "salt"]))
+    members = rows.where("held > 1").select("row", "grp", "salt", "label")
+    single = rows.where("held = 1").select("row", F.lit(None).cast("string").alias("grp"), "label")
+    moved = propagate(members, shards, total // shards, rounds).drop("salt")
     placed = level(moved.unionByName(single), shards)
     facts = base.select("row", "size", "text_crc32")
     return placed.join(facts, "row").select(
