@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WordHash, id_text, tasks
+from clausemill.llm.common import WordHash, id_text, materialise, tasks
 
 #: Bytes of text in a chunk (a run of doc_ids that one task reads at a time) and words in a bucket of hashes, about.
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
@@ -87,16 +87,16 @@ def _parcels(chunk: int, h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[
     return np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
 
 
-_SENT = "bucket int, chunk long, hashes binary, more binary"
-_REPLY = "chunk long, bucket int, bits binary"
+_SENT = "bucket int, chunk string, hashes binary, more binary"
+_REPLY = "chunk string, bucket int, bits binary"
 
 
-def _sent(chunk: int, bounds: np.ndarray, hashes: np.ndarray, more: list[bytes]) -> pa.Table:
+def _sent(chunk: str, bounds: np.ndarray, hashes: np.ndarray, more: list[bytes]) -> pa.Table:
     full = np.flatnonzero(np.diff(bounds))
     return pa.table(
         {
             "bucket": pa.array(full, pa.int32()),
-            "chunk": pa.array(np.full(len(full), chunk), pa.int64()),
+            "chunk": pa.array([chunk] * len(full), pa.string()),
             "hashes": pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()),
             "more": pa.array([more[i] for i in full], pa.binary()),
         }
@@ -109,17 +109,17 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.cumsum(new) - 1
 
 
-def _reply(chunks: list[int], bucket: int, cuts: np.ndarray, bits: np.ndarray) -> pa.Table:
+def _reply(chunks: list[str], bucket: int, cuts: np.ndarray, bits: np.ndarray) -> pa.Table:
     return pa.table(
         {
-            "chunk": pa.array(chunks, pa.int64()),
+            "chunk": pa.array(chunks, pa.string()),
             "bucket": pa.array([bucket] * len(chunks), pa.int32()),
             "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
         }
     )
 
 
-def _ordered(table: pa.Table) -> tuple[list[int], list[bytes], list[bytes]]:
+def _ordered(table: pa.Table) -> tuple[list[str], list[bytes], list[bytes]]:
     rows = sorted(zip(table.column("chunk").to_pylist(), table.column("hashes").to_pylist(), table.column("more").to_pylist()))
     return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
@@ -132,6 +132,39 @@ def _answers(replies: pa.Table, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def chunked(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text) with chunk, a name; names sort as their doc_ids do, null first.
+
+    Chunks are ranges of doc_id of equal width, and a range that holds over 3 * CHUNK_BYTES is cut again, between its
+    own smallest and largest doc_id, until none does; where all rows have one doc_id (or none) it is cut by a hash of
+    the text. So a chunk's size follows the bytes and not the spread of the ids; only a single text, or copies of one
+    under one doc_id, may be larger.
+    """
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    low, high, size = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    low, high, parts = low or 0, high or 0, max(1, (size or 0) // CHUNK_BYTES)
+    number = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.floor((F.col("doc_id") - F.lit(low)) / F.lit(-(-(high - low + 1) // parts))))
+    rows = rows.withColumn("chunk", number(cell))
+    light = materialise(rows.select("doc_id", "h", "chunk", F.octet_length("text").alias("bytes")))
+    while True:
+        ends = [f("doc_id") for f in (F.min, F.max)] + [f("h") for f in (F.min, F.max)]
+        large = light.groupBy("chunk").agg(F.sum("bytes").alias("b"), *(e.alias(c) for e, c in zip(ends, ("low", "high", "h_low", "h_high"))))
+        large = materialise(large.where(F.col("b") > 3 * CHUNK_BYTES).where("low < high or h_low < h_high"))
+        if large.isEmpty():
+            return rows.drop("h")
+
+        def finer(x: DataFrame) -> DataFrame:
+            by_id = F.col("low") < F.col("high")
+            at = F.when(by_id, F.col("doc_id") - F.col("low")).otherwise(F.col("h") - F.col("h_low"))
+            span = F.when(by_id, F.col("high") - F.col("low")).otherwise(F.col("h_high") - F.col("h_low"))
+            part = F.floor(at.cast("double") * F.ceil(F.col("b") / CHUNK_BYTES) / (span.cast("double") + 1))
+            cut = x.join(F.broadcast(large), "chunk", "left")
+            return cut.withColumn("chunk", F.when(F.col("b").isNull(), F.col("chunk")).otherwise(F.concat("chunk", F.lit("."), number(part)))).select(*x.columns)
+
+        rows, light = finer(rows), materialise(finer(light))
+
+
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
@@ -146,25 +179,17 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     maximal repeats, which are cut out. A passage sends one hash per chunk, however often it occurs, and no pairs of
     documents are made. The text is shuffled once; the three passes read the same exchange.
 
-    Null and empty texts have 0 words and an empty kept_text. Rows that repeat a doc_id are ordered by their text; the
-    second is then a repeat of the first. Null doc_ids come before all others. An empty table gives no rows.
+    Null and empty texts have 0 words and an empty kept_text. Rows that repeat a doc_id are ordered by their text
+    (in a chunk cut by hash, by the hash first); the second is then a repeat of the first. Null doc_ids come before all others. An empty table gives no rows.
     """
     rows = id_text(docs)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    low, high, size = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    low, high, size = low or 0, high or 0, size or 0
-    parts = max(1, size // CHUNK_BYTES)
-    for _ in range(12):  # ids need not be even: cut finer until no chunk is large
-        width = max(1, (high - low + 1) // parts)
-        chunk = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-        largest = rows.groupBy(chunk.alias("chunk")).agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] or 0
-        if largest <= 3 * CHUNK_BYTES or width == 1:
-            break
-        parts *= 2
+    rows = chunked(rows)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = max(tasks(spark), size // (4 * CHUNK_BYTES))
     buckets = max(1, size // (6 * BUCKET_WORDS))
-    chunks = rows.withColumn("chunk", chunk).repartition(dealt, "chunk")
+    chunks = rows.repartition(dealt, "chunk")
 
     def distinct(c: _Chunk) -> tuple[np.ndarray, ...]:
         """Distinct block hashes in order, whether each is a reference block and whether it occurs twice here."""
@@ -218,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def extend(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent(0, np.zeros(1, np.int64), np.zeros(0, np.uint64), [])
+            return _sent("", np.zeros(1, np.int64), np.zeros(0, np.uint64), [])
         _, h1, h2, _, _, bounds = windows(_Chunk(table, window), replies)
         return _sent(key[0].as_py(), bounds, h1, [h2[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])])
 
