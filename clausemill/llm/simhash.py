@@ -69,7 +69,7 @@ def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the fingerprints (distinct, one bucket) that are within the radius of each other.
+    """Links that join the fingerprints (distinct, one bucket) that are within the radius of each other, by any steps.
 
     fps has a row of 64-bit words for each fingerprint. Breadth first: at most one link per fingerprint and no pairs
     held. A bucket over 4096 of one word is first cut by blocks of bits: two words within the radius agree on one of
@@ -93,17 +93,19 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    left, queue = np.arange(len(fps)), []
+    """Links that join the fingerprints of each group to its first one."""
+    left, queue, root = np.arange(len(fps)), [], 0
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left):
         if not queue:
-            queue.append(int(left[0]))
+            root = int(left[0])
+            queue.append(root)
             left = left[1:]
         at = queue.pop()
         near = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1) <= radius
         if near.any():
             got = left[near]
-            a.append(np.full(len(got), at))
+            a.append(np.full(len(got), root))
             b.append(got)
             queue.extend(got.tolist())
             left = left[~near]
@@ -128,8 +130,8 @@ def with_near(fps: np.ndarray, bounds: np.ndarray, radius: int, most: int = 256)
 def bucket_links(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
     """a, b: links of rep among the rows of dealt(bucket, rep, *words) that share a bucket, enough to join every group.
 
-    Buckets are sorted and streamed, and each yields a spanning forest of its links, so a bucket of n fingerprints
-    gives at most n - 1 rows.
+    Buckets are sorted and streamed, and in each every group is linked to its smallest rep, so a bucket of n
+    fingerprints gives at most n - 1 rows and buckets that share a group mostly give the same ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def bucket_links(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
                 b.append(rep[at + y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    spread = dealt.select("bucket", "rep", *words).repartition(tasks(dealt.sparkSession), "bucket").sortWithinPartitions("bucket", *words)
+    spread = dealt.select("bucket", "rep", *words).repartition(tasks(dealt.sparkSession), "bucket").sortWithinPartitions("bucket", "rep")
     return spread.mapInArrow(run, "a long, b long")
 
 
@@ -243,7 +245,8 @@ def candidate_links(reps: DataFrame) -> DataFrame:
 
 
 def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the sets whose Jaccard index is at least `least`; sets are compared exactly.
+    """Links that join the sets whose Jaccard index is at least `least`, by any steps, to the first of each group; sets
+    are compared exactly.
 
     Breadth first, over an index from each shingle to the sets that hold it.
     """
@@ -271,7 +274,7 @@ def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarra
             both = np.bincount(holder[where], minlength=n)
             got = np.flatnonzero(left & (both > 0) & (both >= least * (size + size[at] - both)))
             left[got] = False
-            a.append(np.full(len(got), at))
+            a.append(np.full(len(got), root))
             b.append(got)
             queue += got.tolist()
         queue.clear()
