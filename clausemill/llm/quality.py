@@ -178,8 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: flo
     """docs without the rows that are rejected; all columns stay.
 
     Every row is judged by itself, as judge does, and carried through: ids may be null or repeated. The cutoffs are
-    found beforehand from the labelled documents alone, which are counted twice for that.
+    found in a pass of its own, so that counts meet labels and no text is shuffled.
     """
-    held = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    cut = materialise(calibrate(materialise(features(held)), labels, risk, error).select("stratum", "cutoff"))
+    cut = materialise(calibrate(materialise(features(docs)), labels, risk, error).select("stratum", "cutoff"))
     return features(docs, whole=True).join(F.broadcast(cut), "stratum", "left").where(kept()).select("row.*")
