@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm import exact_dedup, graph, html_text, mixing, packing, ppm, quality, sharding, simhash, substring_dedup, toxicity
 
+SF = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, fp long, h string, size long, row string"
 
 
@@ -67,6 +70,20 @@ def test_repeats(spark, texts, monkeypatch):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (len(w), sum(off), b" ".join(x for x, o in zip(w, off) if not o).decode())
 
 
+def test_chunks_follow_bytes_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1000)
+    rng = random.Random(7)
+    ids = [*range(60), 10**12, *(10**12 + 10**6 + i for i in range(20)), *[None] * 30, *[77] * 30]
+    rows = [(i, " ".join("w%d" % rng.randrange(99) for _ in range(25))) for i in ids]
+    size, order = Counter(), defaultdict(set)
+    for r in substring_dedup.chunked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        size[r["chunk"]] += len(r["text"])
+        order[r["chunk"]].add(-1 if r["doc_id"] is None else r["doc_id"])
+    assert max(size.values()) <= 3000 and len(size) >= 6
+    names = sorted(order)
+    assert all(max(order[a]) <= min(order[b]) for a, b in zip(names, names[1:]))
+
+
 def test_masks_cover():
     rng = random.Random(1)
     masks = simhash.covering_masks(4)
@@ -80,10 +97,14 @@ def test_forest_splits_large_buckets():
     rng = np.random.default_rng(3)
     fps = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     fps = np.unique(np.concatenate([fps, fps[:500] ^ np.uint64(5)]))
-    a, b = simhash.forest(fps[:, None], 4)
-    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
-    assert len({*np.flatnonzero(np.isin(fps, fps[:0])).tolist()}) == 0
-    assert len(a) >= 500
+    group, parent = np.arange(len(fps)), np.arange(len(fps))
+    for _ in range(3):
+        for i in range(len(fps)):
+            near = np.bitwise_count(fps ^ fps[i]) <= 4
+            group[near] = group[near].min()
+    for x, y in zip(*simhash.forest(fps[:, None], 4)):
+        parent[parent == parent[y]] = parent[x]
+    assert len({*zip(group.tolist(), parent.tolist())}) == len({*group.tolist()}) == len({*parent.tolist()}) <= len(fps) - 500
 
 
 def test_simhash(spark, texts):
@@ -120,6 +141,26 @@ def test_mixing(spark, texts):
     assert sorted(rows) == sorted(mixing.mix(make(spark, texts)).collect())
 
 
+def test_mix_by_output_shard(spark):
+    sizes = [("a", 40_000, 90_000.0), ("b", 64_000, 64_000.0), (None, 3_200, 9_600.0), ("c", 90_000, 30_000.0), ("d", 7, 21.0)]
+    goal = spark.createDataFrame([(s, "null" if s is None else f"s{s}", n, t) for s, n, t in sizes], "source string, name string, source_size long, target double")
+    rows = mixing.blocks(goal, shard_slots=16).collect()
+    assert rows and sorted(rows) == sorted(mixing.blocks(goal, shard_slots=16).collect())
+    wants, got = {name: t / n * -(-n // 32) for (_, name, n, t) in goal.collect()}, Counter(r["name"] for r in rows)
+    assert all(abs(got[k] - w) <= 16 for k, w in wants.items())
+    assert len({(r["shard"], r["position"]) for r in rows}) == len(rows)  # a slot holds one block
+    held = Counter((r["name"], r["index"]) for r in rows)
+    assert max(held.values()) <= 3 and all(len({n for (k, _), n in held.items() if k == x} | ({0} if sum(k == x for k, _ in held) < -(-s // 32) else set())) <= 2 for _, x, s, _ in goal.collect())
+    shards, share = defaultdict(Counter), {k: w / sum(wants.values()) for k, w in wants.items()}
+    for r in rows:
+        shards[r["shard"]][r["name"]] += 1
+    # counts of a source over the shards vary as multinomial counts do
+    for k in ("sa", "sb"):
+        x = np.array([s[k] for s in shards.values()])
+        m = len(rows) / len(shards)
+        assert 0.6 < x.var() / (m * share[k] * (1 - share[k])) < 1.6
+
+
 def test_sharding(spark, texts):
     rows = sharding.shard_rows(make(spark, texts), 5).collect()
     slots = defaultdict(list)
@@ -162,8 +203,58 @@ def test_quality_limits_false_rejection(spark):
     assert none == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """kept, from the definition: the fixed sequence of cutoffs by language, each with its exact binomial bound."""
+    rng, risk, error = random.Random(6), 0.1, 0.05
+    junk = [lambda w: w + "#" * rng.randrange(4), lambda w: w.upper() if rng.random() < 0.7 else w, lambda w: w + "!" * rng.randrange(2)]
+    texts, lang, quality_of = [], [], []
+    for i in range(900):
+        bad = rng.random() < 0.2
+        change = rng.choice(junk) if bad or rng.random() < 0.03 else lambda w: w
+        texts.append(" ".join(change("w%d" % rng.randrange(400)) for _ in range(rng.choice([20, 60, 90]))))
+        lang.append(["en", "en", "de", None][i % 4])
+        quality_of.append(None if i % 5 == 0 else int(not bad))
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(quality_of)), "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels, risk, error).collect()}
+
+    score, failed = [], []
+    for t in texts:
+        n = dict(zip(quality.COUNTS, quality.count_text(t.encode())))
+        failed.append(n["n_words"] < 50 or 100 * n["n_repeat_words"] > 50 * n["n_words"])
+        ratio = lambda a, b: a / b if b else 0.0
+        score.append(
+            max(
+                ratio(n["n_symbols"], n["n_words"]) / 0.1,
+                ratio(n["n_dup_lines"], n["n_lines"]) / 0.3,
+                ratio(n["n_repeat_words"], n["n_words"]) / 0.2,
+                ratio(n["n_upper"], n["n_letters"]) / 0.3,
+                ratio(n["n_marks"], n["n_words"]) / 0.1,
+                ratio(n["word_chars"], n["n_words"] * 20) / 0.5,
+                ratio(n["n_top_word"], n["n_words"]) / 0.2,
+            )
+        )
+    cutoff = {}
+    held = {x: [i for i in range(900) if lang[i] == x and not failed[i] and quality_of[i] is not None] for x in ("en", "de", None)}
+    for x, at in held.items():
+        good = [score[i] for i in at if quality_of[i] == 1]
+        best = 0
+        for c in quality.CUTOFFS:
+            k, n = sum(s > c for s in good), len(good)
+            if sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > error / len(held):
+                break
+            gone = sum(score[i] > c for i in at if quality_of[i] == 0)
+            if gone > best:
+                best, cutoff[x] = gone, c
+    assert len(cutoff) >= 2
+    for i in range(900):
+        assert got[i]["base_failed"] == failed[i]
+        assert got[i]["kept"] == (not failed[i] and score[i] <= cutoff.get(lang[i], math.inf)), i
+    assert sum(not r["kept"] and not r["base_failed"] for r in got.values()) > 30
+
+
 def test_ppm(spark, texts):
-    rows = {r["doc_id"]: r for r in ppm.lm_scores(make(spark, texts), order=3, min_share=0.001, hot_share=0.01).collect()}
+    rows = {r["doc_id"]: r for r in ppm.lm_scores(make(spark, texts), order=3, hot_grams=0.002, hot_words=0.01).collect()}
     train, tokens = Counter(), [[*held(t).lower().split(), b""] for t in texts]
     for i, t in enumerate(tokens):
         if zlib.crc32(str(i).encode()) % 5 != 1:
@@ -174,28 +265,51 @@ def test_ppm(spark, texts):
         base = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(train[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
-    assert sum(rows[i]["score"] for i in range(10, 40)) > sum(-0.9 * len(held(texts[i])) for i in range(10, 40))
-
-
-def test_ppm_is_a_distribution():
-    import pyarrow as pa
-
-    data = [b"abracadabra abracadabra", b"banana"]
-    seq, _ = ppm.symbols(data, 3)
-    counts = Counter()
-    for i in range(3, len(seq)):
-        if seq[i] != ppm.START:
-            for d in range(4):
-                context = 0
-                for s in seq[i - d : i]:
-                    context = context << ppm.WIDTH | int(s)
-                counts[d, context, int(seq[i])] += 1
-    rows = [(*k, n) for k, n in counts.items()]
-    model = ppm.Model(pa.table(dict(zip(("depth", "context", "symbol", "n"), map(list, zip(*rows))))), 3)
-    p = 10.0 ** model.logp.astype(float)
-    unseen = ppm.SYMBOLS - (model.classes - 1)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * unseen, 1, atol=1e-5)
-    assert np.allclose(model.score([b"abra" * 700], span=64), model.score([b"abra" * 700], span=100000), atol=1e-2)
+    seen = defaultdict(Counter)
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for context, symbol in places(t):
+                for d in range(4):
+                    seen[context[3 - d :]][symbol] += 1
+    for i, t in enumerate(texts):
+        assert rows[i]["score"] == pytest.approx(sum(math.log10(escaped(seen, c, s)) for c, s in places(t)))
+
+
+def places(text, order=3):
+    """Each symbol of a text and its end, after the `order` symbols before it."""
+    x = [ppm.START] * order + list(held(text).lower()) + [ppm.END]
+    return [(tuple(x[i - order : i]), x[i]) for i in range(order, len(x))]
+
+
+def escaped(seen, context, symbol):
+    """PPM by its definition: escape from context to context, leaving out what was seen on the way."""
+    p, out = 1.0, set()
+    for d in range(len(context) + 1):
+        here = {s: n for s, n in seen.get(context[d:], {}).items() if s not in out}
+        if here:
+            whole = sum(here.values()) + len(here)
+            if symbol in here:
+                return p * here[symbol] / whole
+            p *= len(here) / whole
+            out |= here.keys()
+    return p / (ppm.SYMBOLS - len(out))
+
+
+def test_ppm_is_a_distribution(spark):
+    seen = defaultdict(Counter)
+    for c, s in places("abracadabra abracadabra"):
+        for d in range(4):
+            seen[c[3 - d :]][s] += 1
+    for context in [c for c in seen if len(c) == 3]:
+        assert sum(escaped(seen, context, s) for s in range(ppm.SYMBOLS)) == pytest.approx(1)
+
+
+def test_table_finds_keys():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 54, 5000, dtype=np.uint64))
+    table = ppm.Table(keys[::2], np.arange(len(keys[::2])) + 1.0)
+    value, found = table.find(keys)
+    assert found[::2].all() and not found[1::2].any() and (value[::2] == np.arange(len(keys[::2])) + 1).all() and not value[1::2].any()
 
 
 def test_toxicity(spark):
@@ -211,8 +325,22 @@ def test_toxicity(spark):
 
 def test_toxicity_swaps_draw_terms_together():
     texts = [b"the women came"] * 30 + [b"men are here idiot"] * 30 + [b"nothing at all"] * 30
-    loose, tight = (toxicity.fit(texts, [0] * 30 + [1] * 30 + [0] * 30, penalty=p).weight for p in (0.0, 200.0))
-    assert abs(tight[b"women"] - tight[b"men"]) < 0.2 * abs(loose[b"women"] - loose[b"men"])
+    loose, tight = (toxicity.fit(texts, [0] * 30 + [1] * 30 + [0] * 30, penalty=p) for p in (0.0, 200.0))
+    gap = lambda m: abs(m.score(b"the women came") - m.score(b"the men came"))
+    assert gap(tight) < 0.2 * gap(loose)
+
+
+@pytest.mark.parametrize("other", [b"refugee", b"foreigners"])
+def test_toxicity_ties_whole_scores_of_swapped_texts(other):
+    """A term that only toxic texts hold, with its stems, scores like one that clean texts hold or none hold."""
+    rng = random.Random(1)
+    body = lambda: b" ".join(b"w%d" % rng.randrange(200) for _ in range(20))
+    texts = [b"an immigrant " + body() + (b" idiot" if i % 2 else b"") for i in range(40)] + [(b"a refugee " if i % 2 else b"") + body() for i in range(80)]
+    model = toxicity.fit(texts, [1] * 40 + [0] * 80)
+    loose = toxicity.fit(texts, [1] * 40 + [0] * 80, penalty=0.0)
+    gap = lambda m: abs(m.score(b"the immigrant came") - m.score(b"the %s came" % other))
+    assert gap(model) < 0.1 < 0.5 < gap(loose)
+    assert model.score(b"you idiot") > model.score(b"you") + 0.2
 
 
 def test_packing(spark, texts):
@@ -244,6 +372,35 @@ def test_packing(spark, texts):
     assert len(by_sequence) <= 1.1 * -(-total // 64) + 1
 
 
+def test_program_fills_sequences():
+    rng = np.random.default_rng(2)
+    for n, capacity in ((40, 64), (3000, 64), (60_000, 256)):
+        lengths = np.minimum(capacity, rng.lognormal(np.log(capacity / 3), 0.8, n).astype(int) + 1)
+        histogram = np.bincount(lengths, minlength=capacity + 1)
+        taken = packing.solve(histogram, capacity)
+        held = sum(times * c for times, c in taken)
+        assert (held == histogram).all() and all((c * np.arange(capacity + 1)).sum() <= capacity for _, c in taken)
+        greedy, left = 0, Counter(lengths.tolist())
+        while left:
+            room, greedy = capacity, greedy + 1
+            while fit := max((x for x in left if x <= room), default=0):
+                room -= fit
+                left[fit] -= 1
+                if not left[fit]:
+                    del left[fit]
+        bound, used = -(-int(lengths.sum()) // capacity), sum(times for times, _ in taken)
+        print(n, capacity, bound, used, greedy)
+        assert used <= greedy and (n < 1000 or used <= 1.002 * bound + 1)
+        program = packing.fractional(histogram, capacity)
+        covered = Counter()
+        for c, dose in program.items():
+            for x, k in c:
+                covered[x] += k * dose
+        assert all(covered[x] <= histogram[x] + 1e-6 for x in covered)
+        if n > 1000:
+            assert sum(k * x for x, k in covered.items()) >= 0.99 * lengths.sum()
+
+
 @pytest.mark.parametrize("text", ["a  b", "a\n b", " a", "  ", "\n \n", "a \n\n b  c", "<|endoftext|> hi<|endoftext|>", "don't  it's", "a b ", "é  ñ \t q", "a　b", "  x"])
 def test_encoder_equals_tokenizers(text):
     from tokenizers import Tokenizer
@@ -269,6 +426,33 @@ def test_html(spark):
     assert (got[3], got[4], got[5], got[6]) == ("", "", "cut off he", "Body.")
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs sf0.1")
+def test_tree_model_learns_where_articles_are(spark):
+    """Every other page trains the model; the others are read as if all tags were div or p and nothing had a name."""
+    pages = [html_text.Page(r["html"] or "") for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(600).collect()]
+    pages = [p for p in pages if p.seeds()]
+    share = []
+    for model in (html_text.TreeModel(html_text.tally(iter(pages[::2]))), html_text.TreeModel({})):
+        right = [(q[n] >= 0.5) == (y[n] == html_text.CONTENT) for p in pages[1::2] for y, q in [(p.seeds(), model.marginals(p, marks=False))] for n, _ in p.blocks]
+        share.append(sum(right) / len(right))
+    print("right blocks on pages without marks, trained and untrained:", share)
+    assert share[0] > 0.97 and share[0] > share[1] + 0.2
+
+
+def test_html_marginals_equal_enumeration():
+    import itertools
+
+    page = html_text.Page("<body><nav><a href=x>m</a></nav><div><p>Some words. More.</p><p>x</p></div>")
+    model = html_text.TreeModel(html_text.tally(iter([html_text.Page("<nav>a</nav><article><p>Words here. And more.</p></article><p>z")])))
+    local, total = np.exp(model.local(page)), np.zeros((len(page.parent), 3))
+    for y in itertools.product(range(3), repeat=len(page.parent)):
+        w = html_text._ROOT[y[0]] * local[0, y[0]]
+        for i in range(1, len(y)):
+            w *= model.edge[y[page.parent[i]]][y[i]] * local[i, y[i]]
+        total[range(len(y)), y] += w
+    assert model.marginals(page) == pytest.approx((total[:, html_text.CONTENT] / total.sum(1)).tolist())
+
+
 def test_empty_tables(spark):
     docs, labels = make(spark, ["x"]).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for got in (
