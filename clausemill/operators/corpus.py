@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,13 @@ def duplicate_ids(units: DataFrame, key: str) -> DataFrame:
 
 
 def delta_plan(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """unit_id, action: skip (same content), embed (new or changed) or purge (no longer there)."""
-    a, b = new.select("unit_id", F.col("content_hash").alias("h")), stored.select("unit_id", F.col("content_hash").alias("g"))
-    return a.join(b, "unit_id", "full_outer").select("unit_id", F.when(F.col("h").isNull(), "purge").when(F.col("h") == F.col("g"), "skip").otherwise("embed").alias("action"))
+    """unit_id, action: embed (new or changed text), update_metadata (same text, other payload_hash), skip (same in both)
+    or purge (no longer there). Tables without payload_hash only compare texts."""
+    more = "payload_hash" in new.columns and "payload_hash" in stored.columns
+    of = lambda df, h, p: df.select("unit_id", F.col("content_hash").alias(h), (F.col("payload_hash") if more else F.lit("")).alias(p))
+    same = F.col("h") == F.col("g")
+    action = F.when(F.col("h").isNull(), "purge").when(same & F.col("p").eqNullSafe(F.col("q")), "skip").when(same, "update_metadata").otherwise("embed")
+    return of(new, "h", "p").join(of(stored, "g", "q"), "unit_id", "full_outer").select("unit_id", action.alias("action"))
 
 
 def build_report(plan: DataFrame) -> DataFrame:
@@ -44,10 +48,21 @@ def build_report(plan: DataFrame) -> DataFrame:
     return plan.rollup("act").agg(F.count_if(F.col("action") != "purge").alias("total"), n("skip").alias("skipped"), n("embed").alias("embedded"), n("purge").alias("purged"))
 
 
+def digest_in_parts(rows: DataFrame, keys: list[str], line: Column, parts: int = 256) -> DataFrame:
+    """keys, digest of the sorted lines of each group, in two steps, so that no row holds a whole group.
+
+    Lines are dealt to `parts` parts by the first two hex digits of their SHA-256; each part's sorted lines are hashed,
+    then the part digests in order, with their numbers. The order of the rows does not matter.
+    """
+    part = F.conv(F.substring(F.sha2("line", 256), 1, 2), 16, 10).cast("int") % parts
+    some = rows.select(*keys, line.alias("line")).withColumn("part", part).groupBy(*keys, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+    held = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("all"))
+    return held.select(*keys, F.sha2(F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["part"].cast("string"), x["h"])), "\n"), 256).alias("digest"))
+
+
 def unit_digest(units: DataFrame) -> DataFrame:
-    """act, digest over the sorted locators and hashes of each act."""
-    line = F.concat("locator", F.lit("\n"), "content_hash", F.lit("\n"))
-    return units.groupBy("act").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"))
+    """act, digest over the locators and hashes of each act, whatever their order."""
+    return digest_in_parts(units, ["act"], F.concat_ws(" ", "locator", "content_hash"))
 
 
 def pages_to_text(pages: DataFrame) -> DataFrame:

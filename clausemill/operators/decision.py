@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What stands for a code in a document view. Fixed values, strongest first.
-PROMINENCE = ("contradictory", "uncertain", "permissible_departure", "consistent")
-
 
 def resolve_finding(facts: DataFrame) -> DataFrame:
     """facts with code, cause and violation: the closed decision table, in fixed precedence.
@@ -73,7 +70,7 @@ def resolve_quotes(findings: DataFrame, texts: DataFrame) -> DataFrame:
     No occurrence is fabricated, more than one ambiguous, a blank quote empty, one is resolved to its span.
     """
     words = F.regexp_extract_all("quote", F.lit(r"(\S+)"))
-    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    pattern = F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1")), "\\s+")
     joined = findings.withColumn("pattern", pattern).join(texts, "doc_id")
     n = F.regexp_count("text", F.col("pattern"))
     kind = F.when(F.col("pattern") == "", "empty").when(n == 0, "fabricated").when(n > 1, "ambiguous").otherwise("resolved")

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 #: Label and pattern of what must not occur in a text. Fixed values.
 PROHIBITED = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "url": r"https?://[^ \t\n\r]+",
-    "digits_11": r"\b\d{11}\b",
-    "digits_10": r"\b\d{10}\b",
-    "digits_9": r"\b\d{9}\b",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "digits_11": r"(?<!\d)\d{11}(?!\d)",
+    "digits_10": r"(?<!\d)\d{10}(?!\d)",
+    "phone": r"(?<!\d)(?:\+48[\s-]?)?(?:\d[\s-]?){9}(?!\d)",
+    "url": r"(?i)https?://|www\.",
+    "article": r"(?iU)\bart\.?\s*\d+",
+    "act_name": r"(?iU)\b(?:kodeks(?:u|ie)?|ustaw(?:a|y|ie|ę)|rozporządzen(?:ie|ia))\b",
 }
+#: One of these is in every text that a pattern can match, so that most texts are read once.
+_HINT = r"(?iu)@|\d{2}|\d[\s-]\d|https?://|www\.|art|kodeks|ustaw|rozporz"
 
 
 def prohibited(documents: DataFrame) -> DataFrame:
     """doc_id, label, hits of each pattern that occurs."""
     found = F.array(*[F.struct(F.lit(k).alias("label"), F.regexp_count("text", F.lit(p)).alias("hits")) for k, p in PROHIBITED.items()])
-    return documents.select("doc_id", F.inline(found)).where("hits > 0")
+    return documents.where(F.col("text").rlike(_HINT)).select("doc_id", F.inline(found)).where("hits > 0")
 
 
 def text_rules(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from clausemill.functions.text import term_id, terms
 
 
+#: Parts of the postings of one term.
+SALTS = 16
+
+
 def corpus_terms(units: DataFrame, key: str = "unit_id") -> DataFrame:
     """key, pos, term of each unit's text."""
     return units.select(key, F.posexplode(terms(F.col("text"))).alias("pos", "term"))
@@ -41,12 +45,14 @@ def top(scored: DataFrame, k: int, key: str = "query_id", unit: str = "unit_id")
 def sparse_topk(post: DataFrame, wanted: DataFrame, k: int, n_units: DataFrame) -> DataFrame:
     """query_id, unit_id, score, rank: BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); n_units(n) has one row.
 
-    Only postings of asked-for terms are joined; document frequency is counted on those alone.
+    Only postings of asked-for terms are joined; document frequency is counted on those alone. Postings of a term meet
+    the queries that ask for it in SALTS parts, so a term that most units hold is no single task.
     """
     asked = post.join(wanted.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n_units)).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = wanted.join(idf, "term").join(asked, "term")
+    wanted = wanted.join(idf, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = asked.withColumn("salt", F.pmod(F.xxhash64("unit_id"), F.lit(SALTS)).cast("int")).join(wanted, ["term", "salt"])
     score = F.round(F.sum(F.col("weight") * F.col("idf")), 6)
     return top(hits.groupBy("query_id", "unit_id").agg(score.alias("score")), k)
 
@@ -62,12 +68,31 @@ def unit_vectors(vectors: DataFrame, width: int) -> DataFrame:
     return ok.select("vec_id", F.transform("embedding", lambda x: x / F.col("norm")).alias("unit"))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bad_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """rule, key: vectors that are missing, of another width, not finite or of no length, which unit_vectors leaves out."""
+    norm = dot(F.col("embedding"), F.col("embedding"))
+    rule = F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != width, "wrong_width").when(norm.isNull() | F.isnan(norm), "not_finite").when(norm == 0, "zero_length")
+    return vectors.select(rule.alias("rule"), F.col("vec_id").cast("string").alias("key")).where("rule is not null")
+
+
+def hybrid_search(sparse: DataFrame, dense: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, unit_id, score, sparse_score, dense_score and the columns of units: both rankings cut at k, fused
+    by reciprocal rank and cut at k again; a limb that does not hold the unit scores 0."""
+    a, b = sparse.where(F.col("rank") <= k), dense.where(F.col("rank") <= k)
+    fused = rrf(a, b, k)
+    by = ["query_id", "unit_id"]
+    scores = fused.join(a.select(*by, F.col("score").alias("sparse_score")), by, "left").join(b.select(*by, F.col("score").alias("dense_score")), by, "left")
+    return scores.na.fill(0.0, ["sparse_score", "dense_score"]).join(units, "unit_id")
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, most: int = 4096) -> DataFrame:
     """query_id, unit_id, score, rank: cosine of every unit vector with the stated queries, in blocks.
 
     queries(query_id, unit) is a stated set. Vectors are dealt over the cluster and the set meets every row of a
-    block; each task keeps k rows of each query, and those alone are shuffled.
+    block; each task keeps k rows of each query, and those alone are shuffled. The set is sent to the tasks if it has at
+    most `most` rows.
     """
+    queries = F.broadcast(queries) if queries.count() <= most else queries
     pairs = vectors.select(F.col("vec_id").alias("unit_id"), F.col("unit").alias("v")).crossJoin(queries.select("query_id", F.col("unit").alias("q")))
     return top(pairs.select("query_id", "unit_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k)
 

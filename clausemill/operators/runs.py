@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.operators.corpus import digest_in_parts
+
 ARMS = ("off", "mid", "on")
 
 
@@ -23,7 +25,7 @@ def merge_totals(runs: DataFrame, totals: DataFrame, columns: list[str]) -> Data
 def reconcile(runs: DataFrame) -> DataFrame:
     """runs with those still running failed, as the process restarted."""
     cut = F.col("status") == "running"
-    return runs.withColumn("failure", F.when(cut, F.lit("process_restarted"))).withColumn("status", F.when(cut, "failed").otherwise(F.col("status")))
+    return runs.withColumn("failure", F.when(cut, F.lit("process_restarted")).otherwise(F.col("failure") if "failure" in runs.columns else F.lit(None))).withColumn("status", F.when(cut, "failed").otherwise(F.col("status")))
 
 
 def erase(document_ids: DataFrame, runs: DataFrame, *children: DataFrame) -> list[DataFrame]:
@@ -95,10 +97,9 @@ def cross_batch(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """keys, fingerprint of the ordered rows of each group."""
-    row = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
-    return rows.select(*keys, F.sha2(F.array_join(F.col("rows.r"), "\n"), 256).alias("fingerprint"))
+    """keys, fingerprint of the rows of each group, each with its place; hashed in parts, so that no row holds a group."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (order, *columns)])
+    return digest_in_parts(df, keys, row).withColumnRenamed("digest", "fingerprint")
 
 
 def run_rules(attempts: DataFrame) -> DataFrame:
@@ -184,3 +185,46 @@ def clean_cohort(artifacts: DataFrame, exposed: DataFrame) -> DataFrame:
     """case_id of the cases none of whose artifacts was exposed. artifacts(case_id, artifact_id), exposed(artifact_id)."""
     seen = artifacts.join(exposed.select("artifact_id").distinct(), "artifact_id", "left_semi").select("case_id").distinct()
     return artifacts.select("case_id").distinct().join(seen, "case_id", "left_anti")
+
+
+def run_detail(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """artifact_id, arm, elapsed_s, input_tokens, output_tokens, findings, not_processed, status, cost as a table shows them.
+
+    What was not recorded is a dash, a cost without a price is unknown, and an invalid measurement is marked.
+    """
+    n = findings.groupBy("run_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("code") == "not_processed").alias("not_processed"))
+    rows = runs.join(n, "run_id", "left")
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)).cast("string"), F.lit("—"))
+    status = F.coalesce("status", F.lit("—"))
+    unknown = F.col("cost_unknown_reason").isNotNull() | F.col("cost_microunits").isNull()
+    return rows.select(
+        "run_id",
+        "artifact_id",
+        "arm",
+        F.when(F.col("elapsed_ms").isNull(), "—").otherwise(F.format_string("%.1f", F.col("elapsed_ms") / 1000)).alias("elapsed_s"),
+        text("input_tokens").alias("input_tokens"),
+        text("output_tokens").alias("output_tokens"),
+        F.coalesce("findings", F.lit(0)).alias("findings"),
+        F.coalesce("not_processed", F.lit(0)).alias("not_processed"),
+        F.when(F.coalesce("measurement_valid", F.lit(True)), status).otherwise(F.concat(status, F.lit(" (invalid)"))).alias("status"),
+        F.when(unknown, "unknown, because price table unavailable").otherwise(F.col("cost_microunits").cast("string")).alias("cost"),
+    )
+
+
+def config_parity(configs: DataFrame, expected: DataFrame, required: DataFrame, fields: list[str]) -> DataFrame:
+    """rule, key, detail: fields of served configurations that are not what the first series had, or what a repeat needs.
+
+    configs(key, field, value); expected(field, value); required(field, value). A field that neither covers is
+    uncovered. Missing values differ from any but missing ones.
+    """
+    spark = configs.sparkSession
+    names = spark.createDataFrame([(f,) for f in fields], "field string")
+    covered = expected.select("field").unionByName(required.select("field")).distinct()
+    uncovered = names.join(covered, "field", "left_anti").select(F.lit("uncovered_field").alias("rule"), F.lit("").alias("key"), F.col("field").alias("detail"))
+    keys = configs.select("key").distinct()
+    out = uncovered
+    for rule, wanted in (("differs_from_series_1", expected.join(names, "field", "left_semi")), ("required_value_missing", required)):
+        asked = keys.crossJoin(F.broadcast(wanted.select("field", F.col("value").alias("wanted"))))
+        got = asked.join(configs, ["key", "field"], "left").where(~F.col("value").eqNullSafe(F.col("wanted")))
+        out = out.unionByName(got.select(F.lit(rule).alias("rule"), F.col("key").cast("string").alias("key"), F.col("field").alias("detail")))
+    return out

@@ -27,15 +27,20 @@ def finding_status(classification: Column, legal_basis: Column, explanation: Col
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
-    """A rate with its counts; a zero denominator is undefined, never zero."""
+    """The quotient, null where nothing was counted."""
     return F.try_divide(numerator.cast("double"), denominator)
 
 
+#: What a finding is judged on besides its status.
+CRITERIA = ("classification", "legal_basis", "explanation")
+
+
 def cells(runs: DataFrame, judged: DataFrame, key: DataFrame) -> DataFrame:
     """series, document_id, arm, stratum with counts and the dimensions' numerators and denominators, one row each.
 
-    judged(series, document_id, arm, status, anchored, item_id, covers); key(document_id, items). Cells come from the
-    runs, so a cell without findings is there with zeros.
+    judged(series, document_id, arm, status, anchored, item_id, covers, classification, legal_basis, explanation);
+    key(document_id, items). Cells come from the runs, so a cell without findings is there with zeros. The accuracy of
+    a criterion is over the findings where it was decided.
     """
     by = ["series", "document_id", "arm"]
     is_ = lambda s: F.col("status") == s
@@ -44,11 +49,14 @@ def cells(runs: DataFrame, judged: DataFrame, key: DataFrame) -> DataFrame:
         F.count_if(is_("incorrect")).alias("incorrect"),
         F.count_if(is_("unresolved")).alias("unresolved"),
         F.count_distinct(F.when(is_("correct") & F.col("anchored") & F.col("covers"), F.col("item_id"))).alias("covered"),
+        *(F.count_if(F.col(c).isin("correct", "supported")).alias(f"{c}_good") for c in CRITERIA),
+        *(F.count_if(F.col(c).isin("incorrect", "unsupported")).alias(f"{c}_bad") for c in CRITERIA),
     )
     base = runs.select(*by, "stratum").distinct().join(got, by, "left").join(key, "document_id", "left")
-    base = base.na.fill(0, ["correct", "incorrect", "unresolved", "covered", "items"])
+    base = base.na.fill(0, ["correct", "incorrect", "unresolved", "covered", "items", *(f"{c}_{g}" for c in CRITERIA for g in ("good", "bad"))])
     c, i, u = F.col("correct"), F.col("incorrect"), F.col("unresolved")
     dims = {"precision": (c, c + i), "completeness": (F.col("covered"), F.col("items")), "unresolved_share": (u, c + i + u), "confirmed_share": (c, c + i + u)}
+    dims |= {f"{x}_accuracy": (F.col(f"{x}_good"), F.col(f"{x}_good") + F.col(f"{x}_bad")) for x in CRITERIA}
     rows = F.array(*[F.struct(F.lit(k).alias("dimension"), n.alias("numerator"), d.alias("denominator")) for k, (n, d) in dims.items()])
     return base.select(*by, "stratum", F.inline(rows)).withColumn("rate", ratio(F.col("numerator"), F.col("denominator")))
 
@@ -58,12 +66,10 @@ def per_arm(cell_rows: DataFrame) -> DataFrame:
 
     macro is the mean over documents, undefined if any document is; micro is over the summed counts.
     """
-    cell_rows.createOrReplaceTempView("scoring_cells")
-    return cell_rows.sparkSession.sql("""
-        SELECT series, arm, stratum, dimension,
-               CASE WHEN count(rate) = count(*) THEN round(avg(rate), 9) END AS macro,
-               round(try_divide(CAST(sum(numerator) AS DOUBLE), sum(denominator)), 9) AS micro
-        FROM scoring_cells GROUP BY GROUPING SETS ((series, arm, dimension), (series, arm, stratum, dimension))""")
+    macro = F.when(F.count("rate") == F.count(F.lit(1)), F.round(F.avg("rate"), 9))
+    micro = F.round(ratio(F.sum("numerator"), F.sum("denominator")), 9)
+    sets = cell_rows.groupingSets([["series", "arm", "dimension"], ["series", "arm", "stratum", "dimension"]], "series", "arm", "stratum", "dimension")
+    return sets.agg(macro.alias("macro"), micro.alias("micro"))
 
 
 def paired_differences(cell_rows: DataFrame) -> DataFrame:

@@ -17,12 +17,28 @@ LEVELS = (
 _SENTENCE_START = "[A-ZĄĆĘŁŃÓŚŹŻ]"
 
 
-def pieces(documents: DataFrame, parts: Column) -> DataFrame:
-    """doc_id, pos, piece, start, end: parts of a text that make it up, with running offsets."""
-    rows = documents.select("doc_id", F.posexplode(parts).alias("pos", "piece"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("piece")).over(upto)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("piece"))
+def running(lengths: Column, block: int = 256) -> Column:
+    """Running sums of an array of lengths, in blocks, so that the work is about n * block and not n * n."""
+    add = lambda xs, start: F.aggregate(xs, F.array(start), lambda got, x: F.concat(got, F.array(F.element_at(got, -1) + x)))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(lengths) / block) - 1).cast("int")), lambda i: F.slice(lengths, i * block + 1, F.lit(block)))
+    starts = add(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda got, x: got + x)), F.lit(0))
+    inside = F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda xs, start: F.slice(add(xs, start), F.lit(2), F.size(xs)))
+    return F.flatten(inside)
+
+
+def pieces(documents: DataFrame, parts: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep, pos, piece, start, end, following: parts of a text that make it up, with running offsets and the
+    start of the next part that is not blank.
+
+    Offsets are summed up inside the row, so no text is shuffled.
+    """
+    rows = documents.select("doc_id", *keep, parts.alias("parts"))
+    rows = rows.withColumn("ends", running(F.transform("parts", F.length)))
+    blank = lambda x: F.trim(F.regexp_replace(x, r"\s+", "")) == ""
+    after = F.transform("parts", lambda x, i: F.substring(F.ltrim(F.coalesce(F.get(F.filter(F.slice("parts", i + 2, F.lit(20)), lambda y: ~blank(y)), F.lit(0)), F.lit(""))), 1, 200))
+    got = rows.select("doc_id", *keep, F.posexplode(F.arrays_zip("parts", "ends", after.alias("after"))).alias("pos", "x"))
+    end, piece = F.col("x.ends"), F.col("x.parts")
+    return got.select("doc_id", *keep, "pos", piece.alias("piece"), (end - F.length(piece)).cast("long").alias("start"), end.cast("long").alias("end"), F.col("x.after").alias("following"))
 
 
 def line_anchors(documents: DataFrame) -> DataFrame:
@@ -39,16 +55,15 @@ def content_groups(documents: DataFrame) -> DataFrame:
 def markers(documents: DataFrame) -> DataFrame:
     """doc_id, length, level, rank, offset, path of the numbering markers at line starts, for every level.
 
-    A pattern may reach over the line's end, so each line is read with the start of the next.
+    A pattern may reach over the line's end, so each line is read with the start of the next that is not blank.
     """
     sized = documents.select("doc_id", "text", F.length("text").alias("length"))
-    lines = pieces(sized, F.split("text", "(?<=\n)", -1))
-    following = F.lead("piece", 1, "").over(Window.partitionBy("doc_id").orderBy("pos"))
-    lines = lines.select("doc_id", F.col("start").alias("offset"), F.concat("piece", F.substring(following, 1, 200)).alias("view"))
+    lines = pieces(sized, F.split("text", "(?<=\n)", -1), ("length",))
+    lines = lines.select("doc_id", "length", F.col("start").alias("offset"), F.concat("piece", "following").alias("view"))
     found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("level"), F.lit(kind).alias("kind"), F.regexp_extract("view", pattern, 1).alias("raw")) for i, (name, pattern, kind) in enumerate(LEVELS)])
-    rows = lines.select("doc_id", "offset", F.explode(found).alias("m")).where("m.raw <> ''")
+    rows = lines.select("doc_id", "length", "offset", F.explode(found).alias("m")).where("m.raw <> ''")
     path = F.when(F.col("m.kind") == "letter", F.array(F.ascii(F.lower("m.raw")))).otherwise(F.transform(F.split("m.raw", "\\."), lambda x: F.try_to_number(x, F.lit("999999999")).cast("int")))
-    return rows.join(sized.select("doc_id", "length"), "doc_id").select("doc_id", "length", F.col("m.level").alias("level"), F.col("m.rank").alias("rank"), "offset", path.alias("path"))
+    return rows.select("doc_id", "length", F.col("m.level").alias("level"), F.col("m.rank").alias("rank"), "offset", path.alias("path"))
 
 
 def is_successor(previous: Column, following: Column) -> Column:
@@ -76,20 +91,35 @@ def level_stats(marked: DataFrame) -> DataFrame:
     )
 
 
-def choose_level(stats: DataFrame, least: int = 3, monotonicity: float = 0.8, coverage: float = 0.6, tail: float = 0.5) -> DataFrame:
+def _enough(least: int = 3, monotonicity: float = 0.8, coverage: float = 0.6, tail: float = 0.5) -> Column:
+    return (F.col("n_markers") >= least) & (F.col("monotonicity") >= monotonicity) & (F.col("coverage") >= coverage) & (F.col("tail") <= tail)
+
+
+def choose_level(stats: DataFrame, **limits: float) -> DataFrame:
     """doc_id, level: the first level in order that is structural enough; documents without one are left out."""
-    ok = stats.where((F.col("n_markers") >= least) & (F.col("monotonicity") >= monotonicity) & (F.col("coverage") >= coverage) & (F.col("tail") <= tail))
-    return ok.groupBy("doc_id").agg(F.min_by("level", "rank").alias("level"))
+    return stats.where(_enough(**limits)).groupBy("doc_id").agg(F.min_by("level", "rank").alias("level"))
 
 
 def structural_units(documents: DataFrame) -> DataFrame:
-    """doc_id, pos, start_offset, end_offset: units cut at the markers of the chosen level; they tile the text."""
-    marked = markers(documents)
-    chosen = choose_level(level_stats(marked))
-    rows = marked.join(chosen, ["doc_id", "level"])
-    order = Window.partitionBy("doc_id").orderBy("offset")
-    pos = F.row_number().over(order) - 1
-    end = F.coalesce(F.lead("offset").over(order), F.col("length"))
+    """doc_id, pos, start_offset, end_offset: units cut at the markers of the chosen level; they tile the text.
+
+    Markers are dealt by doc_id once; the statistics of the levels, the choice and the cuts are windows on that.
+    """
+    marked = markers(documents).repartition("doc_id")
+    level, doc = Window.partitionBy("doc_id", "level"), Window.partitionBy("doc_id")
+    before = F.lag("path").over(level.orderBy("offset"))
+    rows = marked.withColumn("follows", F.when(before.isNotNull(), is_successor(before, F.col("path")).cast("int")))
+    rows = rows.withColumns(
+        {
+            "n_markers": F.count(F.lit(1)).over(level),
+            "monotonicity": F.coalesce(F.avg("follows").over(level), F.lit(1.0)),
+            "coverage": (F.col("length") - F.min("offset").over(level)) / F.col("length"),
+            "tail": (F.col("length") - F.max("offset").over(level)) / F.col("length"),
+        }
+    ).where(_enough())
+    rows = rows.withColumn("best", F.min("rank").over(doc)).where("rank = best")
+    pos = F.row_number().over(doc.orderBy("offset")) - 1
+    end = F.coalesce(F.lead("offset").over(doc.orderBy("offset")), F.col("length"))
     return rows.select("doc_id", pos.alias("pos"), F.when(pos == 0, 0).otherwise(F.col("offset")).alias("start_offset"), end.alias("end_offset"))
 
 

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """Queries and their SQL by name; importing the modules registers them."""
-    from clausemill.plans import checks, context, core, inputs, registry, worksheet  # noqa: F401
+    from clausemill.plans import acts, checks, context, core, inputs, judging, registry, verdicts, worksheet  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES

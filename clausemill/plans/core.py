@@ -346,20 +346,26 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     return runs.coverage(need, _runs(spark, sf).where("status = 'completed'"))
 
 
-@query("runs_fingerprint", "SELECT c_nationkey AS nation, sha256(string_agg(c_custkey || '|' || c_name, chr(10) ORDER BY c_custkey)) AS fingerprint FROM customer GROUP BY 1")
+def _in_parts(key: str, lines: str, name: str) -> str:
+    return f"""WITH l AS ({lines}), p AS (SELECT {key}, line, ('0x' || substr(sha256(line), 1, 2))::INT AS part FROM l), h AS (SELECT {key}, part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM p GROUP BY ALL)
+        SELECT {key}, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part)) AS {name} FROM h GROUP BY 1"""
+
+
+@query("runs_fingerprint", _in_parts("nation", "SELECT c_nationkey AS nation, c_custkey || '|' || c_custkey || '|' || c_name AS line FROM customer", "fingerprint"))
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return runs.fingerprint(table(spark, sf, "customer").withColumnRenamed("c_nationkey", "nation"), ["nation"], "c_custkey", ["c_custkey", "c_name"])
 
 
 # ---------------------------------------------------------------- scoring
 
-_CELLS_SQL = f"""{_RUNS_SQL}, j AS (SELECT series, document_id, arm, CASE l_linenumber % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' ELSE 'unresolved' END AS status, l_tax > 0.02 AS anchored, l_partkey AS item_id, l_discount > 0.02 AS covers
+_CELLS_SQL = f"""{_RUNS_SQL}, j AS (SELECT series, document_id, arm, CASE l_linenumber % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' ELSE 'unresolved' END AS status, l_tax > 0.02 AS anchored, l_partkey AS item_id, l_discount > 0.02 AS covers, ['correct', 'incorrect', 'unresolved'][l_partkey % 3 + 1] AS jc, ['supported', 'unsupported', 'not_applicable'][l_suppkey % 3 + 1] AS jb, CASE WHEN l_partkey % 4 = 0 THEN 'supported' ELSE 'not_applicable' END AS je
       FROM lineitem JOIN runs ON l_orderkey = run_id), k AS (SELECT p_partkey % 1500 AS document_id, count(*) AS items FROM part GROUP BY 1),
     g AS (SELECT series, document_id, arm, count(*) FILTER (WHERE status = 'correct') AS c, count(*) FILTER (WHERE status = 'incorrect') AS i, count(*) FILTER (WHERE status = 'unresolved') AS u,
-      count(DISTINCT item_id) FILTER (WHERE status = 'correct' AND anchored AND covers) AS v FROM j GROUP BY 1, 2, 3),
-    b AS (SELECT r.series, r.document_id, r.arm, r.stratum, coalesce(c, 0) AS c, coalesce(i, 0) AS i, coalesce(u, 0) AS u, coalesce(v, 0) AS v, coalesce(items, 0) AS items
+      count(DISTINCT item_id) FILTER (WHERE status = 'correct' AND anchored AND covers) AS v, count(*) FILTER (WHERE jc = 'correct') AS cg, count(*) FILTER (WHERE jc = 'incorrect') AS cb,
+      count(*) FILTER (WHERE jb = 'supported') AS bg, count(*) FILTER (WHERE jb = 'unsupported') AS bb, count(*) FILTER (WHERE je = 'supported') AS eg FROM j GROUP BY 1, 2, 3),
+    b AS (SELECT r.series, r.document_id, r.arm, r.stratum, coalesce(c, 0) AS c, coalesce(i, 0) AS i, coalesce(u, 0) AS u, coalesce(v, 0) AS v, coalesce(items, 0) AS items, coalesce(cg, 0) AS cg, coalesce(cb, 0) AS cb, coalesce(bg, 0) AS bg, coalesce(bb, 0) AS bb, coalesce(eg, 0) AS eg
       FROM (SELECT DISTINCT series, document_id, arm, 's' || (document_id % 5) AS stratum FROM runs) r LEFT JOIN g USING (series, document_id, arm) LEFT JOIN k USING (document_id)),
-    n AS (SELECT series, document_id, arm, stratum, unnest([{{'d': 'precision', 'x': c, 'y': c + i}}, {{'d': 'completeness', 'x': v, 'y': items}}, {{'d': 'unresolved_share', 'x': u, 'y': c + i + u}}, {{'d': 'confirmed_share', 'x': c, 'y': c + i + u}}]) AS q FROM b),
+    n AS (SELECT series, document_id, arm, stratum, unnest([{{'d': 'precision', 'x': c, 'y': c + i}}, {{'d': 'completeness', 'x': v, 'y': items}}, {{'d': 'unresolved_share', 'x': u, 'y': c + i + u}}, {{'d': 'confirmed_share', 'x': c, 'y': c + i + u}}, {{'d': 'classification_accuracy', 'x': cg, 'y': cg + cb}}, {{'d': 'legal_basis_accuracy', 'x': bg, 'y': bg + bb}}, {{'d': 'explanation_accuracy', 'x': eg, 'y': eg}}]) AS q FROM b),
     cells AS (SELECT series, document_id, arm, stratum, q.d AS dimension, q.x AS numerator, q.y AS denominator, CASE WHEN q.y > 0 THEN q.x::DOUBLE / q.y END AS rate FROM n)"""
 
 
@@ -368,7 +374,10 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem")
     n = F.col("l_linenumber") % 3
     judged = line.join(all_runs, line["l_orderkey"] == all_runs["run_id"]).select(
-        "series", "document_id", "arm", F.when(n == 0, "correct").when(n == 1, "incorrect").otherwise("unresolved").alias("status"), (F.col("l_tax") > 0.02).alias("anchored"), F.col("l_partkey").alias("item_id"), (F.col("l_discount") > 0.02).alias("covers")
+        "series", "document_id", "arm", F.when(n == 0, "correct").when(n == 1, "incorrect").otherwise("unresolved").alias("status"), (F.col("l_tax") > 0.02).alias("anchored"), F.col("l_partkey").alias("item_id"), (F.col("l_discount") > 0.02).alias("covers"),
+        F.element_at(F.array(*map(F.lit, ("correct", "incorrect", "unresolved"))), (F.col("l_partkey") % 3 + 1).cast("int")).alias("classification"),
+        F.element_at(F.array(*map(F.lit, ("supported", "unsupported", "not_applicable"))), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("legal_basis"),
+        F.when(F.col("l_partkey") % 4 == 0, "supported").otherwise("not_applicable").alias("explanation"),
     )
     key = table(spark, sf, "part").groupBy((F.col("p_partkey") % 1500).alias("document_id")).agg(F.count(F.lit(1)).alias("items"))
     return scoring.cells(all_runs, judged, key)
@@ -478,7 +487,7 @@ def build_report(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.build_report(_delta(spark, sf).withColumn("act", F.col("unit_id") % 10))
 
 
-@query("corpus_unit_digest", "SELECT source AS act, sha256(string_agg(x, '' ORDER BY x)) AS digest FROM (SELECT source, doc_id || chr(10) || sha256(text) || chr(10) AS x FROM documents) GROUP BY source")
+@query("corpus_unit_digest", _in_parts("act", "SELECT source AS act, doc_id || ' ' || sha256(text) AS line FROM documents", "digest"))
 def unit_digest(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.unit_digest(table(spark, sf, "documents").select(F.col("source").alias("act"), F.col("doc_id").cast("string").alias("locator"), F.sha2("text", 256).alias("content_hash")))
 
@@ -505,8 +514,11 @@ def act_force(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- data quality
 
 
-@query("quality_prohibited", r"""WITH p AS (SELECT doc_id, unnest([{'label': 'email', 'hits': len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))}, {'label': 'url', 'hits': len(regexp_extract_all(text, 'https?://[^ \t\n\r]+'))},
-    {'label': 'digits_11', 'hits': len(regexp_extract_all(text, '\b\d{11}\b'))}, {'label': 'digits_10', 'hits': len(regexp_extract_all(text, '\b\d{10}\b'))}, {'label': 'digits_9', 'hits': len(regexp_extract_all(text, '\b\d{9}\b'))}]) AS x FROM documents)
+@query("quality_prohibited", r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\d+') AS runs, regexp_replace(text, '(\d+)', chr(1) || '\1' || chr(2), 'g') AS g FROM documents),
+    p AS (SELECT doc_id, unnest([{'label': 'email', 'hits': len(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'))}, {'label': 'url', 'hits': len(regexp_extract_all(text, '(?i)https?://|www\.'))},
+    {'label': 'digits_11', 'hits': len(list_filter(runs, lambda x: length(x) = 11))}, {'label': 'digits_10', 'hits': len(list_filter(runs, lambda x: length(x) = 10))},
+    {'label': 'phone', 'hits': len(regexp_extract_all(g, '\+\x0148(?:\x02[\s-]\x01)?(?:\d(?:\x02[\s-]\x01)?){8}\d\x02|\x01(?:\d(?:\x02[\s-]\x01)?){8}\d\x02'))},
+    {'label': 'article', 'hits': len(regexp_extract_all(text, '(?i)\bart\.?\s*\d+'))}, {'label': 'act_name', 'hits': len(regexp_extract_all(text, '(?i)\b(?:kodeks(?:u|ie)?|ustaw(?:a|y|ie|ę)|rozporządzen(?:ie|ia))\b'))}]) AS x FROM t)
     SELECT doc_id, x.label AS label, x.hits AS hits FROM p WHERE x.hits > 0""")
 def prohibited(spark: SparkSession, sf: str) -> DataFrame:
     return quality.prohibited(table(spark, sf, "documents")).withColumn("hits", F.col("hits").cast("long"))
