@@ -38,7 +38,7 @@ def text_rules(documents: DataFrame) -> DataFrame:
 
 def reject_corrupt_text(documents: DataFrame, share: float = 0.1) -> DataFrame:
     """rule, key, detail: control characters other than tab, LF and CR, or too many replacement characters."""
-    control = F.regexp_count("text", F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"))
+    control = F.regexp_count("text", F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"))
     lost = F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))
     rule = F.when(control > 0, "control_characters").when(lost > share * F.length("text"), "replacement_characters")
     return documents.select(rule.alias("rule"), F.col("doc_id").cast("string").alias("key"), control.cast("string").alias("detail")).where("rule is not null")

@@ -530,7 +530,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("n_words", F.col("n_words").cast("long")).withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
-@query("quality_corrupt_text", r"""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS n, length(text) - length(replace(text, chr(65533), '')) AS lost FROM documents)
+@query("quality_corrupt_text", r"""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')) AS n, length(text) - length(replace(text, chr(65533), '')) AS lost FROM documents)
     SELECT CASE WHEN n > 0 THEN 'control_characters' ELSE 'replacement_characters' END AS rule, doc_id::VARCHAR AS key, n::VARCHAR AS detail FROM c WHERE n > 0 OR lost > 0.1 * length(text)""")
 def corrupt_text(spark: SparkSession, sf: str) -> DataFrame:
     return quality.reject_corrupt_text(table(spark, sf, "documents"))

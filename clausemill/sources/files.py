@@ -72,3 +72,50 @@ def valid_responses(responses: DataFrame) -> DataFrame:
 def hash_prose(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with these columns replaced by their SHA-256; a null stays null."""
     return df.withColumns({c: F.sha2(F.col(c), 256) for c in columns})
+
+
+def read_runs(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Recorded runs from JSON files, one object a file: schema's columns, artifact_id and arm.
+
+    Where the object does not name its artifact and arm, the path does: .../<artifact>/<arm>.json.
+    """
+    rows = spark.read.schema(schema).json(paths, multiLine=True).select("*", F.col("_metadata.file_path").alias("file_path"))
+    part = lambda i: F.nullif(F.regexp_extract("file_path", r"([^/]+)/([^/]+)\.json$", i), F.lit(""))
+    named = {c: F.coalesce(F.col(c), part(i)) if c in rows.columns else part(i) for i, c in ((1, "artifact_id"), (2, "arm"))}
+    return rows.withColumns(named)
+
+
+#: The tables of run metadata. Text of findings is never stored.
+RUN_TABLES = {
+    "runs": "run_id string, document_id string, arm string, status string, failure string, model string, tokens long, created_at timestamp",
+    "attempts": "run_id string, seq int, success boolean, model string, tokens long, elapsed_ms long",
+    "findings": "run_id string, seq int, finding_id string, unit_id string, code string, start_offset int, end_offset int, page int",
+}
+
+
+def write_run_tables(tables: dict[str, DataFrame], path: str, mode: str = "append") -> DataFrame:
+    """Write rows of the run tables as Parquet, children of unknown runs left out; rule, key of those rows.
+
+    A child's run must be among the runs written with it or before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    runs = tables["runs"].select("run_id")
+    if mode == "append" and spark._jvm.org.apache.hadoop.fs.Path(f"{path}/runs").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/runs")):
+        runs = runs.unionByName(spark.read.parquet(f"{path}/runs").select("run_id"))
+    runs, orphans = runs.distinct(), None
+    for name, schema in RUN_TABLES.items():
+        if name not in tables:
+            continue
+        rows = tables[name].to(spark.createDataFrame([], schema).schema)
+        if name != "runs":
+            lost = rows.join(runs, "run_id", "left_anti").select(F.lit(f"unknown_run_of_{name}").alias("rule"), F.col("run_id").alias("key"))
+            orphans = lost if orphans is None else orphans.unionByName(lost)
+            rows = rows.join(runs, "run_id", "left_semi")
+        rows.write.mode(mode).parquet(f"{path}/{name}")
+    return spark.createDataFrame([], "rule string, key string") if orphans is None else orphans
+
+
+def read_run_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A run table in the order it was made: runs by time, children by run and place."""
+    rows = spark.read.schema(RUN_TABLES[name]).parquet(f"{path}/{name}")
+    return rows.orderBy("created_at", "run_id") if name == "runs" else rows.orderBy("run_id", "seq")

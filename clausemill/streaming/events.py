@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def valid_events(events: DataFrame) -> DataFrame:
@@ -31,18 +36,51 @@ def last_n(events: DataFrame, n: int = 100) -> DataFrame:
 
 
 def expired(events: DataFrame, seconds: int, as_of: str) -> DataFrame:
-    """user_id, written_at, expired of each user's last write: expired exactly at the deadline (batch)."""
+    """user_id, written_at, expired of each user's last write: expired exactly at the deadline; a stream keeps one time a user."""
     last = events.groupBy("user_id").agg(F.max("ts").alias("written_at"))
     return last.withColumn("expired", F.col("written_at") + F.expr(f"interval {seconds} seconds") <= F.to_timestamp(F.lit(as_of)))
 
 
 def stalled(events: DataFrame, seconds: int, terminal: str, as_of: str) -> DataFrame:
-    """user_id, first_at of runs without a terminal event within their budget from the first event (batch)."""
-    first = events.groupBy("user_id").agg(F.min("ts").alias("first_at"))
+    """user_id, first_at of runs without a terminal event within their budget from the first event.
+
+    One aggregation a run, so a stream keeps two times for each; its output mode is complete or update.
+    """
+    ends = F.when(F.col("event_type") == terminal, F.col("ts"))
+    first = events.groupBy("user_id").agg(F.min("ts").alias("first_at"), F.min(ends).alias("ended_at"))
     deadline = F.col("first_at") + F.expr(f"interval {seconds} seconds")
-    ends = events.where(F.col("event_type") == terminal).select("user_id", "ts")
-    done = ends.join(first, "user_id").where(F.col("ts") <= deadline).select("user_id").distinct()
-    return first.where(deadline <= F.to_timestamp(F.lit(as_of))).join(done, "user_id", "left_anti")
+    late = (deadline <= F.to_timestamp(F.lit(as_of))) & (F.col("ended_at").isNull() | (F.col("ended_at") > deadline))
+    return first.where(late).select("user_id", "first_at")
+
+
+def last_n_stream(events: DataFrame, n: int = 100) -> DataFrame:
+    """user_id, event_ids of each user's last n events by ts and event_id, newest first, whenever they change.
+
+    A stream's state for a user is n rows at most.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for batch in batches:
+            held += zip(batch["ts"].astype("int64").tolist(), batch["event_id"].tolist())
+            held = sorted(set(held), reverse=True)[:n]
+        state.update(([t for t, _ in held], [e for _, e in held]))
+        yield pd.DataFrame({"user_id": [key[0]], "event_ids": [[e for _, e in held]]})
+
+    rows = events.select("user_id", "event_id", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_ids array<bigint>", "ts array<bigint>, ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def cascade(documents: DataFrame, runs: DataFrame, *children: DataFrame) -> list[DataFrame]:
+    """runs and their children without what comes of the documents that were deleted."""
+    gone = runs.join(documents.select("document_id").distinct(), "document_id", "left_semi").select("run_id")
+    return [runs.join(gone, "run_id", "left_anti"), *[c.join(gone, "run_id", "left_anti") for c in children]]
+
+
+def cascade_stream(deletions: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run apply(document_ids, batch id) for each batch of a stream of deletions, once for each batch that is committed."""
+    batches = deletions.select("document_id").writeStream.foreachBatch(lambda batch, nth: apply(batch.distinct(), nth))
+    return batches.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedupe(events: DataFrame, late: str = "1 hour") -> DataFrame:
