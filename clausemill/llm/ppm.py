@@ -56,14 +56,14 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
                 keys, n, m = (x[at : at + (1 << 17)] for x in columns)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(m)], ["gram", "n", "m"])
 
-        for batch in small(batches, 4 << 20):
+        for batch in small(batches, 2 << 20):
             every, outside = texts(batch), batch.column("held_out").to_pylist()
             for apart in (False, True):
                 keys, m = np.unique(grams_of([x for x, o in zip(every, outside) if o == apart], order)[0], return_counts=True)
                 held.append((keys, np.zeros(len(m), np.int64) if apart else m, m))
-            if sum(len(k) for k, _, _ in held) > 3_000_000:
+            if sum(len(k) for k, _, _ in held) > 1_500_000:
                 held = [merged()]
-                if len(held[0][0]) > 2_000_000:
+                if len(held[0][0]) > 1_000_000:
                     yield from out(*held.pop())
         if held:
             yield from out(*merged())
