@@ -31,7 +31,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, and lost executors cost only what they ran."""
     at = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of materialise, which nothing that is still to run may read."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import materialise
+from clausemill.llm.common import materialise, release
 
 #: Moves are let through by these many steps of priority, slots are numbered in these many lanes of a shard, and rows of
 #: a group meet what is known of it under these many names.
@@ -26,7 +26,7 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = 3) -
     rows at most, whatever the input. Rows meet their group's homes by group and salt, so a group that holds a third of
     all rows is SALTS keys. Rounds end early once no row moves.
     """
-    state, names = members, materialise(members.select("grp", "salt").distinct())
+    state, names, before = members, materialise(members.select("grp", "salt").distinct()), None
     for turn in range(rounds):
         tally = state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
         by = Window.partitionBy("grp")
@@ -57,7 +57,9 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = 3) -
             "row", "grp", "salt", F.when(F.col("go"), F.col("aim")).otherwise(F.col("label")).alias("label"), F.coalesce("go", F.lit(False)).alias("moved")
         )
         moved = materialise(state)
-        state = moved.drop("moved")
+        if before is not None:
+            release(before)
+        before, state = moved, moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
     return state

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WordHash, id_text, materialise, tasks
+from clausemill.llm.common import WordHash, id_text, materialise, release, tasks
 
 #: Bytes of text in a chunk (a run of doc_ids that one task reads at a time) and words in a bucket of hashes, about.
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
@@ -152,6 +152,8 @@ def chunked(rows: DataFrame) -> DataFrame:
         large = light.groupBy("chunk").agg(F.sum("bytes").alias("b"), *(e.alias(c) for e, c in zip(ends, ("low", "high", "h_low", "h_high"))))
         large = materialise(large.where(F.col("b") > 3 * CHUNK_BYTES).where("low < high or h_low < h_high"))
         if large.isEmpty():
+            release(light)
+            release(large)
             return rows.drop("h")
 
         def finer(x: DataFrame) -> DataFrame:
@@ -162,7 +164,8 @@ def chunked(rows: DataFrame) -> DataFrame:
             cut = x.join(F.broadcast(large), "chunk", "left")
             return cut.withColumn("chunk", F.when(F.col("b").isNull(), F.col("chunk")).otherwise(F.concat("chunk", F.lit("."), number(part)))).select(*x.columns)
 
-        rows, light = finer(rows), materialise(finer(light))
+        rows, before, light = finer(rows), light, materialise(finer(light))
+        release(before)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
