@@ -86,3 +86,27 @@ def act_force(acts: DataFrame) -> DataFrame:
     """acts with force: in_force, not_in_force or undetermined, and whether it admits the act's provisions."""
     force = F.when(F.col("in_force") == "IN_FORCE", "in_force").when(F.col("in_force") == "NOT_IN_FORCE", "not_in_force").otherwise("undetermined")
     return acts.withColumn("force", force).withColumn("admitted", F.col("force") == "in_force")
+
+
+def repeats(printed: DataFrame) -> DataFrame:
+    """act_id, article, printings of the articles that an act has more than once."""
+    return printed.groupBy("act_id", "article").agg(F.count(F.lit(1)).alias("printings")).where("printings > 1")
+
+
+def repeat_drift(found: DataFrame, pinned: DataFrame) -> DataFrame:
+    """rule, key, detail: repeated articles that are not pinned, pinned ones that are not repeated, and other counts."""
+    both = found.join(pinned.withColumnRenamed("printings", "pinned"), ["act_id", "article"], "full_outer")
+    rule = F.when(F.col("pinned").isNull(), "repeat_not_pinned").when(F.col("printings").isNull(), "pin_not_repeated").when(F.col("printings") != F.col("pinned"), "printings_differ")
+    return both.select(rule.alias("rule"), F.concat_ws("/", "act_id", "article").alias("key"), F.concat_ws(":", F.col("printings").cast("string"), F.col("pinned").cast("string")).alias("detail")).where("rule is not null")
+
+
+def build_locator(prefix: str, act: str = "act", article: str = "article", printing: str = "printing") -> Column:
+    """prefix act #article=<article>, and &printing=<n> where there is one."""
+    return F.concat(F.lit(prefix), act, F.lit("#article="), article, F.coalesce(F.concat(F.lit("&printing="), F.col(printing).cast("string")), F.lit("")))
+
+
+def parse_locator(column: str, prefix: str) -> Column:
+    """act, article, printing of a locator as a struct; null where it is none."""
+    pattern = f"^\\Q{prefix}\\E([^#]+)#article=([^&]+)(?:&printing=([0-9]+))?$"
+    part = lambda i: F.regexp_extract(column, pattern, i)
+    return F.when(part(1) != "", F.struct(part(1).alias("act"), part(2).alias("article"), F.nullif(part(3), F.lit("")).cast("int").alias("printing")))

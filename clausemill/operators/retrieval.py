@@ -151,3 +151,16 @@ def place_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     got = F.coalesce("got", F.lit(0))
     error = F.when((F.col("low") < 0) | (F.col("high") >= F.col("n")), "index_out_of_range").when(F.col("distinct") < F.col("got"), "index_repeated").when(got < F.col("n"), "index_missing")
     return joined.select("request_id", "n", error.alias("error"))
+
+
+def query_reuse(asks: DataFrame, run: str, key: list[str], order: str) -> DataFrame:
+    """asks with hit and source: a query asked before in its run, for the same input and snapshot, is answered from its
+    first asking; never across runs. key names the columns that make a query the same."""
+    first = Window.partitionBy(run, *key).orderBy(order)
+    source = F.first(order).over(first)
+    return asks.withColumn("hit", F.row_number().over(first) > 1).withColumn("source", F.when(F.col("hit"), source))
+
+
+def token_bill(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, requests, tokens: the tokens reported by the batches of a group, null when none reported any."""
+    return batches.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"))

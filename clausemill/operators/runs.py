@@ -36,7 +36,10 @@ def erase(document_ids: DataFrame, runs: DataFrame, *children: DataFrame) -> lis
 
 
 def run_metrics(runs: DataFrame, attempts: DataFrame, findings: DataFrame) -> DataFrame:
-    """run_id, tokens, units_total, units_with_finding, not_processed; children are summed before they join."""
+    """run_id, tokens, units_total, units_with_finding, not_processed; children are summed before they join.
+
+    units_total is the run's recorded count where runs has one, else the number of distinct units of its findings.
+    """
     a = attempts.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("attempts"))
     done = F.col("code") != "not_processed"
     f = findings.groupBy("run_id").agg(
@@ -44,7 +47,9 @@ def run_metrics(runs: DataFrame, attempts: DataFrame, findings: DataFrame) -> Da
         F.count_distinct(F.when(done, F.col("unit_id"))).alias("units_with_finding"),
         F.count_if(~done).alias("not_processed"),
     )
-    joined = runs.select("run_id").join(a, "run_id", "left").join(f, "run_id", "left")
+    recorded = F.col("units_recorded") if "units_recorded" in runs.columns else F.lit(None).cast("long")
+    joined = runs.select("run_id", recorded.alias("recorded")).join(a, "run_id", "left").join(f, "run_id", "left")
+    joined = joined.withColumn("units_total", F.coalesce("recorded", "units_total"))
     return joined.select("run_id", "tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("attempts", "units_total", "units_with_finding", "not_processed")])
 
 
@@ -54,46 +59,74 @@ def histogram(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def arm_stratum(summary: DataFrame) -> DataFrame:
-    """arm, stratum and their runs; quantities are over valid completed runs alone, null without any."""
-    valid = F.col("status") == "completed"
+    """arm, stratum and their runs; quantities are over valid completed runs alone, null without any.
+
+    summary(arm, stratum, status, measurement_valid, seconds, tokens, attempts, not_processed).
+    """
+    done = F.col("status") == "completed"
+    valid = done & F.col("measurement_valid")
     over = lambda c: F.when(valid, F.col(c))
     return summary.groupBy("arm", F.coalesce("stratum", F.lit("unknown")).alias("stratum")).agg(
         F.count(F.lit(1)).alias("runs"),
-        F.count_if(valid).alias("completed"),
+        F.count_if(done).alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(~F.col("measurement_valid")).alias("invalid"),
         F.round(F.avg(over("seconds")), 4).alias("mean_seconds"),
         F.round(F.median(over("seconds")), 4).alias("median_seconds"),
         F.sum(over("tokens")).alias("total_tokens"),
+        F.round(F.avg(over("tokens")), 4).alias("mean_tokens"),
+        F.sum(over("attempts")).alias("attempts"),
+        F.sum(over("not_processed")).alias("not_processed"),
     )
 
 
 def coverage(required: DataFrame, held: DataFrame) -> DataFrame:
-    """comparison, cells, held, missing, complete of required(comparison, document_id, arm)."""
-    have = held.select("document_id", "arm").distinct().withColumn("have", F.lit(True))
-    got = required.join(have, ["document_id", "arm"], "left").groupBy("comparison").agg(F.count(F.lit(1)).alias("cells"), F.count("have").alias("held"))
-    return got.select("comparison", "cells", "held", (F.col("cells") - F.col("held")).alias("missing"), (F.col("cells") == F.col("held")).alias("complete"))
+    """comparison, cells, held, missing, missing_cells, complete, any_failed of required(comparison, document_id, arm).
+
+    held(document_id, arm, status): a cell is held by a completed run; any_failed tells whether one of its runs failed.
+    """
+    have = held.groupBy("document_id", "arm").agg(F.max(F.when(F.col("status") == "completed", True)).alias("have"), F.bool_or(F.col("status") == "failed").alias("failed"))
+    cell = F.concat_ws("/", "document_id", "arm")
+    got = required.join(have, ["document_id", "arm"], "left").groupBy("comparison").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count("have").alias("held"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("have").isNull(), cell))), ",").alias("missing_cells"),
+        F.coalesce(F.bool_or("failed"), F.lit(False)).alias("any_failed"),
+    )
+    return got.select("comparison", "cells", "held", (F.col("cells") - F.col("held")).alias("missing"), "missing_cells", (F.col("cells") == F.col("held")).alias("complete"), "any_failed")
+
+
+def roots(runs: DataFrame) -> DataFrame:
+    """runs without those that another run started."""
+    return runs.where("parent_run_id is null") if "parent_run_id" in runs.columns else runs
 
 
 def parity(runs: DataFrame, group: list[str], dimensions: list[str]) -> DataFrame:
-    """group, valid, mismatched: dimensions that differ within a set of runs; a null is a value like any other."""
+    """group, valid, mismatched: dimensions that differ within a set of root runs; a null is a value like any other.
+
+    A set with an invalid run is not valid, and neither is one that has no root run.
+    """
     seen = [F.count_distinct(F.coalesce(F.to_json(F.struct(d)), F.lit(""))).alias(f"n_{d}") for d in dimensions]
-    got = runs.groupBy(*group).agg(*seen, F.bool_and("measurement_valid").alias("measured"))
+    got = roots(runs).groupBy(*group).agg(*seen, F.bool_and("measurement_valid").alias("measured"))
+    got = runs.select(*group).distinct().join(got, group, "left")
     wrong = F.filter(F.array(*[F.when(F.col(f"n_{d}") > 1, F.lit(d)) for d in dimensions]), lambda x: x.isNotNull())
-    return got.select(*group, ((F.size(wrong) == 0) & F.col("measured")).alias("valid"), F.array_join(wrong, ",").alias("mismatched"))
+    return got.select(*group, ((F.size(wrong) == 0) & F.coalesce("measured", F.lit(False))).alias("valid"), F.array_join(wrong, ",").alias("mismatched"))
 
 
 def ambiguous(runs: DataFrame) -> DataFrame:
-    """document_id, arm, n, run_ids: cells with more than one completed run."""
-    done = runs.where("status = 'completed'").groupBy("document_id", "arm").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("run_id")), ",").alias("run_ids"))
+    """document_id, arm, n, run_ids: cells with more than one completed root run."""
+    done = roots(runs).where("status = 'completed'").groupBy("document_id", "arm").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("run_id")), ",").alias("run_ids"))
     return done.where("n > 1")
 
 
 def cross_batch(left: DataFrame, right: DataFrame) -> DataFrame:
-    """document_id, arm, state: matched, uncovered (left alone) or unmatched (right alone)."""
-    a, b = left.select("document_id", "arm").distinct().withColumn("l", F.lit(1)), right.select("document_id", "arm").distinct().withColumn("r", F.lit(1))
-    return a.join(b, ["document_id", "arm"], "full_outer").select(
-        "document_id", "arm", F.when(F.col("l").isNull(), "unmatched").when(F.col("r").isNull(), "uncovered").otherwise("matched").alias("state")
-    )
+    """document_id, arm, state: matched, same_run (both batches hold the same run), uncovered (left alone) or unmatched
+    (right alone)."""
+    by = ["document_id", "arm"]
+    side = lambda df, c: df.groupBy(*by).agg(F.array_sort(F.collect_set("run_id")).alias(c))
+    both = side(left, "l").join(side(right, "r"), by, "full_outer")
+    state = F.when(F.col("l").isNull(), "unmatched").when(F.col("r").isNull(), "uncovered").when(F.arrays_overlap("l", "r"), "same_run").otherwise("matched")
+    return both.select(*by, state.alias("state"))
 
 
 def fingerprint(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -155,9 +188,12 @@ def unprocessed(runs: DataFrame, units: DataFrame, findings: DataFrame) -> DataF
 
 
 def spend(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, turns, searches, reads, characters from the log; entries(keys, kind, text)."""
+    """keys, turns, searches, cache_hits, reads, defaulted, characters from the log; entries(keys, kind, text).
+
+    A search answered from before counts as a cache hit alone, and defaulted counts values that were filled in.
+    """
     of = lambda k: F.count_if(F.col("kind") == k)
-    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("turns"), of("search").alias("searches"), of("read").alias("reads"), F.sum(F.length("text")).cast("long").alias("characters"))
+    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("turns"), of("search").alias("searches"), of("cache_hit").alias("cache_hits"), of("read").alias("reads"), of("default").alias("defaulted"), F.sum(F.length("text")).cast("long").alias("characters"))
 
 
 def merge_summaries(fresh: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,11 +202,13 @@ def merge_summaries(fresh: DataFrame, stored: DataFrame, keys: list[str]) -> Dat
 
 
 def batch_members(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """rule, key: run ids of a batch that the store lacks, and batches whose runs are all missing. batch(batch_id, run_id)."""
+    """rule, key: run ids of a batch that the store lacks, batches whose runs are all missing, and batches with entries
+    whose run id could not be read (null). batch(batch_id, run_id)."""
+    unread = batch.where("run_id is null").select(F.lit("unreadable").alias("rule"), F.col("batch_id").cast("string").alias("key")).distinct()
     joined = batch.join(stored.select("run_id").distinct().withColumn("held", F.lit(1)), "run_id", "left")
-    missing = joined.where("held is null").select(F.lit("missing_in_store").alias("rule"), F.col("run_id").cast("string").alias("key"))
+    missing = joined.where("held is null and run_id is not null").select(F.lit("missing_in_store").alias("rule"), F.col("run_id").cast("string").alias("key"))
     empty = joined.groupBy("batch_id").agg(F.count("held").alias("n")).where("n = 0").select(F.lit("empty_batch").alias("rule"), F.col("batch_id").cast("string").alias("key"))
-    return missing.unionByName(empty)
+    return missing.unionByName(empty).unionByName(unread)
 
 
 def pair_check(runs: DataFrame, first: str, second: str, dimensions: list[str]) -> DataFrame:
@@ -181,6 +219,25 @@ def pair_check(runs: DataFrame, first: str, second: str, dimensions: list[str])
     return joined.select("input_hash", F.when(F.col("a").isNull() | F.col("b").isNull(), "skipped").when(same, "ok").otherwise("mismatch").alias("state"))
 
 
+def pair_counts(checked: DataFrame) -> DataFrame:
+    """ok, mismatch, skipped, passed of pair_check's rows: a check without any pair, or with a mismatch, is not passed."""
+    n = [F.count_if(F.col("state") == x).alias(x) for x in ("ok", "mismatch", "skipped")]
+    return checked.agg(*n).withColumn("passed", (F.col("ok") > 0) & (F.col("mismatch") == 0))
+
+
+def arm_summary(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """run_id, arm, status, finished_at, codes: one row a run, with its findings counted by code, and the finish as an
+    instant, whether it was written with Z or with an offset."""
+    each = findings.groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    codes = each.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "code", F.col("n").cast("string")))), ",").alias("codes"))
+    return runs.select("run_id", "arm", "status", F.to_timestamp("finished").alias("finished_at")).join(codes, "run_id", "left").na.fill("", ["codes"])
+
+
+def latest_finish(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, finished_at: the last finish of each group."""
+    return summary.groupBy(*keys).agg(F.max("finished_at").alias("finished_at"))
+
+
 def clean_cohort(artifacts: DataFrame, exposed: DataFrame) -> DataFrame:
     """case_id of the cases none of whose artifacts was exposed. artifacts(case_id, artifact_id), exposed(artifact_id)."""
     seen = artifacts.join(exposed.select("artifact_id").distinct(), "artifact_id", "left_semi").select("case_id").distinct()

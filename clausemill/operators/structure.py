@@ -154,6 +154,15 @@ def segment(documents: DataFrame) -> DataFrame:
     return structural.withColumn("mode", F.lit("structural")).unionByName(window_units(sentences(rest)).withColumn("mode", F.lit("window")))
 
 
+def segment_violations(documents: DataFrame, units: DataFrame) -> DataFrame:
+    """rule, key: documents of white space alone, and others without a unit."""
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")) == ""
+    some = units.select("doc_id").distinct().withColumn("some", F.lit(True))
+    rows = documents.select("doc_id", blank.alias("blank")).join(some, "doc_id", "left")
+    rule = F.when(F.col("blank"), "empty_document").when(F.col("some").isNull(), "no_units")
+    return rows.select(rule.alias("rule"), F.col("doc_id").cast("string").alias("key")).where("rule is not null")
+
+
 def is_fallback(units: DataFrame) -> DataFrame:
     """doc_id, fallback: whether any unit begins before the one before it has ended."""
     before = F.lag("end_offset").over(Window.partitionBy("doc_id").orderBy("pos"))

@@ -113,3 +113,22 @@ def select_scope(findings: DataFrame, wanted: DataFrame, run: str = "run_id") ->
     chosen = named.join(own, [run, "finding_id"], "left").select(run, "finding_id", F.when(F.col("own").isNull(), "foreign_finding").alias("violation"))
     whole = findings.select(run, "finding_id").join(named.select(run).distinct(), run, "left_anti").withColumn("violation", F.lit(None).cast("string"))
     return chosen.unionByName(whole)
+
+
+def prominence_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, prominence, n: findings of each level."""
+    names = F.create_map(*[F.lit(x) for kv in PROMINENCE.items() for x in kv])
+    return findings.groupBy(*keys, names[F.col("code")].alias("prominence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unplaced(findings: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
+    """keys, finding_ids of the findings that no block holds."""
+    return findings.where(F.col(block).isNull()).groupBy(*keys).agg(F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
+
+
+def role_view(entries: DataFrame, keys: list[str], role: str) -> DataFrame:
+    """What a role sees of the log: a verifier its candidate's entries and the notes, without who wrote them; others all."""
+    if role != "verifier":
+        return entries
+    seen = (F.col("candidate_id") == F.col("for_candidate")) | (F.col("kind") == "note")
+    return entries.where(seen).select(*keys, "for_candidate", "seq", "kind", "value")

@@ -62,9 +62,10 @@ def unprocessed(spark: SparkSession, sf: str) -> DataFrame:
     return runs.unprocessed(_runs(spark, sf), line, line.where("l_tax > 0.03"))
 
 
-@query("runs_spend", "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS searches, count(*) FILTER (WHERE role = 'assistant') AS reads, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
+@query("runs_spend", "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user' AND turn % 3 <> 0) AS searches, count(*) FILTER (WHERE role = 'user' AND turn % 3 = 0) AS cache_hits, count(*) FILTER (WHERE role = 'assistant' AND turn % 5 <> 0) AS reads, count(*) FILTER (WHERE role = 'assistant' AND turn % 5 = 0) AS defaulted, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
 def spend(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("role") == "user", "search").when(F.col("role") == "assistant", "read")
+    user, turn = F.col("role") == "user", F.col("turn")
+    kind = F.when(user & (turn % 3 == 0), "cache_hit").when(user, "search").when((F.col("role") == "assistant") & (turn % 5 == 0), "default").when(F.col("role") == "assistant", "read")
     return runs.spend(table(spark, sf, "conversations").withColumn("kind", kind), ["conv_id"])
 
 
@@ -75,10 +76,10 @@ def merge_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return runs.merge_summaries(each.where("batch = 0").drop("batch"), each.where("batch = 1").drop("batch"), ["document_id", "arm"])
 
 
-@query("runs_batch_members", """WITH b AS (SELECT o_custkey AS batch_id, o_orderkey AS run_id FROM orders), j AS (SELECT batch_id, run_id, run_id % 4 <> 0 AND run_id IN (SELECT l_orderkey FROM lineitem) AS held FROM b)
-    SELECT 'missing_in_store' AS rule, run_id::VARCHAR AS key FROM j WHERE NOT held UNION ALL SELECT 'empty_batch', batch_id::VARCHAR FROM j GROUP BY batch_id HAVING NOT bool_or(held)""")
+@query("runs_batch_members", """WITH b AS (SELECT o_custkey AS batch_id, o_orderkey AS run_id FROM orders), j AS (SELECT batch_id, run_id, run_id % 9 <> 0 AND run_id % 4 <> 0 AND run_id IN (SELECT l_orderkey FROM lineitem) AS held FROM b)
+    SELECT 'missing_in_store' AS rule, run_id::VARCHAR AS key FROM j WHERE NOT held AND run_id % 9 <> 0 UNION ALL SELECT DISTINCT 'unreadable', batch_id::VARCHAR FROM j WHERE run_id % 9 = 0 UNION ALL SELECT 'empty_batch', batch_id::VARCHAR FROM j GROUP BY batch_id HAVING NOT bool_or(held)""")
 def batch_members(spark: SparkSession, sf: str) -> DataFrame:
-    batch = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("run_id"))
+    batch = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey")).alias("run_id"))
     return runs.batch_members(batch, table(spark, sf, "lineitem").where("l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("run_id")))
 
 

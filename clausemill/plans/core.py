@@ -312,38 +312,40 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return runs.run_metrics(_runs(spark, sf), found, found)
 
 
-@query("runs_arm_stratum", f"""WITH {_RUNS_SQL}, {_FIND_SQL}, t AS (SELECT run_id, sum(tokens)::BIGINT AS tokens FROM findings GROUP BY run_id)
-    SELECT arm, stratum, count(*) AS runs, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, round(avg(seconds) FILTER (WHERE status = 'completed'), 4) AS mean_seconds,
-    round(median(seconds) FILTER (WHERE status = 'completed'), 4) AS median_seconds, (sum(tokens) FILTER (WHERE status = 'completed'))::BIGINT AS total_tokens FROM runs LEFT JOIN t USING (run_id) GROUP BY arm, stratum""")
+@query("runs_arm_stratum", f"""WITH {_RUNS_SQL}, {_FIND_SQL}, t AS (SELECT run_id, sum(tokens)::BIGINT AS tokens, count(*) AS attempts, count(*) FILTER (WHERE code = 'not_processed') AS np FROM findings GROUP BY run_id), j AS (SELECT *, run_id % 6 <> 0 AS ok, status = 'completed' AND run_id % 6 <> 0 AS v FROM runs LEFT JOIN t USING (run_id))
+    SELECT arm, stratum, count(*) AS runs, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE NOT ok) AS invalid, round(avg(seconds) FILTER (WHERE v), 4) AS mean_seconds, round(median(seconds) FILTER (WHERE v), 4) AS median_seconds,
+    (sum(tokens) FILTER (WHERE v))::BIGINT AS total_tokens, round(avg(tokens) FILTER (WHERE v), 4) AS mean_tokens, (sum(attempts) FILTER (WHERE v))::BIGINT AS attempts, (sum(np) FILTER (WHERE v))::BIGINT AS not_processed FROM j GROUP BY arm, stratum""")
 def arm_stratum(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _findings(spark, sf).groupBy("run_id").agg(F.sum("tokens").alias("tokens"))
-    return runs.arm_stratum(_runs(spark, sf).join(tokens, "run_id", "left"))
+    each = _findings(spark, sf, raw=False).groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("code") == "not_processed").alias("not_processed"))
+    return runs.arm_stratum(_runs(spark, sf).withColumn("measurement_valid", F.col("run_id") % 6 != 0).join(each, "run_id", "left"))
 
 
-@query("runs_parity", f"""WITH {_RUNS_SQL} SELECT document_id, count(DISTINCT arm) <= 1 AND count(DISTINCT stratum) <= 1 AND bool_and(status <> 'failed') AS valid,
-    concat_ws(',', CASE WHEN count(DISTINCT arm) > 1 THEN 'arm' END, CASE WHEN count(DISTINCT stratum) > 1 THEN 'stratum' END) AS mismatched FROM runs GROUP BY document_id""")
+@query("runs_parity", f"""WITH {_RUNS_SQL}, g AS (SELECT document_id, count(*) FILTER (WHERE run_id % 5 <> 0) AS n, count(DISTINCT arm) FILTER (WHERE run_id % 5 <> 0) AS a, count(DISTINCT stratum) FILTER (WHERE run_id % 5 <> 0) AS s, bool_and(status <> 'failed') FILTER (WHERE run_id % 5 <> 0) AS ok FROM runs GROUP BY 1)
+    SELECT document_id, n > 0 AND a <= 1 AND s <= 1 AND ok AS valid, concat_ws(',', CASE WHEN a > 1 THEN 'arm' END, CASE WHEN s > 1 THEN 'stratum' END) AS mismatched FROM g""")
 def parity(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.parity(_runs(spark, sf).withColumn("measurement_valid", F.col("status") != "failed"), ["document_id"], ["arm", "stratum"])
+    every = _runs(spark, sf).withColumn("parent_run_id", F.when(F.col("run_id") % 5 == 0, F.col("run_id") + 1))
+    return runs.parity(every.withColumn("measurement_valid", F.col("status") != "failed"), ["document_id"], ["arm", "stratum"])
 
 
-@query("runs_ambiguous", f"""WITH {_RUNS_SQL} SELECT document_id, arm, count(*) AS n, string_agg(run_id::VARCHAR, ',' ORDER BY run_id) AS run_ids FROM runs WHERE status = 'completed' GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("runs_ambiguous", f"""WITH {_RUNS_SQL} SELECT document_id, arm, count(*) AS n, string_agg(run_id::VARCHAR, ',' ORDER BY run_id) AS run_ids FROM runs WHERE status = 'completed' AND run_id % 7 <> 0 GROUP BY 1, 2 HAVING count(*) > 1""")
 def ambiguous(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.ambiguous(_runs(spark, sf))
+    return runs.ambiguous(_runs(spark, sf).withColumn("parent_run_id", F.when(F.col("run_id") % 7 == 0, 1)))
 
 
-@query("runs_cross_batch", f"""WITH {_RUNS_SQL}, a AS (SELECT DISTINCT document_id, arm FROM runs WHERE series % 2 = 0), b AS (SELECT DISTINCT document_id, arm FROM runs WHERE series % 2 = 1)
-    SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.arm, b.arm) AS arm, CASE WHEN a.arm IS NULL THEN 'unmatched' WHEN b.arm IS NULL THEN 'uncovered' ELSE 'matched' END AS state
+@query("runs_cross_batch", f"""WITH {_RUNS_SQL}, a AS (SELECT document_id, arm, list(run_id) AS x FROM runs WHERE series % 2 = 0 OR run_id % 10 = 0 GROUP BY 1, 2), b AS (SELECT document_id, arm, list(run_id) AS y FROM runs WHERE series % 2 = 1 GROUP BY 1, 2)
+    SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.arm, b.arm) AS arm, CASE WHEN a.arm IS NULL THEN 'unmatched' WHEN b.arm IS NULL THEN 'uncovered' WHEN list_has_any(x, y) THEN 'same_run' ELSE 'matched' END AS state
     FROM a FULL JOIN b ON a.document_id = b.document_id AND a.arm = b.arm""")
 def cross_batch(spark: SparkSession, sf: str) -> DataFrame:
     all_runs = _runs(spark, sf)
-    return runs.cross_batch(all_runs.where("series % 2 = 0"), all_runs.where("series % 2 = 1"))
+    return runs.cross_batch(all_runs.where("series % 2 = 0 or run_id % 10 = 0"), all_runs.where("series % 2 = 1"))
 
 
-@query("runs_coverage", f"""WITH {_RUNS_SQL}, need AS (SELECT DISTINCT c_nationkey::VARCHAR AS comparison, c_custkey AS document_id, unnest(['off', 'mid', 'on']) AS arm FROM customer), have AS (SELECT DISTINCT document_id, arm FROM runs WHERE status = 'completed')
-    SELECT comparison, count(*) AS cells, count(have.arm) AS held, count(*) - count(have.arm) AS missing, count(*) = count(have.arm) AS complete FROM need LEFT JOIN have ON need.document_id = have.document_id AND need.arm = have.arm GROUP BY comparison""")
+@query("runs_coverage", f"""WITH {_RUNS_SQL}, need AS (SELECT DISTINCT c_nationkey::VARCHAR AS comparison, c_custkey AS document_id, unnest(['off', 'mid', 'on']) AS arm FROM customer), have AS (SELECT document_id, arm, bool_or(status = 'completed') AS have, bool_or(status = 'failed') AS failed FROM runs GROUP BY 1, 2)
+    SELECT comparison, count(*) AS cells, count(*) FILTER (WHERE have) AS held, count(*) - count(*) FILTER (WHERE have) AS missing, coalesce(string_agg(need.document_id || '/' || need.arm, ',' ORDER BY need.document_id || '/' || need.arm) FILTER (WHERE have IS NOT TRUE), '') AS missing_cells,
+    count(*) = count(*) FILTER (WHERE have) AS complete, coalesce(bool_or(failed), false) AS any_failed FROM need LEFT JOIN have ON need.document_id = have.document_id AND need.arm = have.arm GROUP BY comparison""")
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     need = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("comparison"), F.col("c_custkey").alias("document_id"), F.explode(F.array(*map(F.lit, runs.ARMS))).alias("arm"))
-    return runs.coverage(need, _runs(spark, sf).where("status = 'completed'"))
+    return runs.coverage(need, _runs(spark, sf))
 
 
 def _in_parts(key: str, lines: str, name: str) -> str:

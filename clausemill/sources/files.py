@@ -119,3 +119,8 @@ def read_run_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A run table in the order it was made: runs by time, children by run and place."""
     rows = spark.read.schema(RUN_TABLES[name]).parquet(f"{path}/{name}")
     return rows.orderBy("created_at", "run_id") if name == "runs" else rows.orderBy("run_id", "seq")
+
+
+def append_json(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Append one canonical JSON record a row to the JSON lines under path."""
+    rows.select(canonical_json(columns).alias("value")).write.mode("append").text(path)

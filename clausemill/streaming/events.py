@@ -29,6 +29,24 @@ def kind_counts(events: DataFrame, size: str = "1 hour", slide: str | None = Non
     return got.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def counters(events: DataFrame) -> DataFrame:
+    """user_id, event_type, value: the latest value of each counter, ties by event id; a stream keeps one row a counter."""
+    return events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def split_valid(events: DataFrame, fields: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """events that carry exactly the JSON fields of their type, and the others with a violation, for a dead-letter sink.
+
+    fields: the names that props holds for each type; a type that is not listed carries none.
+    """
+    wanted = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.array_sort(F.array(*map(F.lit, v))))]) if fields else None
+    names = F.coalesce(F.array_sort(F.json_object_keys("props")), F.array().cast("array<string>"))
+    want = F.coalesce(wanted[F.col("event_type")], F.array().cast("array<string>")) if fields else F.array().cast("array<string>")
+    rule = F.when(F.size(F.array_except(want, names)) > 0, "field_missing").when(F.size(F.array_except(names, want)) > 0, "field_unknown")
+    judged = valid_events(events).withColumn("violation", F.coalesce("violation", rule))
+    return judged.where("violation is null").drop("violation"), judged.where("violation is not null")
+
+
 def last_n(events: DataFrame, n: int = 100) -> DataFrame:
     """The last n events of each user (batch)."""
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
