@@ -26,19 +26,24 @@ def running(lengths: Column, block: int = 256) -> Column:
     return F.flatten(inside)
 
 
-def pieces(documents: DataFrame, parts: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep, pos, piece, start, end, following: parts of a text that make it up, with running offsets and the
-    start of the next part that is not blank.
+def pieces(documents: DataFrame, parts: Column, keep: tuple[str, ...] = (), following: bool = False) -> DataFrame:
+    """doc_id, keep, pos, piece, start, end: parts of a text that make it up, with running offsets; and, if asked for,
+    following, the start of the next part that is not blank.
 
     Offsets are summed up inside the row, so no text is shuffled.
     """
     rows = documents.select("doc_id", *keep, parts.alias("parts"))
     rows = rows.withColumn("ends", running(F.transform("parts", F.length)))
-    blank = lambda x: F.trim(F.regexp_replace(x, r"\s+", "")) == ""
-    after = F.transform("parts", lambda x, i: F.substring(F.ltrim(F.coalesce(F.get(F.filter(F.slice("parts", i + 2, F.lit(20)), lambda y: ~blank(y)), F.lit(0)), F.lit(""))), 1, 200))
-    got = rows.select("doc_id", *keep, F.posexplode(F.arrays_zip("parts", "ends", after.alias("after"))).alias("pos", "x"))
+    zipped = ["parts", "ends"]
+    if following:
+        full = lambda x: x.rlike(r"\S")
+        later = lambda i: F.get(F.filter(F.slice("parts", i + 2, F.lit(20)), full), F.lit(0))
+        after = F.transform("parts", lambda x, i: F.substring(F.ltrim(F.coalesce(F.when(full(F.get("parts", i + 1)), F.get("parts", i + 1)).otherwise(later(i)), F.lit(""))), 1, 200))
+        zipped.append(after.alias("after"))
+    got = rows.select("doc_id", *keep, F.posexplode(F.arrays_zip(*zipped)).alias("pos", "x"))
     end, piece = F.col("x.ends"), F.col("x.parts")
-    return got.select("doc_id", *keep, "pos", piece.alias("piece"), (end - F.length(piece)).cast("long").alias("start"), end.cast("long").alias("end"), F.col("x.after").alias("following"))
+    more = [F.col("x.after").alias("following")] if following else []
+    return got.select("doc_id", *keep, "pos", piece.alias("piece"), (end - F.length(piece)).cast("long").alias("start"), end.cast("long").alias("end"), *more)
 
 
 def line_anchors(documents: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def markers(documents: DataFrame) -> DataFrame:
     A pattern may reach over the line's end, so each line is read with the start of the next that is not blank.
     """
     sized = documents.select("doc_id", "text", F.length("text").alias("length"))
-    lines = pieces(sized, F.split("text", "(?<=\n)", -1), ("length",))
+    lines = pieces(sized, F.split("text", "(?<=\n)", -1), ("length",), following=True)
     lines = lines.select("doc_id", "length", F.col("start").alias("offset"), F.concat("piece", "following").alias("view"))
     found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("level"), F.lit(kind).alias("kind"), F.regexp_extract("view", pattern, 1).alias("raw")) for i, (name, pattern, kind) in enumerate(LEVELS)])
     rows = lines.select("doc_id", "length", "offset", F.explode(found).alias("m")).where("m.raw <> ''")
