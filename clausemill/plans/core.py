@@ -238,10 +238,14 @@ def fill_not_processed(spark: SparkSession, sf: str) -> DataFrame:
     return runs.histogram(decision.fill_not_processed(units, _findings(spark, sf), ["run_id"]), ["run_id"])
 
 
-@query("decision_resolve_quotes")
+@query("decision_resolve_quotes", r"""WITH q AS (SELECT doc_id, text, CASE doc_id % 9 WHEN 0 THEN ['not', 'in(', 'here'] WHEN 1 THEN [] ELSE regexp_extract_all(text, '\S+')[2:4] END AS w FROM documents),
+    p AS (SELECT *, array_to_string(list_transform(w, lambda x: regexp_replace(x, '([\\.+*?()|\[\]{}^$])', '\\\1', 'g')), '\s+') AS pattern FROM q), n AS (SELECT *, CASE WHEN pattern <> '' THEN len(regexp_extract_all(text, pattern)) END AS n, CASE WHEN pattern <> '' THEN regexp_extract(text, pattern) END AS hit FROM p)
+    SELECT doc_id AS key, doc_id, CASE WHEN pattern = '' THEN 'empty' WHEN n = 0 THEN 'fabricated' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution, CASE WHEN n = 1 THEN strpos(text, hit) - 1 END AS start_offset, CASE WHEN n = 1 THEN strpos(text, hit) - 1 + length(hit) END AS end_offset FROM n""")
 def resolve_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark text's first words as a quote in the document of the same number; tested against brute force."""
-    quotes = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)")), 2, 3), " ").alias("quote"))
+    """The second to fourth word of each document as a quote in it; some quotes are blank, and some are in no document."""
+    own = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)")), 2, 3), "\n ")
+    quote = F.when(F.col("doc_id") % 9 == 0, "not in( here").when(F.col("doc_id") % 9 == 1, " ").otherwise(own)
+    quotes = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "doc_id", quote.alias("quote"))
     return decision.resolve_quotes(quotes, table(spark, sf, "documents").select("doc_id", "text"))
 
 
