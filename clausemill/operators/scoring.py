@@ -85,16 +85,23 @@ def paired_differences(cell_rows: DataFrame) -> DataFrame:
 
 
 def reduce_attempts(attempts: DataFrame) -> DataFrame:
-    """packet_id, answered, superseded, conflicts, failed: the first valid reply of a packet wins; later equal ones are
-    superseded, different ones conflict."""
-    valid = attempts.where("valid").withColumn("nth", F.row_number().over(Window.partitionBy("packet_id").orderBy("attempt")))
-    first = F.first("reply").over(Window.partitionBy("packet_id").orderBy("attempt"))
-    valid = valid.withColumn("same", F.col("reply").eqNullSafe(first))
-    got = valid.groupBy("packet_id").agg(F.count_if(F.expr("nth > 1 and same")).alias("superseded"), F.count_if(~F.col("same")).alias("conflicts"))
-    failed = attempts.groupBy("packet_id").agg(F.count_if(~F.col("valid")).alias("failed"))
-    return failed.join(got, "packet_id", "left").select(
-        "packet_id", F.col("superseded").isNotNull().alias("answered"), F.coalesce("superseded", F.lit(0)).alias("superseded"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"), "failed"
+    """packet_id, answered, superseded, conflicts, failed, stale, invalid, blocking: the first valid reply of a packet wins.
+
+    attempts(packet_id, attempt, status, valid, current, reply): a technical failure (status not `answered`) is failed, a
+    reply to another state of the packet stale, and one that breaks the rules invalid. Later replies equal to the first
+    valid one are superseded, others conflict. What went wrong blocks only a packet without an answer.
+    """
+    failed, stale = F.col("status") != "answered", ~F.col("current")
+    kind = F.when(failed, "failed").when(stale, "stale").when(~F.col("valid"), "invalid").otherwise("good")
+    rows = attempts.withColumn("kind", kind)
+    order = Window.partitionBy("packet_id", "kind").orderBy("attempt")
+    good = F.col("kind") == "good"
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("same", F.col("reply").eqNullSafe(F.first("reply").over(order)))
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    got = rows.groupBy("packet_id").agg(
+        F.bool_or(good).alias("answered"), F.count_if(good & (F.col("nth") > 1) & F.col("same")).alias("superseded"), F.count_if(good & ~F.col("same")).alias("conflicts"), of("failed"), of("stale"), of("invalid")
     )
+    return got.withColumn("blocking", ~F.col("answered") & (F.col("failed") + F.col("stale") + F.col("invalid") > 0))
 
 
 def agreement(verdicts: DataFrame, ratings: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -148,3 +155,54 @@ def attempt_resources(attempts: DataFrame, column: str, path: str, fallback: str
     """group, attempts, total, missing: a figure from nested JSON, the nested fallback where it is absent."""
     value = F.coalesce(F.get_json_object(column, path).cast("double"), F.get_json_object(column, fallback).cast("double"))
     return attempts.withColumn("value", value).groupBy("group").agg(F.count(F.lit(1)).alias("attempts"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+
+def accounting(disposed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, recorded, judged, exact_duplicate, non_substantive: findings by disposition."""
+    of = lambda d: F.count_if(F.col("disposition") == d).alias(d)
+    return disposed.groupBy(*keys).agg(F.count(F.lit(1)).alias("recorded"), of("judged"), of("exact_duplicate"), of("non_substantive"))
+
+
+def outcomes(disposed: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
+    """key, disposition, original, status of every finding: its judgement, pending if it is still to be judged, else its
+    disposition."""
+    status = F.coalesce("status", F.when(F.col("disposition") == "judged", "pending").otherwise(F.col("disposition")))
+    return disposed.join(judged.select(*key, "status"), key, "left").select(*key, "disposition", "original", status.alias("status"))
+
+
+#: Codes that tell a reader that nothing is wrong. Fixed values.
+REASSURING = ("consistent", "permissible_departure")
+
+
+def control_totals(rows: DataFrame) -> DataFrame:
+    """cases, validated, overall_agreements, key_match_disagreements, false_reassurances, technical_failures in one row.
+
+    rows(case_id, code, clear_breach, reference_status, judge_status, reference_matches, judge_matches, failures) with
+    sorted matches; a case without a verdict has a null judge_status, agrees in nothing and reassures nobody. A false
+    reassurance is a reassuring code over a clear breach that the judge calls correct.
+    """
+    validated = F.col("judge_status").isNotNull()
+    reassured = F.col("clear_breach") & F.col("code").isin(*REASSURING) & (F.col("judge_status") == "correct")
+    return rows.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(validated).alias("validated"),
+        F.count_if(F.col("judge_status") == F.col("reference_status")).alias("overall_agreements"),
+        F.count_if(~(validated & F.col("judge_matches").eqNullSafe(F.col("reference_matches")))).alias("key_match_disagreements"),
+        F.count_if(reassured).alias("false_reassurances"),
+        F.coalesce(F.sum("failures"), F.lit(0)).alias("technical_failures"),
+    )
+
+
+def acceptance(totals: DataFrame, criteria: dict[str, int]) -> DataFrame:
+    """name, threshold, observed, passed of the five checks. criteria: case_count, minimum_overall_agreements,
+    maximum_key_match_disagreements, maximum_false_reassurances; every case must have a verdict."""
+    c = F.col
+    lit = lambda k: F.lit(criteria[k]).cast("long")
+    checks = [
+        ("case_count", lit("case_count"), c("cases"), c("cases") == lit("case_count")),
+        ("cases_validated", c("cases"), c("validated"), c("validated") == c("cases")),
+        ("overall_agreements", lit("minimum_overall_agreements"), c("overall_agreements"), c("overall_agreements") >= lit("minimum_overall_agreements")),
+        ("key_match_disagreements", lit("maximum_key_match_disagreements"), c("key_match_disagreements"), c("key_match_disagreements") <= lit("maximum_key_match_disagreements")),
+        ("false_reassurances", lit("maximum_false_reassurances"), c("false_reassurances"), c("false_reassurances") <= lit("maximum_false_reassurances")),
+    ]
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("threshold"), o.alias("observed"), p.alias("passed")) for n, t, o, p in checks])))

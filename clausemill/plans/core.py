@@ -427,11 +427,17 @@ def finding_status(spark: SparkSession, sf: str) -> DataFrame:
     return line.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scoring_reduce_attempts", """WITH a AS (SELECT user_id AS packet_id, event_id AS attempt, event_type AS reply, event_type <> 'error' AS valid FROM events), v AS (SELECT *, row_number() OVER w AS nth, reply = first(reply) OVER w AS same FROM a WHERE valid WINDOW w AS (PARTITION BY packet_id ORDER BY attempt)),
-    g AS (SELECT packet_id, count(*) FILTER (WHERE nth > 1 AND same) AS superseded, count(*) FILTER (WHERE NOT same) AS conflicts FROM v GROUP BY 1), f AS (SELECT packet_id, count(*) FILTER (WHERE NOT valid) AS failed FROM a GROUP BY 1)
-    SELECT packet_id, superseded IS NOT NULL AS answered, coalesce(superseded, 0) AS superseded, coalesce(conflicts, 0) AS conflicts, failed FROM f LEFT JOIN g USING (packet_id)""")
+@query("scoring_reduce_attempts", """WITH a AS (SELECT user_id AS packet_id, event_id AS attempt, event_type AS reply, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 10 = 0 THEN 'stale' WHEN event_type = 'signup' OR user_id % 9 = 0 THEN 'invalid' ELSE 'good' END AS kind FROM events),
+    v AS (SELECT *, row_number() OVER w AS nth, reply = first(reply) OVER w AS same FROM a WHERE kind = 'good' WINDOW w AS (PARTITION BY packet_id ORDER BY attempt)), g AS (SELECT packet_id, count(*) FILTER (WHERE nth > 1 AND same) AS superseded, count(*) FILTER (WHERE NOT same) AS conflicts FROM v GROUP BY 1),
+    f AS (SELECT packet_id, count(*) FILTER (WHERE kind = 'failed') AS failed, count(*) FILTER (WHERE kind = 'stale') AS stale, count(*) FILTER (WHERE kind = 'invalid') AS invalid FROM a GROUP BY 1)
+    SELECT packet_id, superseded IS NOT NULL AS answered, coalesce(superseded, 0) AS superseded, coalesce(conflicts, 0) AS conflicts, failed, stale, invalid, superseded IS NULL AND failed + stale + invalid > 0 AS blocking FROM f LEFT JOIN g USING (packet_id)""")
 def reduce_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.reduce_attempts(table(spark, sf, "events").select(F.col("user_id").alias("packet_id"), F.col("event_id").alias("attempt"), F.col("event_type").alias("reply"), (F.col("event_type") != "error").alias("valid")))
+    kind, user = F.col("event_type"), F.col("user_id")
+    return scoring.reduce_attempts(
+        table(spark, sf, "events").select(
+            user.alias("packet_id"), F.col("event_id").alias("attempt"), kind.alias("reply"), F.when(kind == "error", "crashed").otherwise("answered").alias("status"), (F.col("event_id") % 10 != 0).alias("current"), ((kind != "signup") & (user % 9 != 0)).alias("valid")
+        )
+    )
 
 
 @query("scoring_agreement", """WITH v AS (SELECT doc_id, (length(text) > 200)::INT AS quality, (text LIKE '%!%')::INT AS toxic FROM documents), j AS (SELECT v.quality = l.quality AS q, v.toxic = l.toxic AS t FROM v JOIN labels l USING (doc_id))

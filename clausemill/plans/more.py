@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.operators import corpus, retrieval, runs, structure, worksheet
+from clausemill.operators import corpus, retrieval, runs, scoring, structure, worksheet
 from clausemill.plans import core
 from clausemill.plans.registry import query, table
 from clausemill.streaming import events as streams
@@ -127,3 +127,50 @@ _FIELDS = {"view": ["k"], "click": ["k", "more"], "purchase": ["k"], "signup": [
     SELECT event_id, CASE WHEN gone THEN 'missing_field' WHEN neg THEN 'negative_value' WHEN len(list_filter(want, lambda x: NOT list_contains(k, x))) > 0 THEN 'field_missing' ELSE 'field_unknown' END AS violation FROM w WHERE gone OR neg OR list_sort(k) <> list_sort(want)""")
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return streams.split_valid(table(spark, sf, "events"), _FIELDS)[1].select("event_id", "violation")
+
+
+_DISPOSED = """f AS (SELECT DISTINCT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'consistent' WHEN 'R' THEN 'contradictory' ELSE 'uncertain' END AS code FROM lineitem WHERE l_linenumber < 4),
+    d AS (SELECT *, CASE WHEN code = 'uncertain' THEN 'non_substantive' WHEN row_number() OVER w > 1 THEN 'exact_duplicate' ELSE 'judged' END AS disposition, CASE WHEN code <> 'uncertain' AND row_number() OVER w > 1 THEN first(l_linenumber) OVER w END AS original FROM f WINDOW w AS (PARTITION BY l_orderkey, code ORDER BY l_linenumber))"""
+
+
+def _disposed(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.when(F.col("l_returnflag") == "A", "consistent").when(F.col("l_returnflag") == "R", "contradictory").otherwise("uncertain")
+    rows = table(spark, sf, "lineitem").where("l_linenumber < 4").select("l_orderkey", "l_linenumber", code.alias("code")).distinct()
+    return scoring.dispositions(rows, ["l_orderkey", "code"], "l_linenumber")
+
+
+@query("scoring_accounting", f"WITH {_DISPOSED} SELECT code, count(*) AS recorded, count(*) FILTER (WHERE disposition = 'judged') AS judged, count(*) FILTER (WHERE disposition = 'exact_duplicate') AS exact_duplicate, count(*) FILTER (WHERE disposition = 'non_substantive') AS non_substantive FROM d GROUP BY 1")
+def accounting(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.accounting(_disposed(spark, sf), ["code"])
+
+
+@query("scoring_outcomes", f"WITH {_DISPOSED} SELECT l_orderkey, l_linenumber, code, disposition, original, CASE WHEN disposition <> 'judged' THEN disposition WHEN l_orderkey % 3 = 0 THEN 'correct' ELSE 'pending' END AS status FROM d")
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    key, rows = ["l_orderkey", "l_linenumber", "code"], _disposed(spark, sf)
+    return scoring.outcomes(rows, rows.where("disposition = 'judged' and l_orderkey % 3 = 0").select(*key, F.lit("correct").alias("status")), key)
+
+
+_CASES = """c AS (SELECT l.doc_id AS case_id, quality = 0 AS breach, ['consistent', 'contradictory', 'permissible_departure'][l.doc_id % 3 + 1] AS code, CASE WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS reference, CASE WHEN l.doc_id % 11 <> 0 THEN CASE WHEN length(text) > 300 THEN 'correct' ELSE 'incorrect' END END AS judge,
+    l.doc_id % 4 AS rm, CASE WHEN l.doc_id % 6 = 0 THEN 9 ELSE l.doc_id % 4 END AS jm, l.doc_id % 2 AS failures FROM labels l JOIN documents USING (doc_id)), t AS (SELECT count(*) AS cases, count(judge) AS validated, count(*) FILTER (WHERE judge = reference) AS overall_agreements,
+    count(*) FILTER (WHERE judge IS NULL OR rm <> jm) AS key_match_disagreements, count(*) FILTER (WHERE breach AND code <> 'contradictory' AND judge = 'correct') AS false_reassurances, sum(failures)::BIGINT AS technical_failures FROM c)"""
+
+
+def _totals(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
+        d.alias("case_id"), (F.col("quality") == 0).alias("clear_breach"), F.element_at(F.array(*map(F.lit, ("consistent", "contradictory", "permissible_departure"))), (d % 3 + 1).cast("int")).alias("code"),
+        F.when(F.col("quality") == 1, "correct").otherwise("incorrect").alias("reference_status"), F.when(d % 11 != 0, F.when(F.length("text") > 300, "correct").otherwise("incorrect")).alias("judge_status"),
+        F.array(d % 4).alias("reference_matches"), F.array(F.when(d % 6 == 0, 9).otherwise(d % 4)).alias("judge_matches"), (d % 2).alias("failures"),
+    )
+    return scoring.control_totals(rows)
+
+
+@query("scoring_control_totals", f"WITH {_CASES} SELECT * FROM t")
+def control_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return _totals(spark, sf)
+
+
+@query("scoring_acceptance", f"""WITH {_CASES} SELECT 'case_count' AS name, 100 AS threshold, cases AS observed, cases = 100 AS passed FROM t UNION ALL SELECT 'cases_validated', cases, validated, validated = cases FROM t UNION ALL SELECT 'overall_agreements', 10, overall_agreements, overall_agreements >= 10 FROM t
+    UNION ALL SELECT 'key_match_disagreements', 1, key_match_disagreements, key_match_disagreements <= 1 FROM t UNION ALL SELECT 'false_reassurances', 50000, false_reassurances, false_reassurances <= 50000 FROM t""")
+def acceptance(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.acceptance(_totals(spark, sf), {"case_count": 100, "minimum_overall_agreements": 10, "maximum_key_match_disagreements": 1, "maximum_false_reassurances": 50000})
