@@ -141,6 +141,16 @@ def test_mixing(spark, texts):
     assert sorted(rows) == sorted(mixing.mix(make(spark, texts)).collect())
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs sf0.1")
+def test_mix_meets_its_targets(spark):
+    got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").withColumn("key", F.col("source")), key="key")
+    worst = 0.0
+    for r in got.groupBy("key").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        worst = max(worst, abs(r["taken"] / r["target"] - 1))
+    print("largest share by which a source misses its target:", worst)
+    assert worst < 0.02
+
+
 def test_mix_by_output_shard(spark):
     sizes = [("a", 40_000, 90_000.0), ("b", 64_000, 64_000.0), (None, 3_200, 9_600.0), ("c", 90_000, 30_000.0), ("d", 7, 21.0)]
     goal = spark.createDataFrame([(s, "null" if s is None else f"s{s}", n, t) for s, n, t in sizes], "source string, name string, source_size long, target double")
@@ -411,6 +421,18 @@ def test_encoder_equals_tokenizers(text):
     assert np.frombuffer(packing.encoder("byte_bpe_50k").ids(text), "<u4").tolist() == want
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs sf0.1")
+def test_encoder_equals_tokenizers_on_documents(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    whole, mine = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k")
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 10 = 0").select("text").collect()]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(mine.ids(text), "<u4").tolist() == want.ids
+
+
 def test_html(spark):
     pages = [
         (1, "u", "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p><b>one\n two<br>x<p>three.</p><div class='ad'>buy</div></article><footer>f</footer></body></html>"),
