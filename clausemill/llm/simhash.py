@@ -129,6 +129,7 @@ def with_near(fps: np.ndarray, bounds: np.ndarray, radius: int, most: int = 256)
 
 def bucket_links(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
     """a, b: links of rep among the rows of dealt(bucket, rep, *words) that share a bucket, enough to join every group.
+    A rep is in one bucket a table, so its links are as many as tables at most.
 
     Buckets are sorted and streamed, and in each every group is linked to its smallest rep, so a bucket of n
     fingerprints gives at most n - 1 rows and buckets that share a group mostly give the same ones.
@@ -147,7 +148,11 @@ def bucket_links(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     spread = dealt.select("bucket", "rep", *words).repartition(tasks(dealt.sparkSession), "bucket").sortWithinPartitions("bucket", "rep")
-    return spread.mapInArrow(run, "a long, b long")
+    found = spread.mapInArrow(run, "a long, b long").groupBy("b").agg(F.collect_set("a").alias("all"))
+    # a rep has at most one link a table; all it is linked to are linked to the smallest of them instead
+    least = F.array_min("all")
+    every = found.select(least.alias("a"), F.explode(F.array_append(F.array_remove("all", least), F.col("b"))).alias("b"))
+    return every.distinct()
 
 
 def signed(mask: int) -> int:
