@@ -92,14 +92,14 @@ def drawn(goal: DataFrame, block: int, ceiling: int, shard_slots: int, seed: str
 def permuted(rounds: DataFrame, seed: str) -> DataFrame:
     """name, round, rank, index: for each of rounds(name, blocks, round) a permutation of the block numbers.
 
-    Blocks are ordered by a hash of seed, source, round and number. Ranks come from counts of lanes of about 65,536
+    Blocks are ordered by a hash of seed, source, round and number. Ranks come from counts of lanes of about 16,384
     hashes, so that no task orders all blocks of a source.
     """
     runs = rounds.withColumn("step", F.explode(F.expr("sequence(0L, (blocks - 1) div 4096)")))
     runs = runs.repartition(tasks(rounds.sparkSession), "name", "round", "step")
     every = runs.withColumn("index", F.explode(F.expr("sequence(step * 4096, least(blocks, (step + 1) * 4096) - 1)")))
     every = every.withColumn("h", _draw(F.lit(seed), F.col("name"), F.col("round").cast("string"), F.col("index").cast("string")))
-    every = every.withColumn("lane", F.expr(f"h * (1 + blocks div 65536) div {CIRCLE}"))
+    every = every.withColumn("lane", F.expr(f"h * (1 + blocks div 16384) div {CIRCLE}"))
     held = every.groupBy("name", "round", "lane").agg(F.count(F.lit(1)).alias("n"))
     held = held.select("name", "round", "lane", (F.sum("n").over(Window.partitionBy("name", "round").orderBy("lane")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("name", "round", "lane").orderBy("h", "index")) - 1
