@@ -132,8 +132,8 @@ def _answers(replies: pa.Table, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, text) with chunk, a name; names sort as their doc_ids do, null first.
+def chunked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows(doc_id, text) with chunk, a name, and the bytes of all texts; names sort as their doc_ids do, null first.
 
     Chunks are ranges of doc_id of equal width, and a range that holds over 3 * CHUNK_BYTES is cut again, between its
     own smallest and largest doc_id, until none does; where all rows have one doc_id (or none) it is cut by a hash of
@@ -141,12 +141,13 @@ def chunked(rows: DataFrame) -> DataFrame:
     under one doc_id, may be larger.
     """
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    low, high, size = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    low, high, parts = low or 0, high or 0, max(1, (size or 0) // CHUNK_BYTES)
+    light = materialise(rows.select("doc_id", "h", F.octet_length("text").alias("bytes")))
+    low, high, size = (x or 0 for x in light.agg(F.min("doc_id"), F.max("doc_id"), F.sum("bytes")).first())
+    parts = max(1, size // CHUNK_BYTES)
     number = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
     cell = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.floor((F.col("doc_id") - F.lit(low)) / F.lit(-(-(high - low + 1) // parts))))
-    rows = rows.withColumn("chunk", number(cell))
-    light = materialise(rows.select("doc_id", "h", "chunk", F.octet_length("text").alias("bytes")))
+    rows, before, light = rows.withColumn("chunk", number(cell)), light, materialise(light.withColumn("chunk", number(cell)))
+    release(before)
     while True:
         ends = [f("doc_id") for f in (F.min, F.max)] + [f("h") for f in (F.min, F.max)]
         large = light.groupBy("chunk").agg(F.sum("bytes").alias("b"), *(e.alias(c) for e, c in zip(ends, ("low", "high", "h_low", "h_high"))))
@@ -154,7 +155,7 @@ def chunked(rows: DataFrame) -> DataFrame:
         if large.isEmpty():
             release(light)
             release(large)
-            return rows.drop("h")
+            return rows.drop("h"), size
 
         def finer(x: DataFrame) -> DataFrame:
             by_id = F.col("low") < F.col("high")
@@ -188,8 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     rows = id_text(docs)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    rows = chunked(rows)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size = chunked(rows)
     dealt = max(tasks(spark), size // (4 * CHUNK_BYTES))
     buckets = max(1, size // (6 * BUCKET_WORDS))
     chunks = rows.repartition(dealt, "chunk")

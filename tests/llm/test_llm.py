@@ -76,7 +76,7 @@ def test_chunks_follow_bytes_not_ids(spark, monkeypatch):
     ids = [*range(60), 10**12, *(10**12 + 10**6 + i for i in range(20)), *[None] * 30, *[77] * 30]
     rows = [(i, " ".join("w%d" % rng.randrange(99) for _ in range(25))) for i in ids]
     size, order = Counter(), defaultdict(set)
-    for r in substring_dedup.chunked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+    for r in substring_dedup.chunked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))[0].collect():
         size[r["chunk"]] += len(r["text"])
         order[r["chunk"]].add(-1 if r["doc_id"] is None else r["doc_id"])
     assert max(size.values()) <= 3000 and len(size) >= 6
