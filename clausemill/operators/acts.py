@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.sources.staging import staged
+
 #: The relation that names an act's base act, and the one that lists what changed it. Fixed values.
 CONSOLIDATION, AMENDING = "Tekst jednolity dla aktu", "Akty zmieniające"
 #: Keys that a manifest and its acts may have. Fixed values.
@@ -169,42 +173,67 @@ def force_pair_rules(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def struct_articles(acts: DataFrame, depth: int = 10) -> DataFrame:
-    """act_id, path, pos, node of every article in acts(act_id, body), a JSON list of nodes with children.
+def _quoted(name: Column) -> Column:
+    """A name as part of a path: all but letters, digits and _.-~() percent-encoded."""
+    out = F.url_encode(name)
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
+def _text_at(field: str) -> Column:
+    """A field of the variant `node`, where it is a string."""
+    kind = F.schema_of_variant(F.try_variant_get("node", f"$.{field}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get("node", f"$.{field}", "string"))
+
+
+def struct_articles(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """act_id, path, pos, node of every article in acts(act_id, body), a JSON list of nodes with children; and rule, key,
+    detail of bodies that are no such list and of nodes that are no objects.
+
+    Containers add their type and name to the path, other nodes are passed through, nodes without a type, and containers
+    without a name, go with all they hold, and an article comes whole, as JSON with sorted keys. pos are the places on the
+    way down, so its order is the page's.
 
-    Levels are unfolded one by one, up to `depth`; containers add their type and name to the path, other nodes are
-    passed through, and an article comes whole, as JSON. pos are the places on the way down, so its order is the page's.
+    A body is parsed once. Levels are unfolded one by one, as deep as they go: each is written to the shared folder and
+    holds only what is still to be unfolded, so none is computed again.
     """
-    kind = "array<struct<type: string, name: string, children: string>>"
-    whole = "array<string>"
-    level = acts.select("act_id", F.lit("").alias("path"), F.array().cast("array<int>").alias("pos"), "body")
-    found = None
-    for _ in range(depth):
-        nodes = level.select("act_id", "path", "pos", F.posexplode(F.arrays_zip(F.from_json("body", kind).alias("n"), F.from_json("body", whole).alias("raw"))).alias("at", "x"))
-        name, t = F.col("x.n.name"), F.col("x.n.type")
-        step = F.concat(F.when(F.col("path") == "", "").otherwise("/"), t, F.lit("="), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
-        named = t.isin(*SEGMENTS) & name.isNotNull()
-        rows = nodes.where(t.isNotNull() & (~t.isin(*SEGMENTS) | named)).select(
-            "act_id", F.concat("path", F.when(named, step).otherwise("")).alias("path"), F.concat("pos", F.array("at")).alias("pos"), t.alias("type"), F.col("x.n.children").alias("body"), F.col("x.raw").alias("node")
-        )
-        got = rows.where("type = 'arti'").select("act_id", "path", "pos", "node")
-        found = got if found is None else found.unionByName(got)
-        level = rows.where("type <> 'arti' and body is not null").select("act_id", "path", "pos", "body")
-    return found
+    items = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    parsed = staged(acts.select("act_id", F.try_parse_json("body").alias("body")))
+    bad = parsed.where(items("body").isNull()).select("act_id", F.lit("malformed_structure").alias("rule"), F.when(F.col("body").isNull(), "no JSON").otherwise("no list").alias("detail"))
+    level = parsed.select("act_id", F.lit("").alias("path"), F.array().cast("array<int>").alias("pos"), "body")
+    articles = []
+    while True:
+        nodes = level.select("act_id", "path", "pos", F.posexplode(items("body")).alias("at", "node"))
+        at = F.concat("pos", F.array("at"))
+        kind, name = _text_at("type"), _text_at("name")
+        step = F.concat(F.when(F.col("path") == "", "").otherwise("/"), kind, F.lit("="), _quoted(name))
+        part = kind.isin(*SEGMENTS)
+        rows = nodes.where(kind.isNotNull() & (~part | name.isNotNull()))
+        rows = staged(rows.select("act_id", F.concat("path", F.when(part, step).otherwise("")).alias("path"), at.alias("pos"), kind.alias("type"), F.when(kind == "arti", F.col("node")).otherwise(F.try_variant_get("node", "$.children", "variant")).alias("body")))
+        odd = nodes.where(F.try_variant_get("node", "$", "map<string,variant>").isNull())
+        bad = bad.unionByName(odd.select("act_id", F.lit("malformed_node").alias("rule"), F.array_join(at.cast("array<string>"), ",").alias("detail")))
+        articles.append(rows.where("type = 'arti'").select("act_id", "path", "pos", F.to_json("body").alias("node")))
+        level = rows.where(F.col("type") != "arti").where(F.size(items("body")) > 0).select("act_id", "path", "pos", "body")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, articles), bad.select("rule", F.col("act_id").cast("string").alias("key"), "detail")
 
 
 def dedupe_struct(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row a path, at its first place: act_id, path, pos, node; and rule, key, detail of ambiguous paths.
 
-    Equal nodes collapse, and one without children yields to one that differs in nothing else.
+    Equal nodes collapse, whatever the order of their keys, and one without children yields to one that differs in nothing
+    else; of such without children the first stays.
     """
-    bare = F.regexp_replace("node", r',?"children":\s*\[.*\]', "")
-    rows = articles.withColumn("bare", bare).withColumn("stub", ~F.col("node").rlike(r'"children":\s*\[\s*\{'))
+    whole = F.try_parse_json("node")
+    rows = articles.select("act_id", "path", "pos", F.to_json(whole).alias("node"), F.try_variant_get(whole, "$", "map<string,variant>").alias("fields"))
+    below = F.to_json(F.col("fields")["children"])
+    rows = rows.withColumns({"bare": F.to_json(F.map_filter("fields", lambda k, _: k != "children")), "stub": below.isNull() | below.isin("null", "[]", "{}", '""', "0", "false")})
     per = rows.groupBy("act_id", "path").agg(
         F.min("pos").alias("pos"),
-        F.max_by("node", F.struct(~F.col("stub"), F.col("node"))).alias("node"),
-        F.count_distinct(F.when(~F.col("stub"), F.col("node"))).alias("full"),
-        F.count_distinct("bare").alias("heads"),
+        F.min_by("node", F.struct("stub", "pos")).alias("node"),
+        F.count_distinct(F.when(~F.col("stub"), F.sha2("node", 256))).alias("full"),
+        F.count_distinct(F.sha2("bare", 256)).alias("heads"),
     )
     clear = (F.col("full") <= 1) & (F.col("heads") == 1)
     refused = per.where(~clear).select(F.lit("ambiguous_struct_path").alias("rule"), F.concat_ws(" ", "act_id", "path").alias("key"), F.greatest("full", "heads").cast("string").alias("detail"))

@@ -151,17 +151,49 @@ def _trees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("acts_struct_articles", "SELECT c_custkey AS act_id, unnest(['book=I/arti=1', 'book=I/arti=1', 'arti=2%20a' || c_custkey]) AS path, unnest(['0,0', '0,1', '1,0']) AS pos FROM customer")
 def struct_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return acts.struct_articles(_trees(spark, sf), depth=4).select("act_id", "path", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
+    return acts.struct_articles(_trees(spark, sf))[0].select("act_id", "path", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
 
 
 @query("acts_dedupe_struct", "SELECT c_custkey AS act_id, 'arti=2%20a' || c_custkey AS path, '1,0' AS pos, false AS whole FROM customer UNION ALL SELECT c_custkey, 'book=I/arti=1', '0,0', true FROM customer WHERE c_custkey % 3 <> 2")
 def dedupe_struct(spark: SparkSession, sf: str) -> DataFrame:
-    return acts.dedupe_struct(acts.struct_articles(_trees(spark, sf), depth=4))[0].select("act_id", "path", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"), F.col("node").contains("para").alias("whole"))
+    return acts.dedupe_struct(acts.struct_articles(_trees(spark, sf))[0])[0].select("act_id", "path", F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"), F.col("node").contains("para").alias("whole"))
 
 
 @query("acts_ambiguous_struct", "SELECT 'ambiguous_struct_path' AS rule, c_custkey || ' book=I/arti=1' AS key, '2' AS detail FROM customer WHERE c_custkey % 3 = 2")
 def ambiguous_struct(spark: SparkSession, sf: str) -> DataFrame:
-    return acts.dedupe_struct(acts.struct_articles(_trees(spark, sf), depth=4))[1]
+    return acts.dedupe_struct(acts.struct_articles(_trees(spark, sf))[0])[1]
+
+
+_DEEP = r"""t AS (SELECT c_custkey AS act_id, c_custkey % 11 AS n, '"x": {"b": 1, "a": [null, 2]}' AS more FROM customer),
+    b AS (SELECT act_id, CASE WHEN act_id % 9 = 7 THEN '{"type": "arti", "name": "1"}' WHEN act_id % 9 = 8 THEN '[{"type": "arti"' ELSE
+        '[' || repeat('{"type": "chpt", "name": "a (1)~*/ż", "children": [{"type": "note", "children": [', n) || '{"type": "arti", "name": "' || act_id || '", ' || more || '}, 7, {"type": 5, "name": "x", "children": [{"type": "arti", "name": "lost"}]}, {"type": "chpt", "children": [{"type": "arti", "name": "lost"}]}, "arti"'
+        || repeat(']}, {"type": "arti", "name": "2", "title": "t", "children": []}]}', n) || ']' END AS body FROM t)"""
+_WALK = rf"""{_DEEP}, w AS (SELECT act_id, '' AS path, '' AS pos, 'root' AS type, body::JSON AS node, CASE WHEN json_type(body) = 'ARRAY' THEN body::JSON END AS below FROM b WHERE json_valid(body)
+    UNION ALL SELECT act_id, path || CASE WHEN type IN ('chpt', 'arti') THEN CASE WHEN path = '' THEN '' ELSE '/' END || type || '=' || replace(replace(url_encode(name), '%28', '('), '%29', ')') ELSE '' END, pos || CASE WHEN pos = '' THEN '' ELSE ',' END || nth, type, node,
+        CASE WHEN type <> 'arti' AND json_type(node, '$.children') = 'ARRAY' THEN node->'$.children' END
+    FROM (SELECT act_id, path, pos, nth, x AS node, CASE WHEN json_type(x, '$.type') = 'VARCHAR' THEN x->>'$.type' END AS type, CASE WHEN json_type(x, '$.name') = 'VARCHAR' THEN x->>'$.name' END AS name
+        FROM (SELECT act_id, path, pos, unnest(from_json(below, '["JSON"]')) AS x, unnest(range(0, json_array_length(below)::BIGINT)) AS nth FROM w WHERE below IS NOT NULL))
+    WHERE type IS NOT NULL AND (type NOT IN ('chpt', 'arti') OR name IS NOT NULL) OR json_type(node) <> 'OBJECT')"""
+
+
+def _deep(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    n = (k % 11).cast("int")
+    opened, closed = '{"type": "chpt", "name": "a (1)~*/ż", "children": [{"type": "note", "children": [', ']}, {"type": "arti", "name": "2", "title": "t", "children": []}]}'
+    core = F.concat(F.lit('{"type": "arti", "name": "'), k.cast("string"), F.lit('", "x": {"b": 1, "a": [null, 2]}}, 7, {"type": 5, "name": "x", "children": [{"type": "arti", "name": "lost"}]}, {"type": "chpt", "children": [{"type": "arti", "name": "lost"}]}, "arti"'))
+    tree = F.concat(F.lit("["), F.repeat(F.lit(opened), n), core, F.repeat(F.lit(closed), n), F.lit("]"))
+    return table(spark, sf, "customer").select(k.alias("act_id"), F.when(k % 9 == 7, '{"type": "arti", "name": "1"}').when(k % 9 == 8, '[{"type": "arti"').otherwise(tree).alias("body"))
+
+
+@query("acts_struct_deep", f"""WITH RECURSIVE {_WALK} SELECT act_id, sha256(path) AS path_sha256, pos, CASE WHEN json_type(node, '$.x') IS NULL THEN '{{"children":[],"name":"2","title":"t","type":"arti"}}'
+    ELSE '{{"name":"' || act_id || '","type":"arti","x":{{"a":[null,2],"b":1}}}}' END AS node FROM w WHERE type = 'arti'""")
+def struct_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return acts.struct_articles(_deep(spark, sf))[0].select("act_id", F.sha2("path", 256).alias("path_sha256"), F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"), "node")
+
+
+@query("acts_struct_violations", rf"WITH RECURSIVE {_WALK} SELECT 'malformed_node' AS rule, act_id::VARCHAR AS key, pos AS detail FROM w WHERE json_type(node) <> 'OBJECT' AND pos <> '' UNION ALL SELECT 'malformed_structure', act_id::VARCHAR, CASE WHEN json_valid(body) THEN 'no list' ELSE 'no JSON' END FROM b WHERE NOT json_valid(body) OR json_type(body) <> 'ARRAY'")
+def struct_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return acts.struct_articles(_deep(spark, sf))[1]
 
 
 @query("acts_article_numbers", r"""WITH n AS (SELECT CASE p_partkey % 7 WHEN 0 THEN p_size || '(' || p_partkey % 4 || ')' WHEN 1 THEN p_size || '[' || p_partkey % 4 || ']' WHEN 2 THEN p_size || '^' || p_partkey % 4 WHEN 3 THEN p_size || ['⁰', '¹', '²', '³'][p_partkey % 4 + 1] WHEN 4 THEN p_size || 'a' WHEN 5 THEN 'Art ' || p_size ELSE p_size::VARCHAR END AS s FROM part),
