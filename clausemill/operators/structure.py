@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Levels in order of preference: name, pattern at a line start, kind of path. Fixed values.
 LEVELS = (
-    ("paragraph", r"(?iu)^(?:§|[S5$8])\s*(\d+)", "numeric"),
-    ("article", r"(?iu)^Art\.\s*(\d+)", "numeric"),
-    ("outline", r"(?iu)^(\d+(?:\.\d+)*)\.?(?=\s)", "outline"),
-    ("section", r"(?iu)^ust\.\s*(\d+)", "numeric"),
-    ("point", r"(?iu)^pkt\.\s*(\d+)", "numeric"),
-    ("letter", r"(?iu)^lit\.\s*([a-ząćęłńóśźż])", "letter"),
+    ("paragraph", r"(?iu)^(?:§|[S5$8])[\s\p{Z}]*(\d+)", "numeric"),
+    ("article", r"(?iu)^Art\.[\s\p{Z}]*(\d+)", "numeric"),
+    ("outline", r"(?iu)^(\d+(?:\.\d+)*)\.?(?=[\s\p{Z}])", "outline"),
+    ("section", r"(?iu)^ust\.[\s\p{Z}]*(\d+)", "numeric"),
+    ("point", r"(?iu)^pkt\.[\s\p{Z}]*(\d+)", "numeric"),
+    ("letter", r"(?iu)^lit\.[\s\p{Z}]*([a-ząćęłńóśźż])", "letter"),
 )
 _SENTENCE_START = "[A-ZĄĆĘŁŃÓŚŹŻ]"
 
@@ -28,17 +28,19 @@ def running(lengths: Column, block: int = 256) -> Column:
 
 def pieces(documents: DataFrame, parts: Column, keep: tuple[str, ...] = (), following: bool = False) -> DataFrame:
     """doc_id, keep, pos, piece, start, end: parts of a text that make it up, with running offsets; and, if asked for,
-    following, the start of the next part that is not blank.
+    following: of a part that is not blank, the digits or else the first character that the next such part begins with.
 
-    Offsets are summed up inside the row, so no text is shuffled.
+    Offsets are summed up inside the row, so no text is shuffled. The next part that is not blank is found by the number of
+    those so far, however many blank ones lie between.
     """
     rows = documents.select("doc_id", *keep, parts.alias("parts"))
     rows = rows.withColumn("ends", running(F.transform("parts", F.length)))
     zipped = ["parts", "ends"]
     if following:
-        full = lambda x: x.rlike(r"\S")
-        later = lambda i: F.get(F.filter(F.slice("parts", i + 2, F.lit(20)), full), F.lit(0))
-        after = F.transform("parts", lambda x, i: F.substring(F.ltrim(F.coalesce(F.when(full(F.get("parts", i + 1)), F.get("parts", i + 1)).otherwise(later(i)), F.lit(""))), 1, 200))
+        full = lambda x: x.rlike(r"[^\s\p{Z}]")
+        begins = F.transform(F.filter("parts", full), lambda x: F.regexp_extract(x, r"^[\s\p{Z}]*(\d+|[^\s\p{Z}])", 1))
+        rows = rows.withColumns({"begins": begins, "so_far": running(F.transform("parts", lambda x: F.when(full(x), 1).otherwise(0)))})
+        after = F.zip_with("parts", "so_far", lambda x, n: F.when(full(x), F.coalesce(F.get("begins", n), F.lit(""))).otherwise(""))
         zipped.append(after.alias("after"))
     got = rows.select("doc_id", *keep, F.posexplode(F.arrays_zip(*zipped)).alias("pos", "x"))
     end, piece = F.col("x.ends"), F.col("x.parts")
@@ -60,26 +62,37 @@ def content_groups(documents: DataFrame) -> DataFrame:
 def markers(documents: DataFrame) -> DataFrame:
     """doc_id, length, level, rank, offset, path of the numbering markers at line starts, for every level.
 
-    A pattern may reach over the line's end, so each line is read with the start of the next that is not blank.
+    A pattern may reach over the line's end, so each line is read with what the next that is not blank begins with. A path
+    holds decimal numbers as texts without leading zeros, of any length; a letter is its code.
     """
     sized = documents.select("doc_id", "text", F.length("text").alias("length"))
     lines = pieces(sized, F.split("text", "(?<=\n)", -1), ("length",), following=True)
     lines = lines.select("doc_id", "length", F.col("start").alias("offset"), F.concat("piece", "following").alias("view"))
     found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("level"), F.lit(kind).alias("kind"), F.regexp_extract("view", pattern, 1).alias("raw")) for i, (name, pattern, kind) in enumerate(LEVELS)])
     rows = lines.select("doc_id", "length", "offset", F.explode(found).alias("m")).where("m.raw <> ''")
-    path = F.when(F.col("m.kind") == "letter", F.array(F.ascii(F.lower("m.raw")))).otherwise(F.transform(F.split("m.raw", "\\."), lambda x: F.try_to_number(x, F.lit("999999999")).cast("int")))
+    path = F.when(F.col("m.kind") == "letter", F.array(F.ascii(F.lower("m.raw")).cast("string"))).otherwise(F.transform(F.split("m.raw", "\\."), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")))
     return rows.select("doc_id", "length", F.col("m.level").alias("level"), F.col("m.rank").alias("rank"), "offset", path.alias("path"))
 
 
+def next_number(number: Column) -> Column:
+    """The number after a decimal number without leading zeros, both as texts of any length: nines at its end become zeros
+    and the digit before them goes up."""
+    nines = F.regexp_extract(number, "9*$", 0)
+    head = F.substring(number, F.lit(1), F.length(number) - F.length(nines))
+    up = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.translate(F.right(head, F.lit(1)), "012345678", "123456789"))
+    return F.concat(F.when(head == "", "1").otherwise(up), F.repeat(F.lit("0"), F.length(nines)))
+
+
 def is_successor(previous: Column, following: Column) -> Column:
     """Whether one path may follow another: a restart at 1, a first child, or an increment with descent to ones."""
+    previous, following = previous.cast("array<string>"), following.cast("array<string>")
 
     def step(k: Column) -> Column:
-        head = F.concat(F.slice(previous, F.lit(1), k - 1), F.array(F.get(previous, k - 1) + 1))
+        head = F.concat(F.slice(previous, F.lit(1), k - 1), F.array(next_number(F.get(previous, k - 1))))
         rest = F.slice(following, k + 1, F.greatest(F.size(following), F.lit(1)))
-        return (F.slice(following, F.lit(1), k) == head) & F.forall(rest, lambda x: x == 1)
+        return (F.slice(following, F.lit(1), k) == head) & F.forall(rest, lambda x: x == "1")
 
-    one = F.array(F.lit(1))
+    one = F.array(F.lit("1"))
     return (following == one) | (following == F.concat(previous, one)) | F.exists(F.sequence(F.lit(1), F.size(previous)), step)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.operators import corpus, decision, quality, retrieval, runs, scoring, structure
@@ -85,6 +85,48 @@ def level_stats(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "level", "n_markers", "monotonicity", "coverage", "tail")
 
 
+# Lines that begin with markers of every level, some parted from their numbers by blank lines; numbers go up, skip and fall back.
+_MARKED = r"""mk AS (SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE (doc_id + i) % 8 WHEN 0 THEN '§' || repeat(chr(10), (i % 40)::INT) || ' ' || n[i] || '. ' WHEN 1 THEN 'Art. ' || n[i] || ' ' WHEN 2 THEN (i % 4) || '.' || n[i] || '. '
+        WHEN 3 THEN 'ust. 0' || n[i] || '000000000000' WHEN 4 THEN 'PKT.' || chr(10) || n[i] WHEN 5 THEN 'lit. ' || chr((97 + i % 6)::INT) || ') ' WHEN 6 THEN '§ ' || n[i] || ' ' ELSE '' END || x), chr(10)) AS text
+        FROM (SELECT doc_id, l, list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i % 9 < 6 THEN i // 8 + 1 ELSE i % 3 END) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+    ml AS (SELECT doc_id, text, (sum(length(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l[i]) - 1)::BIGINT AS off FROM (SELECT doc_id, text, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM mk))),
+    mv AS (SELECT doc_id, length(text) AS n, off, text[off + 1 :] AS v FROM ml),
+    mm AS (SELECT doc_id, n, off, unnest(['paragraph', 'article', 'outline', 'section', 'point', 'letter']) AS level, unnest([regexp_extract(v, '(?i)^(?:§|[S5$8])\s*(\d+)', 1), regexp_extract(v, '(?i)^Art\.\s*(\d+)', 1), regexp_extract(v, '^(\d+(?:\.\d+)*)\.?\s', 1),
+        regexp_extract(v, '(?i)^ust\.\s*(\d+)', 1), regexp_extract(v, '(?i)^pkt\.\s*(\d+)', 1), regexp_extract(v, '(?i)^lit\.\s*([a-ząćęłńóśźż])', 1)]) AS raw FROM mv),
+    mp AS (SELECT doc_id, n, off, level, CASE WHEN level = 'letter' THEN [ascii(lower(raw))::HUGEINT] ELSE list_transform(string_split(raw, '.'), lambda x: x::HUGEINT) END AS f FROM mm WHERE raw <> ''),
+    mf AS (SELECT *, lag(f) OVER (PARTITION BY doc_id, level ORDER BY off) AS p FROM mp),
+    ms AS (SELECT doc_id, n, off, level, CASE WHEN p IS NULL THEN NULL ELSE (f = [1] OR f = list_append(p, 1) OR len(list_filter(range(1, len(p) + 1), lambda k: f[1:k] = list_append(p[1 : k - 1], p[k] + 1) AND len(list_filter(f[k + 1 :], lambda x: x <> 1)) = 0)) > 0)::INT END AS ok FROM mf)"""
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    i = lambda at: (at + 1).cast("int")
+    n = lambda at: F.when(i(at) % 9 < 6, F.floor(i(at) / 8) + 1).otherwise(i(at) % 3).cast("string")
+
+    def line(doc: Column, x: Column, at: Column) -> Column:
+        k = (doc + i(at)) % 8
+        lead = (
+            F.when(k == 0, F.concat(F.lit("§"), F.repeat(F.lit("\n"), i(at) % 40), F.lit(" "), n(at), F.lit(". "))).when(k == 1, F.concat(F.lit("Art. "), n(at), F.lit(" "))).when(k == 2, F.concat((i(at) % 4).cast("string"), F.lit("."), n(at), F.lit(". ")))
+            .when(k == 3, F.concat(F.lit("ust. 0"), n(at), F.lit("000000000000"))).when(k == 4, F.concat(F.lit("PKT.\n"), n(at))).when(k == 5, F.concat(F.lit("lit. "), F.chr(i(at) % 6 + 97), F.lit(") "))).when(k == 6, F.concat(F.lit("§ "), n(at), F.lit(" "))).otherwise("")
+        )
+        return F.concat(lead, x)
+
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda x, at: line(F.col("doc_id"), x, at)), "\n").alias("text"))
+
+
+@query("structure_marker_stats", f"WITH {_MARKED} SELECT doc_id, level, count(*) AS n_markers, coalesce(avg(ok), 1.0)::DOUBLE AS monotonicity, (n - min(off))::DOUBLE / n AS coverage, (n - max(off))::DOUBLE / n AS tail FROM ms GROUP BY doc_id, n, level")
+def marker_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.level_stats(structure.markers(_marked(spark, sf))).select("doc_id", "level", "n_markers", "monotonicity", "coverage", "tail")
+
+
+@query("structure_marked_units", f"""WITH {_MARKED}, stats AS (SELECT doc_id, level, count(*) AS c, coalesce(avg(ok), 1.0) AS m, (n - min(off))::DOUBLE / n AS cov, (n - max(off))::DOUBLE / n AS tail FROM ms GROUP BY doc_id, n, level),
+    best AS (SELECT doc_id, arg_min(level, list_position(['paragraph', 'article', 'outline', 'section', 'point', 'letter'], level)) AS level FROM stats WHERE c >= 3 AND m >= 0.8 AND cov >= 0.6 AND tail <= 0.5 GROUP BY doc_id)
+    SELECT doc_id, level, row_number() OVER w - 1 AS pos, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE off END AS start_offset, coalesce(lead(off) OVER w, n)::BIGINT AS end_offset FROM ms JOIN best USING (doc_id, level) WINDOW w AS (PARTITION BY doc_id ORDER BY off)""")
+def marked_units(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _marked(spark, sf)
+    chosen = structure.choose_level(structure.level_stats(structure.markers(docs)))
+    return structure.structural_units(docs).join(chosen, "doc_id").select("doc_id", "level", F.col("pos").cast("long").alias("pos"), "start_offset", "end_offset")
+
+
 @query("structure_structural_units", f"""WITH {_DERIVED} SELECT doc_id, i - 1 AS pos, off AS start_offset, coalesce(lead(off) OVER (PARTITION BY doc_id ORDER BY i), n)::BIGINT AS end_offset
     FROM dl JOIN st USING (doc_id, n) WHERE n_markers >= 3 AND tail <= 0.5""")
 def structural_units(spark: SparkSession, sf: str) -> DataFrame:
