@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import term_id, terms
+from clausemill.operators.dense import partial_best
+from clausemill.sources.staging import staged
 
 
 #: Parts of the postings of one term.
@@ -57,6 +59,66 @@ def sparse_topk(post: DataFrame, wanted: DataFrame, k: int, n_units: DataFrame)
     return top(hits.groupBy("query_id", "unit_id").agg(score.alias("score")), k)
 
 
+def build_index(units: DataFrame, key: str = "unit_id", k1: float = 1.2, b: float = 0.75, average: float = 256.0, parts: int = 8) -> DataFrame:
+    """Postings to be searched again and again, written once: key, block, term, weight.
+
+    Texts are read once and shuffled once, by key; their terms are taken, counted and weighted where they then are. A block
+    holds units of about the same length (four steps to a doubling), in `parts` parts, so that the largest weight of a term
+    in a block is close to those of its units. A null text has no terms.
+    """
+    rows = units.select(key, "text").repartition(key).select(key, terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    n = F.size("terms")
+    block = F.floor(F.log2(n + 1.0) * 4).cast("int") * parts + F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    each = rows.select(key, n.alias("n"), block.alias("block"), F.explode("terms").alias("term")).groupBy(key, "n", "block", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / average))
+    return staged(each.select(key, "block", "term", weight.alias("weight")))
+
+
+def pruned_topk(index: DataFrame, wanted: DataFrame, k: int, n_units: DataFrame, share: float = 0.2) -> DataFrame:
+    """query_id, unit_id, score, rank: what sparse_topk gives, with fewer postings scored; exact.
+
+    1. The largest weight of each asked-for term in each block bounds what the term can add there.
+    2. A query's rarest terms, up to `share` of the units in postings, find k units; their whole scores are taken, and the
+       least of them is a score that the k best reach.
+    3. The query's terms of least bound, as many as together stay below that score, find no unit alone: units come from the
+       postings of the others. One whose score so far and the bounds of the rest in its block together stay below it goes.
+    4. Units that are left get the rest of their scores by unit and term.
+
+    A query with fewer than k units is scored in full. Bounds are per term and block, scores needed per query, so all but
+    the postings is small; postings of a term meet queries in SALTS parts.
+    """
+    names = staged(wanted.select("term").distinct().select("term", F.monotonically_increasing_id().alias("t")))
+    salt = F.pmod(F.xxhash64("unit_id"), F.lit(SALTS)).cast("int")
+    asked = staged(index.join(names, "term").select("unit_id", "block", "t", "weight", salt.alias("salt")))
+    impacts = staged(asked.groupBy("t", "block").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most")))
+    per_term = impacts.groupBy("t").agg(F.sum("df").alias("df"), F.max("most").alias("most")).crossJoin(F.broadcast(n_units))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rarest, least = Window.partitionBy("query_id").orderBy("df", "t"), Window.partitionBy("query_id").orderBy("bound", "t")
+    per_term = per_term.select("t", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"), (share * F.col("n")).alias("budget"))
+    ask = wanted.join(names, "term").join(per_term, "t").withColumns({"upto": F.sum("df").over(rarest), "nth": F.row_number().over(rarest), "adds": F.sum("bound").over(least)})
+    ask = staged(ask)
+
+    def scored(some: DataFrame) -> DataFrame:
+        salted = some.select("query_id", "t", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hits = asked.join(salted, ["t", "salt"])
+        return hits.groupBy("query_id", "unit_id", "block").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+
+    def completed(units: DataFrame, some: DataFrame) -> DataFrame:
+        pairs = units.select("query_id", "unit_id").join(some.select("query_id", "t", "idf"), "query_id")
+        return pairs.join(asked.select("unit_id", "t", "weight"), ["unit_id", "t"]).groupBy("query_id", "unit_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("more"))
+
+    found = top(scored(ask.where("upto <= budget or nth = 1")), k)
+    whole = completed(found, ask).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("more")).alias("reach"))
+    reach = staged(whole.select("query_id", F.coalesce(F.col("reach") - 1e-5, F.lit(0.0)).alias("reach")))
+    ask = ask.join(reach, "query_id")
+    finds, adds = ask.where("adds >= reach"), ask.where("adds < reach")
+    rest = adds.join(impacts.select("t", "block", "most"), "t").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("rest"))
+    so_far = scored(finds).join(rest, ["query_id", "block"], "left").join(reach, "query_id")
+    left = staged(so_far.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("reach")).select("query_id", "unit_id", "score"))
+    total = left.join(completed(left, adds), ["query_id", "unit_id"], "left")
+    return top(total.select("query_id", "unit_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6).alias("score")), k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -86,15 +148,11 @@ def hybrid_search(sparse: DataFrame, dense: DataFrame, units: DataFrame, k: int
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, most: int = 4096) -> DataFrame:
-    """query_id, unit_id, score, rank: cosine of every unit vector with the stated queries, in blocks.
+    """query_id, unit_id, score, rank: cosine of every unit vector with the stated queries(query_id, unit), in blocks.
 
-    queries(query_id, unit) is a stated set. Vectors are dealt over the cluster and the set meets every row of a
-    block; each task keeps k rows of each query, and those alone are shuffled. The set is sent to the tasks if it has at
-    most `most` rows.
+    Scores are products of matrices, and every block hands on k units a query (see dense.partial_best, and for `most`).
     """
-    queries = F.broadcast(queries) if queries.count() <= most else queries
-    pairs = vectors.select(F.col("vec_id").alias("unit_id"), F.col("unit").alias("v")).crossJoin(queries.select("query_id", F.col("unit").alias("q")))
-    return top(pairs.select("query_id", "unit_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k)
+    return top(partial_best(vectors, queries, k, most), k)
 
 
 def rrf(a: DataFrame, b: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -180,7 +180,15 @@ _SPARSE = f"""{_POST}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_FOLD}
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
     units = _units(spark, sf)
     wanted = retrieval.query_terms(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.sparse_topk(retrieval.postings(retrieval.corpus_terms(units)), wanted, 5, units.agg(F.count(F.lit(1)).alias("n")))
+    return retrieval.sparse_topk(retrieval.build_index(units), wanted, 5, units.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("retrieval_bm25_pruned", f"WITH {_SPARSE} SELECT query_id, unit_id, score, rank FROM sparse")
+def bm25_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    units = _units(spark, sf)
+    wanted = retrieval.query_terms(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    got = retrieval.pruned_topk(retrieval.build_index(units), wanted, 5, units.agg(F.count(F.lit(1)).alias("n")))
+    return got.select("query_id", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("retrieval_bm25_topk", f"WITH {_SPARSE} SELECT query_id, unit_id, score, rank FROM sparse")
@@ -203,6 +211,15 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf).select("query_id", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("retrieval_dense_all_pairs", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings WHERE len(embedding) = 64)
+    SELECT * FROM (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM (SELECT q.vec_id AS query_id, u.vec_id AS unit_id, round(list_dot_product(u.v, q.v), 6) AS score FROM u, u q)) WHERE rank <= 3""")
+def dense_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a query, by the grid of blocks."""
+    unit = retrieval.unit_vectors(table(spark, sf, "embeddings"), 64)
+    got = retrieval.dense_topk(unit, unit.select(F.col("vec_id").alias("query_id"), "unit"), 3, most=256)
+    return got.select("query_id", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("retrieval_rank_fusion", f"""WITH {_SPARSE}, {_DENSE}, f AS (SELECT coalesce(s.query_id, d.query_id) AS query_id, coalesce(s.unit_id, d.unit_id) AS unit_id,
     round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 9) AS score FROM sparse s FULL JOIN dense d ON s.query_id = d.query_id AND s.unit_id = d.unit_id)
     SELECT * FROM (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sha256(unit_id::VARCHAR)) AS rank FROM f) WHERE rank <= 5""")

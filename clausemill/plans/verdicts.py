@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.operators import decision, retrieval, runs, structure, verdicts
-from clausemill.plans.core import _LINES
+from clausemill.plans.core import _LINES, _SPARSE
 from clausemill.plans.registry import query, table
 
 
@@ -187,21 +187,21 @@ def config_parity(spark: SparkSession, sf: str) -> DataFrame:
     return runs.config_parity(configs, pairs([("model", "m1"), ("corpus", "k")]), pairs([("prompt", "BUILDING")]), ["model", "corpus", "prompt", "provider"])
 
 
-_HYBRID = """v AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS u FROM embeddings), q AS (SELECT vec_id AS query_id, u AS w FROM v WHERE vec_id < 10),
-    d0 AS (SELECT query_id, vec_id AS unit_id, round(list_dot_product(u, w), 6) AS score FROM v, q), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM d0 QUALIFY rank <= 5),
-    s0 AS (SELECT query_id, unit_id, round(((unit_id * 7 + query_id * 13) % 101) / 10.0, 6) AS score FROM (SELECT vec_id AS unit_id FROM embeddings), (SELECT DISTINCT query_id FROM q)), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s0 QUALIFY rank <= 5),
-    f AS (SELECT query_id, unit_id, round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 9) AS score, coalesce(s.score, 0) AS sparse_score, coalesce(d.score, 0) AS dense_score FROM s FULL JOIN d USING (query_id, unit_id)),
+_HYBRID = f"""{_SPARSE}, v AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS u FROM embeddings), dq AS (SELECT vec_id AS query_id, u AS w FROM v WHERE vec_id IN (SELECT item_id FROM benchmark)),
+    d0 AS (SELECT query_id, vec_id AS unit_id, round(list_dot_product(u, w), 6) AS score FROM v, dq), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM d0 QUALIFY rank <= 5),
+    f AS (SELECT query_id, unit_id, round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 9) AS score, coalesce(s.score, 0) AS sparse_score, coalesce(d.score, 0) AS dense_score FROM sparse s FULL JOIN d USING (query_id, unit_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sha256(unit_id::VARCHAR)) AS rank FROM f)"""
 
 
-@query("retrieval_hybrid_search", f"WITH {_HYBRID} SELECT query_id, rank, unit_id, score, sparse_score, dense_score, label FROM r JOIN embeddings ON vec_id = unit_id WHERE rank <= 5")
+@query("retrieval_hybrid_search", f"WITH {_HYBRID} SELECT query_id, rank, unit_id, r.score, sparse_score, dense_score, lang FROM r JOIN documents ON doc_id = unit_id WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
-    units = retrieval.unit_vectors(vectors, 64)
-    queries = units.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "unit")
-    ids = queries.select("query_id").crossJoin(vectors.select(F.col("vec_id").alias("unit_id")))
-    sparse = retrieval.top(ids.withColumn("score", F.round(((F.col("unit_id") * 7 + F.col("query_id") * 13) % 101) / 10.0, 6)), 5)
-    return retrieval.hybrid_search(sparse, retrieval.dense_topk(units, queries, 5), vectors.select(F.col("vec_id").alias("unit_id"), "label"), 5)
+    """Benchmark texts against documents: BM25 of the texts, and the vectors of the same numbers."""
+    docs, asks = table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    texts = docs.select(F.col("doc_id").alias("unit_id"), "text")
+    sparse = retrieval.pruned_topk(retrieval.build_index(texts), retrieval.query_terms(asks), 5, texts.agg(F.count(F.lit(1)).alias("n")))
+    units = retrieval.unit_vectors(table(spark, sf, "embeddings"), 64)
+    queries = units.join(asks.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "unit")
+    return retrieval.hybrid_search(sparse, retrieval.dense_topk(units, queries, 5), docs.select(F.col("doc_id").alias("unit_id"), "lang"), 5)
 
 
 @query("retrieval_bad_vectors", "SELECT CASE WHEN vec_id % 6 = 0 THEN 'missing' WHEN vec_id % 6 = 1 THEN 'wrong_width' ELSE 'zero_length' END AS rule, vec_id::VARCHAR AS key FROM embeddings WHERE vec_id % 6 < 3")
