@@ -40,6 +40,8 @@ OUTSIDE, CONTENT, BOILERPLATE = LABELS = (0, 1, 2)
 #: Tags that are told apart (the last stands for all others) and those that a page without marks would write as div.
 _TAGS = {t: i for i, t in enumerate("div article main nav header footer aside form section p h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure body head button menu dl dt dd".split())}
 _MARKS = set("article main nav header footer aside form section button menu".split())
+#: Tags that an article may give its text, whatever the pages at hand do.
+_TEXT_TAGS = [_TAGS[t] for t in "p li h2 td blockquote pre h3 dd th div dt h4 figure ul table section".split()]
 #: Names of classes, ids and roles fall into so many buckets.
 NAMES = 512
 
@@ -157,6 +159,16 @@ class Page:
             axis=1,
         )
 
+    def rendered(self, labels: list[int], turn: int = 0) -> np.ndarray:
+        """Features as the page would have them without marks, with the article's text put into one tag after the other,
+        short and long, with and without ends of sentences: one template's tags are not all that articles have."""
+        x = self.features(marks=False)
+        at = np.flatnonzero((np.array(labels) == CONTENT) & (np.array(self.chars) > 0))
+        nth = np.arange(len(at)) + turn
+        x[at, 0] = np.array(_TEXT_TAGS)[nth % len(_TEXT_TAGS)]
+        x[at, 2], x[at, 4] = 1 + nth % 4, nth % 3
+        return x
+
     def seeds(self) -> list[int] | None:
         """Labels where the page marks its article: CONTENT inside it, BOILERPLATE in menus, forms and the like and all
         they hold, OUTSIDE elsewhere; None for a page that marks no article."""
@@ -191,33 +203,43 @@ def described(name: str, attributes: str) -> tuple[int, tuple[int, ...], bool]:
 _FEATURES = (("tag", len(_TAGS) + 1), ("list", 3), ("length", 5), ("link", 3), ("stop", 3), ("depth", 8), ("children", 4))
 #: Counts held before any page is seen: some label follows its parent's, and names on the word lists say what they mean.
 _PRIOR = {("edge", up, up): 4.0 for up in LABELS} | {("list", BOILERPLATE, NEGATIVE): 8.0, ("list", CONTENT, POSITIVE): 8.0}
+#: The same by what the lists say of the child, on pages that mark their article.
+_PRIOR |= {(f"edge{NEUTRAL}", up, up): 8.0 for up in LABELS} | {(f"edge{NEGATIVE}", up, BOILERPLATE): 8.0 for up in LABELS}
+_PRIOR |= {(f"edge{POSITIVE}", OUTSIDE, CONTENT): 8.0, (f"edge{POSITIVE}", CONTENT, CONTENT): 8.0, (f"edge{POSITIVE}", BOILERPLATE, BOILERPLATE): 8.0}
 _ROOT = [0.98, 0.01, 0.01]
 
 
 def tally(pages: Iterator[Page]) -> Counter:
     """Counts of features and names by label, and of labels by the parent's label, over pages that mark their article.
 
-    Every page counts twice, as it is and without marks, so that text, links, depth and the order of things say where
-    the article is when tags and names do not.
+    Every page counts three times: as it is; without marks, so that text, links, depth and the order of things say where
+    the article is when tags and names do not; and with its article rendered in other tags. Labels by the parent's are also
+    counted by what the word lists say of the child.
     """
     out: Counter[tuple] = Counter()
     for page in pages:
         y = page.seeds()
         if y is None:
             continue
-        for x in (page.features(), page.features(marks=False)):
+        for x in (page.features(), page.features(marks=False), page.rendered(y, len(page.blocks))):
             for f, (name, _) in enumerate(_FEATURES):
                 for (a, b), n in Counter(zip(y, x[:, f].tolist())).items():
                     out[name, a, b] += n
         for i in range(1, len(y)):
             out["edge", y[page.parent[i]], y[i]] += 2
+            out[f"edge{page.kind[i]}", y[page.parent[i]], y[i]] += 1
             for b in page.names[i]:
                 out["name", y[i], b] += 1
     return out
 
 
 class TreeModel:
-    """Potentials of nodes given their label, and of a node's label given its parent's, from counts."""
+    """Potentials of nodes given their label, and of a node's label given its parent's, from counts.
+
+    On a page that marks its article the latter also depend on what the word lists say of the node: there labels hardly
+    ever change without a mark, so what lies in an article is its text, whatever its tag, unless a mark says otherwise.
+    Nodes of a page are no independent witnesses (a list has many items), so there each counts as its share of the page.
+    """
 
     def __init__(self, counts: dict[tuple[str, int, int], float]):
         got = lambda name, a, b, more: counts.get((name, a, b), 0) + _PRIOR.get((name, a, b), 0) + more
@@ -225,6 +247,7 @@ class TreeModel:
         self.node = [np.log(table(name, size, 1.0)) for name, size in _FEATURES]
         self.name = np.log(table("name", NAMES, 0.1))
         self.edge = table("edge", 3, 0.05).tolist()
+        self.by_kind = [table(f"edge{kind}", 3, 1e-6).tolist() for kind in (NEGATIVE, NEUTRAL, POSITIVE)]
 
     def local(self, page: Page, marks: bool = True) -> np.ndarray:
         x = page.features(marks)
@@ -238,12 +261,15 @@ class TreeModel:
     def marginals(self, page: Page, marks: bool = True) -> list[float]:
         """P(CONTENT) of each node: messages go up from the leaves, then down from the root."""
         local = self.local(page, marks)
+        if marks and POSITIVE in page.kind:
+            local /= len(page.parent)
         local = np.exp(np.maximum(local - local.max(axis=1, keepdims=True), -60)).tolist()
-        n, parent, e = len(local), page.parent, self.edge
+        n, parent = len(page.parent), page.parent
+        edges = [self.by_kind[kind] for kind in page.kind] if marks and POSITIVE in page.kind else [self.edge] * n
         up = [list(v) for v in local]
         message: list[list[float]] = [[1.0, 1.0, 1.0]] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
-            u, at = up[i], up[parent[i]]
+            u, at, e = up[i], up[parent[i]], edges[i]
             m = [r[0] * u[0] + r[1] * u[1] + r[2] * u[2] for r in e]
             s = m[0] + m[1] + m[2]
             message[i] = m = [v / s for v in m]
@@ -254,7 +280,7 @@ class TreeModel:
         out = []
         for i in range(n):
             if i:
-                p, m = parent[i], message[i]
+                p, m, e = parent[i], message[i], edges[i]
                 d = [down[p][j] * up[p][j] / m[j] for j in LABELS]
                 s = d[0] + d[1] + d[2]
                 down[i] = [(d[0] * e[0][j] + d[1] * e[1][j] + d[2] * e[2][j]) / s for j in LABELS]
