@@ -18,9 +18,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The shared folder named in spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; any other
+    is an error, as its machines would not see each other's files."""
     if at := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))

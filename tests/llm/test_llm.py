@@ -333,6 +333,25 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(make(spark, texts), labels.limit(0)).collect()} == {0.25}
 
 
+def test_even_is_chosen_by_folds_of_the_training_rows():
+    """Rare labels: weighing them alike finds more of them; the choice equals a plain count over folds."""
+    rng = random.Random(2)
+    vocabulary = [b"bad", b"soso", b"soso*", *(b"w%d" % i for i in range(30))]
+    y = np.array([float(i % 10 == 0) for i in range(300)])
+    bags = [sorted({*([0] if v and rng.random() < 0.6 else []), *([1, 2] if rng.random() < 0.3 else []), *(rng.randrange(3, 33) for _ in range(5))}) for v in y]
+    choices, f1 = (0.0, 0.5, 1.0), []
+    for even in choices:
+        hit = false = 0
+        for fold in range(3):
+            own = [i for i in range(300) if i % 3 != fold]
+            model = toxicity.train(vocabulary, [bags[i] for i in own], y[own], Counter(), 20.0, steps=120, even=even)
+            for i in range(fold, 300, 3):
+                z = model.bias + sum(model.stems[4][b"soso"] if vocabulary[b] == b"soso*" else model.weight[vocabulary[b]] for b in bags[i])
+                hit, false = hit + (z >= 0 and y[i] == 1), false + (z >= 0 and y[i] == 0)
+        f1.append(2 * hit / (hit + false + y.sum()))
+    assert toxicity.choose_even(vocabulary, bags, y, Counter(), 20.0, choices=choices) == choices[int(np.argmax(f1))]
+
+
 def test_toxicity_swaps_draw_terms_together():
     texts = [b"the women came"] * 30 + [b"men are here idiot"] * 30 + [b"nothing at all"] * 30
     loose, tight = (toxicity.fit(texts, [0] * 30 + [1] * 30 + [0] * 30, penalty=p) for p in (0.0, 200.0))
@@ -448,6 +467,25 @@ def test_html(spark):
     assert (got[3], got[4], got[5], got[6]) == ("", "", "cut off he", "Body.")
 
 
+_INSIDE = (
+    "<h1>Bread</h1><ul><li>Flour</li><li>Mix the flour</li></ul><h2>Steps</h2><table><tr><th>No</th><td>1</td></tr></table><pre>x = 1</pre><dl><dt>Salt</dt><dd>a pinch</dd></dl>"
+    "<figure><figcaption>A loaf</figcaption></figure><blockquote>Good.</blockquote><div><div><p>Deep <a href='/x'>link</a></p></div></div><h4>End</h4><section><ol><li>one</li></ol></section><details>more</details>"
+)
+_KEPT = ["Bread", "Flour", "Mix the flour", "Steps", "No", "1", "x = 1", "Salt", "a pinch", "A loaf", "Good.", "Deep link", "End", "one", "more"]
+
+
+@pytest.mark.parametrize("trained", [False, True])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class='wrapper main'>{}</div>", "<div id='post'>{}</div>"])
+def test_all_of_a_marked_article_is_kept(spark, trained, wrap):
+    if trained and not Path(SF).exists():
+        pytest.skip("needs sf0.1")
+    learned = (html_text.Page(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(400).collect()) if trained else iter(())
+    model = html_text.TreeModel(html_text.tally(learned))
+    around = "<header><h1>Site</h1></header><div class='main-nav'><ul><li><a href='/'>Home</a></li></ul></div>{}<div class='sidebar'><ul><li>Other</li></ul></div><footer>(c) us</footer>"
+    page = html_text.Page(around.format(wrap.format(_INSIDE + "<div class='comments'><p>A long comment of a reader, with sentences.</p></div><aside>ad</aside>")))
+    assert html_text.main_text(page, model).split("\n") == _KEPT
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs sf0.1")
 def test_tree_model_learns_where_articles_are(spark):
     """Every other page trains the model; the others are read as if all tags were div or p and nothing had a name."""
