@@ -13,6 +13,8 @@ def test_read_text(spark, tmp_path):
         "b.TXT": "Zażółć gęślą".encode("cp1250"),
         "blank.txt": b" \n\t ",
         "none.txt": b"",
+        "no ne+ż%20.txt": b"",
+        "full ne+ż%20.txt": b"x",
         "bad.txt": b"\x81\x83 abc",
         "big.txt": b"x" * 200,
         "scan.pdf": b"%PDF",
@@ -20,9 +22,11 @@ def test_read_text(spark, tmp_path):
     for name, body in held.items():
         (tmp_path / name).write_bytes(body)
     documents, violations = files.read_text(spark, str(tmp_path), max_bytes=100)
-    assert {r.path.rsplit("/", 1)[1]: r.text for r in documents.collect()} == {"a.txt": "Zażółć\n", "b.TXT": "Zażółć gęślą"}
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in documents.collect()} == {"a.txt": "Zażółć\n", "b.TXT": "Zażółć gęślą", "full ne+ż%20.txt": "x"}
     assert {r.key.rsplit("/", 1)[1]: r.rule for r in violations.collect()} == {
         "blank.txt": "empty_input",
+        "none.txt": "empty_input",
+        "no ne+ż%20.txt": "empty_input",
         "bad.txt": "corrupt_input",
         "big.txt": "limit_exceeded",
         "scan.pdf": "unsupported_input",
@@ -95,3 +99,33 @@ def test_functions_take_nulls(spark):
 def test_prominence_of_unknown_codes(spark):
     found = spark.createDataFrame([("consistent",), ("new_code",), (None,)], "code string")
     assert [r.prominence for r in worksheet.with_prominence(found.where(F.col("code").isNotNull())).collect()] == ["neutral", None]
+
+
+def test_a_batch_is_written_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "store")
+    run = lambda i, tokens: spark.createDataFrame([(i, "d", "off", "completed", None, "m", tokens, None)], files.RUN_TABLES["runs"])
+    tries = lambda *rows: spark.createDataFrame([(r, s, True, "m", 1, 1) for r, s in rows], files.RUN_TABLES["attempts"])
+    held = lambda: ([(r.run_id, r.tokens) for r in files.read_run_table(spark, at, "runs").collect()], [(r.run_id, r.seq) for r in files.read_run_table(spark, at, "attempts").collect()])
+    assert files.read_run_table(spark, at, "runs").count() == 0
+    files.write_run_tables({"runs": run("r1", 1), "attempts": tries(("r1", 1))}, at, batch="b1")
+
+    def broken(*_):
+        raise RuntimeError("lost between the tables")
+
+    monkeypatch.setattr(files, "staged", broken)  # after the tables, before the commit
+    for _ in range(2):
+        try:
+            files.write_run_tables({"runs": run("r2", 2), "attempts": tries(("r2", 1), ("r2", 2))}, at, batch="b2")
+        except RuntimeError:
+            pass
+    monkeypatch.undo()
+    assert held() == ([("r1", 1)], [("r1", 1)])
+    for _ in range(3):  # the first mends it, the others find it done
+        lost = files.write_run_tables({"runs": run("r2", 2), "attempts": tries(("r2", 1), ("r2", 2), ("zz", 1))}, at, batch="b2")
+        assert [tuple(r) for r in lost.collect()] == [("unknown_run_of_attempts", "zz")]
+    assert held() == ([("r1", 1), ("r2", 2)], [("r1", 1), ("r2", 1), ("r2", 2)])
+    files.write_run_tables({"runs": run("r1", 7), "attempts": tries(("r1", 5))}, at, batch="b3")  # the run anew
+    files.write_run_tables({"runs": run("r1", 7).limit(0), "attempts": tries(("r1", 6), ("r2", 3))}, at, batch="b4")  # more of both
+    assert held() == ([("r1", 7), ("r2", 2)], [("r1", 5), ("r1", 6), ("r2", 1), ("r2", 2), ("r2", 3)])
+    files.write_run_tables({"runs": run("r9", 9)}, at, mode="overwrite", batch="b5")
+    assert held() == ([("r9", 9)], [])
