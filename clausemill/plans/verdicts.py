@@ -103,15 +103,16 @@ def anchor_findings(spark: SparkSession, sf: str) -> DataFrame:
 _SELECTED = f"""s AS (SELECT DISTINCT {_KEY} AS finding_id, l_orderkey % 250 AS doc_id, l_linenumber AS unit_id, ['p' || l_partkey % 60, 'p' || l_suppkey % 7] AS locs FROM lineitem WHERE l_returnflag = 'R'), law AS (SELECT DISTINCT 'p' || p_partkey % 45 AS locator FROM part)"""
 
 
-@query("verdicts_ground", f"""WITH {_SELECTED} SELECT finding_id, 'unit' AS kind, s.unit_id::VARCHAR AS ref, left(text, 20) AS text, CASE WHEN text IS NULL THEN 'unknown_unit' END AS error FROM s LEFT JOIN documents d ON d.doc_id = s.doc_id AND s.unit_id < 5
-    UNION ALL SELECT finding_id, 'provision', r, CASE WHEN locator IS NOT NULL THEN 'text of ' || r END, CASE WHEN locator IS NULL THEN 'provision_missing' END FROM (SELECT DISTINCT finding_id, unnest(locs) AS r FROM s) LEFT JOIN law ON locator = r""")
+@query("verdicts_ground", f"""WITH {_SELECTED} SELECT finding_id, 'unit' AS kind, s.unit_id::VARCHAR AS ref, sha256(text) AS text_sha256, CASE WHEN text IS NULL THEN 'unknown_unit' END AS error FROM s LEFT JOIN documents d ON d.doc_id = s.doc_id AND s.unit_id < 5
+    UNION ALL SELECT finding_id, 'provision', r, CASE WHEN locator IS NOT NULL THEN sha256('text of ' || r) END, CASE WHEN locator IS NULL THEN 'provision_missing' END FROM (SELECT DISTINCT finding_id, unnest(locs) AS r FROM s) LEFT JOIN law ON locator = r""")
 def ground(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda c, n: F.concat(F.lit("p"), (F.col(c) % n).cast("string"))
     line = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
     selected = line.select(*_ids(), (F.col("l_orderkey") % 250).alias("doc_id"), F.col("l_linenumber").alias("unit_id"), F.array(name("l_partkey", 60), name("l_suppkey", 7)).alias("locators")).distinct().withColumnRenamed("key", "finding_id")
-    units = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("unit_id"), F.substring("text", 1, 20).alias("text"))
+    units = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("unit_id"), "text")
     law = table(spark, sf, "part").select(name("p_partkey", 45).alias("locator")).distinct().withColumn("text", F.concat(F.lit("text of "), F.col("locator")))
-    return verdicts.ground(selected, units, law)
+    got = verdicts.ground(selected, units, law)
+    return got.select("finding_id", "kind", "ref", F.sha2("text", 256).alias("text_sha256"), "error")
 
 
 _CONTROL = """r AS (SELECT user_id % 40 AS case_id, user_id % 40 <> 7 AS known, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'validated' END AS status, CASE WHEN user_id % 40 < 30 THEN 'same' ELSE event_type END AS answer, CASE WHEN user_id % 40 = 3 AND event_id % 50 = 0 THEN 'other' ELSE 'c1' END AS configuration,
