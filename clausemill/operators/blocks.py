@@ -20,6 +20,26 @@ def assemble_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, anchors.select("doc_id", "block_id", "start_offset", "end_offset")
 
 
+def nested_block_ids(elements: DataFrame) -> DataFrame:
+    """doc_id, block_id, pos, text of the paragraphs of elements(doc_id, pos, kind, cells, text), in the order of the page.
+
+    kind is paragraph or table; cells, an array of structs of table, row and col, tells the cells that an element lies in,
+    the outermost first, table counting the tables of its cell from 0. A paragraph of its own is p<n>, one in a cell
+    t<n>_r<row>_c<col> and _t<table>_r<row>_c<col> for each cell further in; n is the number of paragraphs anywhere and of
+    tables that lie in no cell before it, or before its outermost table. Blank paragraphs count; assemble_blocks skips them.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    inside = F.size(F.coalesce("cells", F.array().cast("array<struct<table:int,row:int,col:int>>"))) > 0
+    paragraph, top_table = F.col("kind") == "paragraph", (F.col("kind") == "table") & ~inside
+    before = F.coalesce(F.sum(F.when(paragraph | top_table, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = elements.withColumns({"n": before, "inside": inside})
+    table = F.last(F.when(top_table, F.col("n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda c: F.concat(F.lit("_r"), c["row"].cast("string"), F.lit("_c"), c["col"].cast("string"))
+    chain = F.array_join(F.transform("cells", lambda c, i: F.concat(F.when(i > 0, F.concat(F.lit("_t"), c["table"].cast("string"))).otherwise(""), part(c))), "")
+    name = F.when(F.col("inside"), F.concat(F.lit("t"), table.cast("string"), chain)).otherwise(F.concat(F.lit("p"), F.col("n").cast("string")))
+    return rows.withColumn("block_id", name).where(paragraph).select("doc_id", "block_id", "pos", "text")
+
+
 def blocks_view(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id, block_id, text: the slice of each anchor."""
     joined = anchors.join(documents.select("doc_id", "text"), "doc_id")

@@ -26,6 +26,21 @@ def blocks_view(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.blocks_view(*blocks.assemble_blocks(_blocks(spark, sf)))
 
 
+_NESTED = """e AS (SELECT conv_id AS doc_id, turn AS pos, turn % 5 AS k, text, CASE WHEN turn % 5 = 1 THEN 'table' ELSE 'paragraph' END AS kind FROM conversations),
+    n AS (SELECT *, (SELECT count(*) FROM e b WHERE b.doc_id = e.doc_id AND b.pos < e.pos) AS n, (SELECT max(pos) FROM e b WHERE b.doc_id = e.doc_id AND b.pos < e.pos AND b.kind = 'table') AS t FROM e),
+    i AS (SELECT n.*, o.n AS tn FROM n LEFT JOIN n o ON o.doc_id = n.doc_id AND o.pos = n.t)"""
+
+
+@query("blocks_nested_ids", f"""WITH {_NESTED} SELECT doc_id, pos, CASE k WHEN 2 THEN 't' || tn || '_r' || pos || '_c0' WHEN 3 THEN 't' || tn || '_r0_c1_t' || pos % 2 || '_r1_c' || pos WHEN 4 THEN 't' || tn || '_r0_c1_t0_r0_c0_t1_r2_c2' ELSE 'p' || n END AS block_id FROM i WHERE kind = 'paragraph'""")
+def nested_ids(spark: SparkSession, sf: str) -> DataFrame:
+    k, turn = F.col("turn") % 5, F.col("turn").cast("int")
+    at = lambda t, r, c: F.struct(t.alias("table"), r.alias("row"), c.alias("col"))
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    cells = F.when(k == 2, F.array(at(zero, turn, zero))).when(k == 3, F.array(at(zero, zero, one), at(turn % 2, one, turn))).when(k == 4, F.array(at(zero, zero, one), at(zero, zero, zero), at(one, two, two)))
+    elements = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(k == 1, "table").otherwise("paragraph").alias("kind"), cells.alias("cells"), "text")
+    return blocks.nested_block_ids(elements).select("doc_id", "pos", "block_id")
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     got = structure.pieces(table(spark, sf, "documents"), F.split("text", "(?<=\n)", -1)).where("piece <> ''")
     return got.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.col("piece").alias("text"))

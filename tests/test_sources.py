@@ -129,3 +129,13 @@ def test_a_batch_is_written_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert held() == ([("r1", 7), ("r2", 2)], [("r1", 5), ("r1", 6), ("r2", 1), ("r2", 2), ("r2", 3)])
     files.write_run_tables({"runs": run("r9", 9)}, at, mode="overwrite", batch="b5")
     assert held() == ([("r9", 9)], [])
+
+
+def test_paragraphs_of_nested_cells(spark):
+    cell = lambda *xs: [dict(zip(("table", "row", "col"), x, strict=True)) for x in xs]
+    rows = [(1, 1, "paragraph", None, "a"), (1, 2, "table", [], None), (1, 3, "paragraph", cell((0, 0, 0)), "b"), (1, 4, "paragraph", cell((0, 0, 0)), " "), (1, 5, "table", cell((0, 0, 1)), None), (1, 6, "paragraph", cell((0, 0, 1), (0, 2, 3)), "c"), (1, 7, "paragraph", [], "d"), (1, 8, "table", None, None), (1, 9, "paragraph", cell((0, 1, 1)), "e")]
+    elements = spark.createDataFrame(rows, "doc_id int, pos int, kind string, cells array<struct<table: int, row: int, col: int>>, text string")
+    named = blocks.nested_block_ids(elements)
+    assert [r.block_id for r in named.orderBy("pos").collect()] == ["p0", "t1_r0_c0", "t1_r0_c0", "t1_r0_c1_t0_r2_c3", "p5", "t6_r1_c1"]
+    documents, anchors = blocks.assemble_blocks(named)
+    assert documents.first().text == "a\nb\nc\nd\ne" and anchors.count() == 5
