@@ -55,3 +55,29 @@ def call_payloads(spark: SparkSession, sf: str) -> DataFrame:
 @query("structure_context_ids", f"WITH {_UNITS} SELECT doc_id, target_pos AS context_pos, min(pos) AS first_pos, count(*) AS n_edges FROM edges GROUP BY 1, 2")
 def context_ids(spark: SparkSession, sf: str) -> DataFrame:
     return references.context_ids(_edges(spark, sf))
+
+
+# Numbered lines of which each refers to something in one of seven ways: another law, a paragraph that may not be there, a point,
+# a passage of its own unit, one above, an annex and the whole document.
+_KINDS = r"""kl AS (SELECT doc_id, list_transform(l, lambda x, i: '§ ' || i || '. ' || x || CASE (doc_id + i) % 7 WHEN 0 THEN ' art. 9 ustawy' WHEN 1 THEN ' por. par. 0' || (i + 2) || ' ust. 2' WHEN 2 THEN ' pkt 1.0' || i WHEN 3 THEN ' ust. 7' WHEN 4 THEN ' Jak wskazano powyżej' WHEN 5 THEN ' załącznik nr 3' ELSE ' niniejszej umowy' END) AS l
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    ko AS (SELECT doc_id, i, len(l) AS n, (sum(length(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l[i]) - 1)::BIGINT AS off, length(array_to_string(l, chr(10))) AS size FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM kl)),
+    ks AS (SELECT doc_id FROM ko GROUP BY doc_id, n, size HAVING n >= 3 AND (size - max(off))::DOUBLE / size <= 0.5), ku AS (SELECT doc_id, i, n, (doc_id + i) % 7 AS k FROM ko JOIN ks USING (doc_id))"""
+
+
+@query("structure_reference_kinds", f"""WITH {_KINDS} SELECT doc_id, i - 1 AS pos, 1::BIGINT AS n, ['external_act', 'full_internal', 'full_internal', 'relative_internal', 'directional', 'annex', 'whole_document'][k + 1] AS kind,
+    CASE k WHEN 0 THEN 'art. 9 ustawy' WHEN 1 THEN 'par. 0' || (i + 2) || ' ust. 2' WHEN 2 THEN 'pkt 1.0' || i WHEN 3 THEN 'ust. 7' WHEN 4 THEN 'Jak wskazano powyżej' WHEN 5 THEN 'załącznik nr 3' ELSE 'niniejszej umowy' END AS raw,
+    CASE k WHEN 0 THEN 'external_act' WHEN 1 THEN CASE WHEN i + 2 <= n THEN 'resolved' ELSE 'target_does_not_exist' END WHEN 2 THEN 'target_does_not_exist' WHEN 3 THEN 'within_unit' WHEN 4 THEN 'ambiguous_directional' WHEN 5 THEN 'outside_input' ELSE 'whole_document' END AS status,
+    CASE WHEN k = 1 AND i + 2 <= n THEN i + 1 END AS target_pos FROM ku""")
+def reference_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    def line(doc, x, at):
+        i, k = (at + 1).cast("string"), (doc + at + 1) % 7
+        said = (
+            F.when(k == 0, " art. 9 ustawy").when(k == 1, F.concat(F.lit(" por. par. 0"), (at + 3).cast("string"), F.lit(" ust. 2"))).when(k == 2, F.concat(F.lit(" pkt 1.0"), i)).when(k == 3, " ust. 7")
+            .when(k == 4, " Jak wskazano powyżej").when(k == 5, " załącznik nr 3").otherwise(" niniejszej umowy")
+        )
+        return F.concat(F.lit("§ "), i, F.lit(". "), x, said)
+
+    docs = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda x, at: line(F.col("doc_id"), x, at)), "\n").alias("text"))
+    units = structure.structural_units(docs).withColumn("pos", F.col("pos").cast("long"))
+    return references.references(docs, units).select("doc_id", "pos", F.col("n").cast("long").alias("n"), "kind", "raw", "status", "target_pos")
