@@ -284,6 +284,26 @@ def resolve_finding(spark: SparkSession, sf: str) -> DataFrame:
     return decision.resolve_finding(_facts(spark, sf)).select("key", "code", "cause", "violation")
 
 
+_GAPS = """g AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 > 0 THEN true END AS relevant, CASE WHEN o_orderkey % 3 > 0 THEN 'in_force' END AS force, [NULL, 'present', 'odd', 'present'][o_custkey % 4 + 1] AS dep, [NULL, 'imperative', 'dispositive', 'semi_imperative', 'undetermined', 'odd'][o_custkey % 6 + 1] AS ch,
+    [NULL, 'odd', 'undetermined', 'with_permitted_direction'][o_orderkey % 4 + 1] AS dir, o_custkey % 5 > 0 AS permitted, o_orderkey % 2 = 0 AS sure FROM orders),
+    x AS (SELECT *, CASE WHEN relevant IS NULL THEN 'uncertain/relation_below_threshold' WHEN force IS NULL THEN '!force_missing' WHEN ch = 'undetermined' THEN 'uncertain/provision_character_undetermined' WHEN ch IS NULL THEN '!character_missing' WHEN ch = 'semi_imperative' AND NOT permitted THEN 'uncertain/permitted_direction_undetermined'
+        WHEN dep IS NULL THEN '!departure_missing' WHEN dep = 'odd' OR ch = 'odd' THEN '!unmapped' WHEN ch = 'imperative' THEN 'contradictory' WHEN ch = 'dispositive' THEN 'permissible_departure' WHEN dir IS NULL THEN '!direction_missing' WHEN dir = 'odd' THEN '!unmapped'
+        WHEN dir = 'undetermined' THEN 'uncertain/departure_direction_undetermined' ELSE 'permissible_departure' END AS x FROM g),
+    y AS (SELECT key, CASE WHEN x LIKE 'uncertain%' AND NOT sure THEN '!confidence_missing' ELSE x END AS x FROM x)"""
+
+
+@query("decision_violations", f"WITH {_GAPS} SELECT key, CASE WHEN x NOT LIKE '!%' THEN split_part(x, '/', 1) END AS code, CASE WHEN x NOT LIKE '!%' THEN nullif(split_part(x, '/', 2), '') END AS cause, CASE WHEN x LIKE '!%' THEN x[2:] END AS violation FROM y")
+def decision_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts with gaps and with values that the table does not have."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    facts = table(spark, sf, "orders").select(
+        k.alias("key"), F.lit(True).alias("processed"), F.lit(True).alias("adjudicable"), F.lit(1).alias("candidates_cleared"), F.when(k % 5 > 0, True).alias("relevant"), F.when(k % 3 > 0, "in_force").alias("force"), pick(c, None, "imperative", "dispositive", "semi_imperative", "undetermined", "odd").alias("character"),
+        pick(c, None, "present", "odd", "present").alias("departure"), F.when(c % 5 > 0, "known").alias("permitted"), pick(k, None, "odd", "undetermined", "with_permitted_direction").alias("direction"), F.when(k % 2 == 0, 0.5).alias("raw_confidence"),
+    )
+    return decision.resolve_finding(facts).select("key", "code", "cause", "violation")
+
+
 @query("decision_number_entries", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, 'e' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry_id FROM conversations")
 def number_entries(spark: SparkSession, sf: str) -> DataFrame:
     got = decision.number_entries(table(spark, sf, "conversations"), ["conv_id"], "turn")
