@@ -22,7 +22,7 @@ def scratch(spark: SparkSession) -> str:
     is an error, as its machines would not see each other's files."""
     if at := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return at
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
