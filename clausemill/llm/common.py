@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,26 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def boxed(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that keeps the columns of its docs, given doc_id, text, lang and source as they are and all others in one column.
+
+    So no other name can clash with those the stage makes inside, whatever it is (_row, a dotted one, one with backticks);
+    columns come back under their names and in their order. Names that differ in case alone are one name to Spark.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args: object, **named: object) -> DataFrame:
+        own = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source")]
+        others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in own}
+        if not others:
+            return stage(docs, *args, **named)
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = stage(docs.select(*own, F.struct(*[quoted(c).alias(x) for c, x in others.items()]).alias("boxed")), *args, **named)
+        return out.select(*[F.col("boxed")[others[c]].alias(c) if c in others else F.col(c) for c in docs.columns])
+
+    return run
+
+
 def texts(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import ascii_lower, id_text
+from clausemill.llm.common import ascii_lower, boxed, id_text
 
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", fold_case: bool = True) -> DataFrame:
@@ -33,6 +33,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", fold_case: bool = True
     )
 
 
+@boxed
 def drop_exact(docs: DataFrame, keep: str = "smallest", fold_case: bool = True) -> DataFrame:
     """docs with exactly one row of each class of equal texts, the one that exact_groups keeps; all columns stay.
 

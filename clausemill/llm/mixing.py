@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WORD, materialise, tasks
+from clausemill.llm.common import WORD, boxed, materialise, tasks
 
 #: Draws of sources are points of a circle of so many.
 CIRCLE = 1 << 31
@@ -140,6 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3,
     return every.join(goal.select("name", "source_size", "target"), "name").select(*keys, "doc_id", "size", "source_size", "target", "taken")
 
 
+@boxed
 def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seed: str = "mix") -> DataFrame:
     """docs with each row as often as the mix takes it; all columns stay.
 

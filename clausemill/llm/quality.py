@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import materialise, small, texts
+from clausemill.llm.common import boxed, materialise, small, texts
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_top_word")
@@ -174,6 +174,7 @@ def kept() -> Column:
     return ~base_failed() & ~F.coalesce(score() > F.col("cutoff"), F.lit(False))
 
 
+@boxed
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """docs without the rows that are rejected; all columns stay.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WordHash, id_text, materialise, runs, small, tasks, texts
+from clausemill.llm.common import WordHash, boxed, id_text, materialise, runs, small, tasks, texts
 from clausemill.llm.graph import components
 
 BITS = 64
@@ -314,6 +314,7 @@ def verified_links(rows: DataFrame, words: int, least: float) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+@boxed
 def drop_near(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates; all columns stay.
 

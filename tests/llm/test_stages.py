@@ -138,3 +138,18 @@ def test_mixing_stage_counts_each_row(spark):
             high[at] += -(-r["taken"] // r["size"])
     assert not [(r[0], low[r], got[r], high[r]) for r in n if not low[r] <= got[r] <= high[r]]
     assert any(got[r] for r in n if r["doc_id"] is None)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside, dotted ones and ones with backticks come back with their values."""
+    odd = ["_row", "_size", "_set", "_order", "_copy", "_h", "boxed", "c0", "a.b", "x`y", "rep", "component", "name", "index", "taken", "size"]
+    words = [" ".join(f"w{i}_{j}" for j in range(60)) for i in range(30)]
+    rows = [(i, words[i % 30], "en", "s", *(f"{c}{i}" for c in odd)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in odd))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    near, exact, mixed, good = simhash.drop_near(docs), exact_dedup.drop_exact(docs), mixing.repeat(docs), quality.keep_good(docs, labels)
+    for got, ids in ((near, set(range(30))), (exact, set(range(30))), (mixed, None), (good, set(range(40)))):
+        assert got.columns == docs.columns
+        held = got.collect()
+        assert held and all(tuple(r) == rows[r["doc_id"]] for r in held)
+        assert ids is None or {r["doc_id"] for r in held} == ids
