@@ -12,9 +12,17 @@ from clausemill.plans.registry import query, table
 # References of every kind, with and without stops, and raised digits, put before each paragraph; and what they stand for.
 _GIVEN = "Art. 5<sup>12</sup>. &sect;&nbsp;5&#8211;&#x17C;&#128;&amp;lt;&copy 2&notit;&nosuch;&#xD800;&#11;&hearts; "
 _MEANT = "Art. 5¹². § 5–ż€&lt;© 2¬it;&nosuch;�♥ "
-_KNOWN = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"))
+# Names that the tables hold; where a title is cut short they stand without a stop.
+_KNOWN = (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&"))
+
+
+def _decoded(text: str) -> str:
+    """SQL of a text with the known references decoded, & last."""
+    return "regexp_replace(" * len(_KNOWN) + text + "".join(f", '{a}', '{b}', 'g')" for a, b in _KNOWN)
+
+
 _HTML = f"""h AS (SELECT page_id, '<p>' || html AS html FROM pages), m AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t, len(string_split(html, '<p>')) - 1 AS n, regexp_replace(replace(html, '<p>', '<p>' || chr(1)), '<[^>]+>', ' ', 'g') AS marked FROM h),
-    d AS (SELECT page_id, {"replace(" * len(_KNOWN)}marked{"".join(f", '{a}', '{b}')" for a, b in _KNOWN)} AS t FROM m), e AS (SELECT page_id, replace(replace(t, '&amp;', '&'), chr(1), '{_MEANT}') AS t FROM d)"""
+    d AS (SELECT page_id, {_decoded("marked")} AS t FROM m), e AS (SELECT page_id, replace(t, chr(1), '{_MEANT}') AS t FROM d)"""
 
 
 @query("acts_html_text", f"WITH {_HTML} SELECT page_id, sha256(trim(regexp_replace(t, '[\\s\\x{{a0}}]+', ' ', 'g'))) AS text_sha256 FROM e")
@@ -23,8 +31,8 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.sha2(markup.markup_text(html), 256).alias("text_sha256"))
 
 
-@query("acts_article_identifiers", r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
-    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Art. ' || page_id || '¹' WHEN 1 THEN 'art. ' || page_id || 'a' WHEN 2 THEN trim('Rozdział ' || page_id || ' ' || regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) ELSE 'ART. ' || page_id END AS article FROM t""")
+@query("acts_article_identifiers", rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Art. ' || page_id || '¹' WHEN 1 THEN 'art. ' || page_id || 'a' WHEN 2 THEN trim('Rozdział ' || page_id || ' ' || regexp_replace({_decoded("title")}, '\s+', ' ', 'g')) ELSE 'ART. ' || page_id END AS article FROM t""")
 def article_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     k, title = F.col("page_id").cast("string"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     kind = F.col("page_id") % 4
