@@ -12,6 +12,36 @@ from clausemill.plans.registry import query, table
 _UNITS = f"""{_DERIVED}, u AS (SELECT doc_id, i, i - 1 AS pos, off, coalesce(lead(off) OVER (PARTITION BY doc_id ORDER BY i), n) AS e FROM dl JOIN st USING (doc_id, n) WHERE n_markers >= 3 AND tail <= 0.5),
     edges AS (SELECT doc_id, pos, pos - 1 AS target_pos FROM u WHERE i % 3 = 0)"""
 
+# The rules of references in RE2, whose own classes are ASCII; a word's edge is one of ASCII letters. Kind, pattern, its target.
+_S, _D, _W = r"[\s\v\x{85}\p{Z}]", r"\p{Nd}", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_RULES = (
+    ("external_act", rf"\bart\.{_S}*{_D}+[^.;\n]{{0,120}}?(?:kodeks(?:u)?|ustaw(?:y|ie)?)\b", 0),
+    ("full_internal", rf"(?:\b(?:zgodnie{_S}+z|mowa{_S}+w|o{_S}+którym{_S}+mowa{_S}+w){_S}+)?(?:§|par\.){_S}*({_D}+)(?:{_S}+ust\.{_S}*{_D}+)?", 1),
+    ("full_internal", rf"\bpkt\.?{_S}*({_D}+(?:\.{_D}+)+)\b", 1),
+    ("relative_internal", rf"\bust\.{_S}*{_D}+\b", 0),
+    ("directional", rf"\b(?:jak{_S}+wskazano{_S}+)?(?:powyżej|poniżej|wyżej|niżej)\b", 0),
+    ("annex", rf"\bzałącznik{_S}+nr{_S}*{_D}+\b", 0),
+    ("whole_document", rf"\bniniejsz{_W}*{_S}+umow{_W}*\b", 0),
+)
+# References in all of ut(doc_id, pos, text), whatever put them there: spans of each rule, the unit's own number left out, those that
+# meet an earlier rule's span dropped. A unit begins with its number, which is its place, so only whole numbers have a target.
+FOUND = ", ".join(
+    [
+        "fm AS (" + " UNION ALL ".join(f"""SELECT doc_id, pos, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(text, '(?i){p}') AS raws, string_split_regex(text, '(?i){p}') AS gaps,
+        {f"regexp_extract_all(text, '(?i){p}', 1)" if target else "NULL::VARCHAR[]"} AS targets, length(regexp_extract(text, '(?i)^{_S}*(?:§|par[.]){_S}*{_D}+')) AS opening FROM ut WHERE regexp_matches(text, '(?i){p}')""" for rank, (kind, p, target) in enumerate(_RULES)) + ")",
+        "fp AS (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM fm)",
+        f"""fs AS MATERIALIZED (SELECT doc_id, pos, rank, kind, i, raws[i] AS raw, targets[i] AS target, opening, kind = 'relative_internal' AND regexp_matches(gaps[i], '(?i)(?:§|par[.]){_S}*{_D}+{_S}*$') AS led,
+        list_sum(list_transform(gaps[:i], lambda x: length(x))) + list_sum(list_transform(raws[:i], lambda x: length(x))) AS e, e - length(raws[i]) AS s FROM fp)""",
+        "fk0 AS MATERIALIZED (SELECT * FROM fs WHERE rank = 0 AND NOT (s = 0 AND e <= opening))",
+        *[f"fk{r} AS MATERIALIZED (SELECT * FROM fk{r - 1} UNION ALL SELECT * FROM fs WHERE rank = {r} AND NOT (s = 0 AND e <= opening) AND NOT EXISTS (SELECT 1 FROM fk{r - 1} k WHERE k.doc_id = fs.doc_id AND k.pos = fs.pos AND k.s < fs.e AND k.e > fs.s))" for r in range(1, len(_RULES))],
+        f"fn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY rank, i) AS n FROM fk{len(_RULES) - 1} WHERE NOT led)",
+        """refs AS MATERIALIZED (SELECT fn.doc_id, fn.pos, n, kind, raw, CASE kind WHEN 'full_internal' THEN CASE WHEN t.pos IS NULL THEN 'target_does_not_exist' ELSE 'resolved' END WHEN 'external_act' THEN 'external_act' WHEN 'directional' THEN 'ambiguous_directional'
+        WHEN 'annex' THEN 'outside_input' WHEN 'whole_document' THEN 'whole_document' ELSE 'within_unit' END AS status, t.pos AS target_pos FROM fn LEFT JOIN (SELECT doc_id, pos, (pos + 1)::VARCHAR AS number FROM ut) t ON t.doc_id = fn.doc_id AND t.number = ltrim(fn.target, '0'))""",
+        "context_edges AS (SELECT doc_id, pos, target_pos, min(n) AS n FROM refs WHERE status = 'resolved' AND target_pos <> pos GROUP BY 1, 2, 3)",
+    ]
+)
+FOUND_UNITS = f"{_UNITS}, ut AS (SELECT doc_id, pos, substr(text, off + 1, e - off) AS text FROM u JOIN derived USING (doc_id)), {FOUND}"
+
 
 def _input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = structure.derived_clauses(table(spark, sf, "documents"))
@@ -22,14 +52,12 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return references.context_edges(references.references(*_input(spark, sf)))
 
 
-@query("structure_references", f"""WITH {_UNITS}, r AS (SELECT doc_id, pos, i, 'full_internal' AS kind, 'resolved' AS status, pos - 1 AS target_pos, 'zgodnie z § ' || (i - 1) AS raw FROM u WHERE i % 3 = 0
-    UNION ALL SELECT doc_id, pos, i, 'annex', 'outside_input', NULL, 'załącznik nr ' || i FROM u WHERE i % 5 = 0)
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY kind DESC) AS n, kind, raw, status, target_pos FROM r""")
+@query("structure_references", f"WITH {FOUND_UNITS} SELECT * FROM refs")
 def all_references(spark: SparkSession, sf: str) -> DataFrame:
     return references.references(*_input(spark, sf)).withColumn("n", F.col("n").cast("long"))
 
 
-@query("structure_context_edges", f"WITH {_UNITS} SELECT doc_id, pos, target_pos, 1::BIGINT AS n FROM edges")
+@query("structure_context_edges", f"WITH {FOUND_UNITS} SELECT * FROM context_edges")
 def context_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).withColumn("n", F.col("n").cast("long"))
 
@@ -62,13 +90,10 @@ def context_ids(spark: SparkSession, sf: str) -> DataFrame:
 _KINDS = r"""kl AS (SELECT doc_id, list_transform(l, lambda x, i: '§ ' || i || '. ' || x || CASE (doc_id + i) % 7 WHEN 0 THEN ' art. 9 ustawy' WHEN 1 THEN ' por. par. 0' || (i + 2) || ' ust. 2' WHEN 2 THEN ' pkt 1.0' || i WHEN 3 THEN ' ust. 7' WHEN 4 THEN ' Jak wskazano powyżej' WHEN 5 THEN ' załącznik nr 3' ELSE ' niniejszej umowy' END) AS l
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
     ko AS (SELECT doc_id, i, len(l) AS n, (sum(length(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l[i]) - 1)::BIGINT AS off, length(array_to_string(l, chr(10))) AS size FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM kl)),
-    ks AS (SELECT doc_id FROM ko GROUP BY doc_id, n, size HAVING n >= 3 AND (size - max(off))::DOUBLE / size <= 0.5), ku AS (SELECT doc_id, i, n, (doc_id + i) % 7 AS k FROM ko JOIN ks USING (doc_id))"""
+    ks AS (SELECT doc_id FROM ko GROUP BY doc_id, n, size HAVING n >= 3 AND (size - max(off))::DOUBLE / size <= 0.5), ut AS (SELECT doc_id, i - 1 AS pos, l[i] || CASE WHEN i < n THEN chr(10) ELSE '' END AS text FROM ko JOIN ks USING (doc_id) JOIN kl USING (doc_id))"""
 
 
-@query("structure_reference_kinds", f"""WITH {_KINDS} SELECT doc_id, i - 1 AS pos, 1::BIGINT AS n, ['external_act', 'full_internal', 'full_internal', 'relative_internal', 'directional', 'annex', 'whole_document'][k + 1] AS kind,
-    CASE k WHEN 0 THEN 'art. 9 ustawy' WHEN 1 THEN 'par. 0' || (i + 2) || ' ust. 2' WHEN 2 THEN 'pkt 1.0' || i WHEN 3 THEN 'ust. 7' WHEN 4 THEN 'Jak wskazano powyżej' WHEN 5 THEN 'załącznik nr 3' ELSE 'niniejszej umowy' END AS raw,
-    CASE k WHEN 0 THEN 'external_act' WHEN 1 THEN CASE WHEN i + 2 <= n THEN 'resolved' ELSE 'target_does_not_exist' END WHEN 2 THEN 'target_does_not_exist' WHEN 3 THEN 'within_unit' WHEN 4 THEN 'ambiguous_directional' WHEN 5 THEN 'outside_input' ELSE 'whole_document' END AS status,
-    CASE WHEN k = 1 AND i + 2 <= n THEN i + 1 END AS target_pos FROM ku""")
+@query("structure_reference_kinds", f"WITH {_KINDS}, {FOUND} SELECT * FROM refs")
 def reference_kinds(spark: SparkSession, sf: str) -> DataFrame:
     def line(doc, x, at):
         i, k = (at + 1).cast("string"), (doc + at + 1) % 7

@@ -24,3 +24,14 @@ def test_identifiers_with_references_cut_short(spark, tmp_path):
 
 def test_html_text_with_references_cut_short(spark, tmp_path):
     both(spark, tmp_path, "acts_html_text", pages=spark.createDataFrame(_PAGES, "page_id long, html string"))
+
+
+def test_references_of_the_texts_themselves(spark, tmp_path):
+    texts = [
+        "see par. 2 and Par.02 ust. 7\nx par. 77 zgodnie z § 3\nart. 5 of all ustawy\nust. 4 niżej\npar. 9 ust. 1 załącznik nr 6\npkt 1.2 niniejszej umowy par. 4",
+        "a\nb\nc", "par. 1\n\npar. 2\n\nend", "one line par. 3",
+    ]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {name: both(spark, tmp_path / name, name, documents=docs) for name in ("structure_references", "structure_reference_kinds", "structure_context_edges", "dataset_profile", "dataset_coverage")}
+    own = {r[4:6] for r in found["structure_references"] if "ar." in r[4]}
+    assert ("par. 2", "resolved") in own and ("Par.02 ust. 7", "resolved") in own
