@@ -55,3 +55,16 @@ def test_five_thousand_queries_without_a_cross_join(spark):
     plan = got._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "CoGroup" in plan
     assert got.where("query_id = unit_id or score = 1.0").count() == 5000
+
+
+def test_copies_of_vectors_do_not_grow_with_the_square():
+    assert [dense.blocks_of(n, 256, 24) for n in (100, 2560, 25_600, 256_000)] == [1, 10, 24, 24]
+    assert dense.blocks_of(100 * dense.VECTORS, 256, 24) == 100
+
+
+def test_cells_of_several_products(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERIES", 3)
+    rows = spark.range(40).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS unit")
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    got, want = (sorted(map(tuple, retrieval.dense_topk(rows, asked, 3, most=m).collect())) for m in (7, 4096))
+    assert got == want and len(got) == 120
