@@ -68,3 +68,12 @@ def test_cells_of_several_products(spark, monkeypatch):
     asked = rows.withColumnRenamed("vec_id", "query_id")
     got, want = (sorted(map(tuple, retrieval.dense_topk(rows, asked, 3, most=m).collect())) for m in (7, 4096))
     assert got == want and len(got) == 120
+
+
+def test_index_counts_terms_of_a_key_without_a_table_of_them(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "staged", lambda df: df)
+    units = spark.createDataFrame([(1, "b a b 7"), (1, "a c"), (2, ""), (3, None), (4, "z")], "unit_id long, text string")
+    index = retrieval.build_index(units)
+    rows = lambda df: sorted((r["unit_id"], r["term"], round(r["weight"], 12)) for r in df.collect())
+    assert rows(index) == rows(retrieval.postings(retrieval.corpus_terms(units)))
+    assert "HashAggregate(keys=[unit_id" not in index._jdf.queryExecution().executedPlan().toString().replace("ObjectHashAggregate", "")
