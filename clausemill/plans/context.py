@@ -23,6 +23,14 @@ _RULES = (
     ("annex", rf"\bzałącznik{_S}+nr{_S}*{_D}+\b", 0),
     ("whole_document", rf"\bniniejsz{_W}*{_S}+umow{_W}*\b", 0),
 )
+_CLAIMED = [
+    "fk0 AS MATERIALIZED (SELECT * FROM fs WHERE rank = 0 AND NOT (s = 0 AND e <= opening))",
+    *[f"fk{r} AS MATERIALIZED (SELECT * FROM fk{r - 1} UNION ALL SELECT * FROM fs WHERE rank = {r} AND NOT (s = 0 AND e <= opening) AND NOT EXISTS (SELECT 1 FROM fk{r - 1} k WHERE k.doc_id = fs.doc_id AND k.pos = fs.pos AND k.s < fs.e AND k.e > fs.s))" for r in range(1, len(_RULES))],
+    f"fn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY rank, i) AS n FROM fk{len(_RULES) - 1} WHERE NOT led)",
+    """refs AS MATERIALIZED (SELECT fn.doc_id, fn.pos, n, kind, raw, CASE kind WHEN 'full_internal' THEN CASE WHEN t.pos IS NULL THEN 'target_does_not_exist' ELSE 'resolved' END WHEN 'external_act' THEN 'external_act' WHEN 'directional' THEN 'ambiguous_directional'
+        WHEN 'annex' THEN 'outside_input' WHEN 'whole_document' THEN 'whole_document' ELSE 'within_unit' END AS status, t.pos AS target_pos FROM fn LEFT JOIN (SELECT doc_id, pos, (pos + 1)::VARCHAR AS number FROM ut) t ON t.doc_id = fn.doc_id AND t.number = ltrim(fn.target, '0'))""",
+    "context_edges AS (SELECT doc_id, pos, target_pos, min(n) AS n FROM refs WHERE status = 'resolved' AND target_pos <> pos GROUP BY 1, 2, 3)",
+]
 # References in all of ut(doc_id, pos, text), whatever put them there: spans of each rule, the unit's own number left out, those that
 # meet an earlier rule's span dropped. A unit begins with its number, which is its place, so only whole numbers have a target.
 FOUND = ", ".join(
@@ -32,16 +40,34 @@ FOUND = ", ".join(
         "fp AS (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM fm)",
         f"""fs AS MATERIALIZED (SELECT doc_id, pos, rank, kind, i, raws[i] AS raw, targets[i] AS target, opening, kind = 'relative_internal' AND regexp_matches(gaps[i], '(?i)(?:§|par[.]){_S}*{_D}+{_S}*$') AS led,
         list_sum(list_transform(gaps[:i], lambda x: length(x))) + list_sum(list_transform(raws[:i], lambda x: length(x))) AS e, e - length(raws[i]) AS s FROM fp)""",
-        "fk0 AS MATERIALIZED (SELECT * FROM fs WHERE rank = 0 AND NOT (s = 0 AND e <= opening))",
-        *[f"fk{r} AS MATERIALIZED (SELECT * FROM fk{r - 1} UNION ALL SELECT * FROM fs WHERE rank = {r} AND NOT (s = 0 AND e <= opening) AND NOT EXISTS (SELECT 1 FROM fk{r - 1} k WHERE k.doc_id = fs.doc_id AND k.pos = fs.pos AND k.s < fs.e AND k.e > fs.s))" for r in range(1, len(_RULES))],
-        f"fn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY rank, i) AS n FROM fk{len(_RULES) - 1} WHERE NOT led)",
-        """refs AS MATERIALIZED (SELECT fn.doc_id, fn.pos, n, kind, raw, CASE kind WHEN 'full_internal' THEN CASE WHEN t.pos IS NULL THEN 'target_does_not_exist' ELSE 'resolved' END WHEN 'external_act' THEN 'external_act' WHEN 'directional' THEN 'ambiguous_directional'
-        WHEN 'annex' THEN 'outside_input' WHEN 'whole_document' THEN 'whole_document' ELSE 'within_unit' END AS status, t.pos AS target_pos FROM fn LEFT JOIN (SELECT doc_id, pos, (pos + 1)::VARCHAR AS number FROM ut) t ON t.doc_id = fn.doc_id AND t.number = ltrim(fn.target, '0'))""",
-        "context_edges AS (SELECT doc_id, pos, target_pos, min(n) AS n FROM refs WHERE status = 'resolved' AND target_pos <> pos GROUP BY 1, 2, 3)",
+        *_CLAIMED,
     ]
 )
 FOUND_UNITS = f"{_UNITS}, ut AS (SELECT doc_id, pos, substr(text, off + 1, e - off) AS text FROM u JOIN derived USING (doc_id)), {FOUND}"
 
+# The same rules with Unicode's edges of words, which RE2 does not know. They are looked for in a shadow of the text that has a character
+# for each of its own: small ASCII letters and digits, capitals for the four letters past ASCII that rules name, _ for other characters of words, 0
+# for other digits, white space and .;§ as they are, ! for the rest. So chr(1) and chr(2) are free to mark what is found.
+_PAST = lambda c: rf"[^\x{{0}}-\x{{7f}}\P{{{c}}}]"
+_SHADOW = rf"""regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'ıſóżłą', 'isOZLA'), '{_PAST("Nd")}', '0', 'g'),
+        '{"|".join(map(_PAST, ("L", "M", "Nl", "Pc")))}|[\x{{200c}}\x{{200d}}\x{{24b6}}-\x{{24e9}}\x{{1f130}}-\x{{1f149}}\x{{1f150}}-\x{{1f169}}\x{{1f170}}-\x{{1f189}}]', '_', 'g'), '[^0-9A-Za-z_.;§\s\v\x{{85}}\p{{Z}}]', '!', 'g')"""
+_SHADOWED = [(kind, p.replace(_W, "[0-9A-Za-z_]").replace(_D, "[0-9]").replace("którym", "ktOrym").replace("yżej", "yZej").replace("niżej", "niZej").replace("załącznik", "zaLAcznik")) for kind, p, _ in _RULES]
+_TARGETS = {1: rf"(?i)(?:§|par[.]){_S}*({_D}+)", 2: rf"({_D}+(?:\.{_D}+)+)"}
+FOUND_IN_WORDS = ", ".join(
+    [
+        f"uw AS MATERIALIZED (SELECT doc_id, pos, text, {_SHADOW} AS shadow FROM ut)",
+        "fm AS (" + " UNION ALL ".join(f"""SELECT doc_id, pos, text, {rank} AS rank, '{kind}' AS kind, string_split(regexp_replace(shadow, '{p}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts,
+        length(regexp_extract(shadow, '^{_S}*(?:§|par[.]){_S}*[0-9]+')) AS opening FROM uw WHERE regexp_matches(shadow, '{p}')""" for rank, (kind, p) in enumerate(_SHADOWED)) + ")",
+        "fp AS (SELECT *, unnest(range(1, len(parts))) AS i FROM fm)",
+        "fq AS (SELECT *, string_split(parts[i], chr(2))[-1] AS gap, list_sum(list_transform(parts[:i], lambda x: length(x))) - i + 1 AS s, length(string_split(parts[i + 1], chr(2))[1]) AS size FROM fp)",
+        "fr AS (SELECT *, s + size AS e, substr(text, s::BIGINT + 1, size) AS raw FROM fq)",
+        f"""fs AS MATERIALIZED (SELECT doc_id, pos, rank, kind, i, raw, CASE rank {" ".join(f"WHEN {r} THEN regexp_extract(raw, '{p}', 1)" for r, p in _TARGETS.items())} END AS target, opening,
+        kind = 'relative_internal' AND regexp_matches(gap, '(?:§|par[.]){_S}*[0-9]+{_S}*$') AS led, e, s FROM fr)""",
+        *_CLAIMED,
+    ]
+)
+IN_WORDS_UNITS = f"{_UNITS}, ut AS (SELECT doc_id, pos, substr(text, off + 1, e - off) AS text FROM u JOIN derived USING (doc_id)), {FOUND_IN_WORDS}"
+
 
 def _input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = structure.derived_clauses(table(spark, sf, "documents"))
@@ -57,7 +83,7 @@ def all_references(spark: SparkSession, sf: str) -> DataFrame:
     return references.references(*_input(spark, sf)).withColumn("n", F.col("n").cast("long"))
 
 
-@query("structure_context_edges", f"WITH {FOUND_UNITS} SELECT * FROM context_edges")
+@query("structure_context_edges", f"WITH {IN_WORDS_UNITS} SELECT * FROM context_edges")
 def context_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).withColumn("n", F.col("n").cast("long"))
 
@@ -93,7 +119,7 @@ _KINDS = r"""kl AS (SELECT doc_id, list_transform(l, lambda x, i: '§ ' || i ||
     ks AS (SELECT doc_id FROM ko GROUP BY doc_id, n, size HAVING n >= 3 AND (size - max(off))::DOUBLE / size <= 0.5), ut AS (SELECT doc_id, i - 1 AS pos, l[i] || CASE WHEN i < n THEN chr(10) ELSE '' END AS text FROM ko JOIN ks USING (doc_id) JOIN kl USING (doc_id))"""
 
 
-@query("structure_reference_kinds", f"WITH {_KINDS}, {FOUND} SELECT * FROM refs")
+@query("structure_reference_kinds", f"WITH {_KINDS}, {FOUND_IN_WORDS} SELECT * FROM refs")
 def reference_kinds(spark: SparkSession, sf: str) -> DataFrame:
     def line(doc, x, at):
         i, k = (at + 1).cast("string"), (doc + at + 1) % 7

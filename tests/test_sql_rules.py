@@ -35,3 +35,13 @@ def test_references_of_the_texts_themselves(spark, tmp_path):
     found = {name: both(spark, tmp_path / name, name, documents=docs) for name in ("structure_references", "structure_reference_kinds", "structure_context_edges", "dataset_profile", "dataset_coverage")}
     own = {r[4:6] for r in found["structure_references"] if "ar." in r[4]}
     assert ("par. 2", "resolved") in own and ("Par.02 ust. 7", "resolved") in own
+
+
+def test_references_beside_letters_past_ascii(spark, tmp_path):
+    texts = [
+        "éust. 4 a\nust. 5é b\nópkt 1.3, pkt 2.2é\nżniżej ust. 7\x85par.\x0b03 zgodnie z § 2\nart. 5 kodeksué ustawy",
+        "par. ٣ a\x1cb\u2003c\nust.\u00a07ust. 8 par.2zgodnie z § 1\nUſT. 3 niżejé poniżej\n\x01par. 1\x02\nniniejszejé umowyé",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    found = {name: both(spark, tmp_path / name, name, documents=docs) for name in ("structure_reference_kinds", "structure_context_edges", "dataset_profile")}
+    assert not any("4 a" in r or "2.2" in str(r[4]) for r in found["structure_reference_kinds"])
