@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.sources.staging import staged
+from clausemill.sources.staging import dealt, staged
 
 #: The relation that names an act's base act, and the one that lists what changed it. Fixed values.
 CONSOLIDATION, AMENDING = "Tekst jednolity dla aktu", "Akty zmieniające"
@@ -188,11 +188,11 @@ def struct_articles(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
     without a name, go with all they hold, and an article comes whole, as JSON with sorted keys. pos are the places on the
     way down, so its order is the page's.
 
-    A body is parsed once. Levels are unfolded one by one, as deep as they go: each is written to the shared folder and
+    Acts are dealt by id and a body is parsed once. Levels are unfolded one by one, as deep as they go: each is written to the shared folder and
     holds only what is still to be unfolded, so none is computed again.
     """
     items = lambda c: F.try_variant_get(c, "$", "array<variant>")
-    parsed = staged(acts.select("act_id", F.try_parse_json("body").alias("body")))
+    parsed = staged(dealt(acts.select("act_id", "body"), "act_id").select("act_id", F.try_parse_json("body").alias("body")))
     bad = parsed.where(items("body").isNull()).select("act_id", F.lit("malformed_structure").alias("rule"), F.when(F.col("body").isNull(), "no JSON").otherwise("no list").alias("detail"))
     level = parsed.select("act_id", F.lit("").alias("path"), F.array().cast("array<int>").alias("pos"), "body")
     articles = []
@@ -216,17 +216,19 @@ def dedupe_struct(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row a path, at its first place: act_id, path, pos, node; and rule, key, detail of ambiguous paths.
 
     Equal nodes collapse, whatever the order of their keys, and one without children yields to one that differs in nothing
-    else; of such without children the first stays.
+    else; of such without children the first stays. Paths are dealt once; equal nodes become one before they are compared.
     """
     whole = F.try_parse_json("node")
     rows = articles.select("act_id", "path", "pos", F.to_json(whole).alias("node"), F.try_variant_get(whole, "$", "map<string,variant>").alias("fields"))
     below = F.to_json(F.col("fields")["children"])
     rows = rows.withColumns({"bare": F.to_json(F.map_filter("fields", lambda k, _: k != "children")), "stub": below.isNull() | below.isin("null", "[]", "{}", '""', "0", "false")})
-    per = rows.groupBy("act_id", "path").agg(
+    rows = rows.select("act_id", "path", "pos", "node", F.sha2("node", 256).alias("hash"), "stub", F.sha2("bare", 256).alias("bare")).repartition("act_id", "path")
+    unlike = rows.groupBy("act_id", "path", "hash").agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("node", "stub", "bare")])
+    per = unlike.groupBy("act_id", "path").agg(
         F.min("pos").alias("pos"),
         F.min_by("node", F.struct("stub", "pos")).alias("node"),
-        F.count_distinct(F.when(~F.col("stub"), F.sha2("node", 256))).alias("full"),
-        F.count_distinct(F.sha2("bare", 256)).alias("heads"),
+        F.count_if(~F.col("stub")).alias("full"),
+        F.count_distinct("bare").alias("heads"),
     )
     clear = (F.col("full") <= 1) & (F.col("heads") == 1)
     refused = per.where(~clear).select(F.lit("ambiguous_struct_path").alias("rule"), F.concat_ws(" ", "act_id", "path").alias("key"), F.greatest("full", "heads").cast("string").alias("detail"))

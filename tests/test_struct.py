@@ -52,3 +52,12 @@ def test_repeats_of_a_path(spark):
     got = {r["act_id"]: (r["pos"], json.loads(r["node"])) for r in kept.collect()}
     assert got == {1: ([0], full), 2: ([0], full), 3: ([0], full), 4: ([0], stub), 8: ([0], full), 9: ([0], bodies[9][0])}
     assert sorted((r["key"], r["detail"]) for r in refused.collect()) == [("5 arti=1", "2"), ("6 arti=1", "2"), ("7 arti=1", "2")]
+
+
+def test_acts_of_one_file_are_unfolded_by_many_tasks(spark, monkeypatch):
+    tasks, staged = [], acts.staged
+    monkeypatch.setattr(acts, "staged", lambda df: tasks.append(df.rdd.getNumPartitions()) or staged(df))
+    found, _ = acts.struct_articles(trees(spark, {i: [art(str(i))] for i in range(40)}).coalesce(1))
+    assert tasks[0] > 1 and found.count() == 40
+    kept, refused = acts.dedupe_struct(found)
+    assert all("Expand" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (kept, refused))  # rows are not copied to count two things
