@@ -209,6 +209,14 @@ def profile(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", n("chars"), n("words"), mode.alias("segmentation_mode"), F.coalesce("fallback", F.lit(False)).alias("pipeline_treats_as_fallback"), *map(n, ("unit_count", "reference_count", "resolved_reference_count", "on_context_edges")))
 
 
+def segmentation_modes(documents: DataFrame) -> DataFrame:
+    """doc_id, chars, segmentation_mode of documents(doc_id, text), as profile tells them; neither units nor references are made."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chosen = structure.choose_level(structure.level_stats(structure.markers(docs)))
+    rows = docs.select("doc_id", F.length("text").cast("long").alias("chars")).join(chosen, "doc_id", "left")
+    return rows.select("doc_id", "chars", F.when(F.col("level").isNotNull(), "structural").otherwise("window_fallback").alias("segmentation_mode"))
+
+
 def coverage(profiles: DataFrame, entries: DataFrame) -> DataFrame:
     """stratum (null: all), entries, shortest, longest, units, references, resolved, edges of profiles(doc_id, ..) of
     entries(doc_id, stratum)."""

@@ -42,3 +42,12 @@ def test_profile_of_blank_and_empty_texts(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in dataset.profile(docs).collect()}
     assert got == {1: (0, 0, "window_fallback", False, 0, 0, 0, 0), 2: (0, 0, "window_fallback", False, 0, 0, 0, 0), 3: (3, 0, "window_fallback", False, 0, 0, 0, 0), 4: (9, 2, "window_fallback", False, 1, 0, 0, 0)}
     assert dataset.profile(docs.where("false")).count() == 0
+
+
+def test_modes_alone_are_those_of_the_profile(spark, monkeypatch):
+    texts = ["", None, " \n\t", "One. Two.", "§ 1. a\n§ 2. b\n§ 3. c\n", "§ 1. a\n§ 2. b\n§ 3. " + "c" * 99, "Art. 1 a\nArt. 2 b\nArt. 9 c\nArt. 10 d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = sorted((r["doc_id"], r["chars"], r["segmentation_mode"]) for r in dataset.profile(docs).collect())
+    monkeypatch.delattr(dataset, "references")  # nothing but markers is asked for
+    assert sorted(tuple(r) for r in dataset.segmentation_modes(docs).collect()) == want
+    assert {m for _, _, m in want} == {"structural", "window_fallback"}
