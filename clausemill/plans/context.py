@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.operators import references, structure
 from clausemill.plans.core import _DERIVED
 from clausemill.plans.registry import query, table
+from clausemill.sources.staging import staged
 
 _UNITS = f"""{_DERIVED}, u AS (SELECT doc_id, i, i - 1 AS pos, off, coalesce(lead(off) OVER (PARTITION BY doc_id ORDER BY i), n) AS e FROM dl JOIN st USING (doc_id, n) WHERE n_markers >= 3 AND tail <= 0.5),
     edges AS (SELECT doc_id, pos, pos - 1 AS target_pos FROM u WHERE i % 3 = 0)"""
@@ -71,7 +72,7 @@ IN_WORDS_UNITS = f"{_UNITS}, ut AS (SELECT doc_id, pos, substr(text, off + 1, e
 
 def _input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = structure.derived_clauses(table(spark, sf, "documents"))
-    return docs, structure.structural_units(docs).withColumn("pos", F.col("pos").cast("long"))
+    return docs, staged(structure.structural_units(docs).withColumn("pos", F.col("pos").cast("long")))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 from clausemill.operators import references as R
+from clausemill.plans import context
 
 TEXTS = [
     "§ 1. Strony\n§ 2. Jak w § 1 ust. 3 oraz ust. 4 i pkt 2.1.",
@@ -63,3 +64,8 @@ def test_first_unit_of_a_number_is_the_target_and_overlapping_units_never_resolv
 def test_empty_tables(spark):
     units = spark.createDataFrame([], "doc_id long, pos long, text string")
     assert R.find(units).count() == 0
+
+
+def test_units_of_calls_are_made_once(spark):
+    units = context._input(spark, "/root/testdata/sf0.001")[1]
+    assert units.inputFiles() and all("staged-" in f for f in units.inputFiles())
