@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.sources.staging import staged
+
 #: Levels in order of preference: name, pattern at a line start, kind of path. Fixed values.
 LEVELS = (
     ("paragraph", r"(?iu)^(?:§|[S5$8])[\s\p{Z}]*(\d+)", "numeric"),
@@ -165,9 +167,11 @@ def window_units(spans: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame
 
 
 def segment(documents: DataFrame) -> DataFrame:
-    """doc_id, mode, pos, start_offset, end_offset: structural units where a level passes, else windows."""
+    """doc_id, mode, pos, start_offset, end_offset: structural units where a level passes, else windows.
+
+    Structural units are written to the shared folder, so they are made once."""
     held = documents.where(F.trim(F.regexp_replace("text", r"\s+", "")) != "")
-    structural = structural_units(held)
+    structural = staged(structural_units(held))
     rest = held.join(structural.select("doc_id").distinct(), "doc_id", "left_anti")
     return structural.withColumn("mode", F.lit("structural")).unionByName(window_units(sentences(rest)).withColumn("mode", F.lit("window")))
 

@@ -3,6 +3,7 @@
 import re
 
 from clausemill.operators import references as R
+from clausemill.operators import structure
 from clausemill.plans import context
 
 TEXTS = [
@@ -69,3 +70,11 @@ def test_empty_tables(spark):
 def test_units_of_calls_are_made_once(spark):
     units = context._input(spark, "/root/testdata/sf0.001")[1]
     assert units.inputFiles() and all("staged-" in f for f in units.inputFiles())
+
+
+def test_segment_makes_structural_units_once(spark, monkeypatch):
+    made, staged = [], structure.staged
+    monkeypatch.setattr(structure, "staged", lambda df: made.append(df.columns) or staged(df))
+    docs = spark.createDataFrame([(1, "§ 1. a\n§ 2. b\n§ 3. c\n"), (2, "One. Two."), (3, " ")], "doc_id long, text string")
+    assert sorted({(r["doc_id"], r["mode"]) for r in structure.segment(docs).collect()}) == [(1, "structural"), (2, "window")]
+    assert made == [["doc_id", "pos", "start_offset", "end_offset"]]
