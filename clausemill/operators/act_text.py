@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: Article headings at a line's start, numbers that may be one or two, and annex headings. Fixed values.
 HEADING = r"(?U)^[ \t]*Art\.\s*(\d+[a-z]*(?:\(\d+\)|\[\d+\]|\^\d+|[⁰¹²³⁴⁵⁶⁷⁸⁹]+|\d+)?)(?:\.|\s*$)"
@@ -16,8 +20,121 @@ OPENS, CLOSES = "„", "”"
 SMALL, FULL = 0.85, 0.9
 _DIGIT = r"^[\p{Nd}⁰¹²³⁴-⁹₀-₉]$"
 _BLANK = r"(?U)^[\s\x1c-\x1f]*$"
-#: The letters before an article's number, read backwards from its stop. Fixed values.
-_INTRODUCED = ((".",), ("t",), ("r",), ("A", "a"))
+
+
+# What a character is: a digit (0 apart), blank, a small letter, of which a, r and t may introduce an article, A or a stop;
+# _LONG is added where it is not one code point.
+_OTHER, _ONE, _ZERO, _SPACE, _LETTER, _SMALL_A, _R, _T, _LARGE_A, _STOP, _LONG = *range(10), 16
+
+
+def _kind(text: Column) -> Column:
+    letter = F.when(text == "a", _SMALL_A).when(text == "r", _R).when(text == "t", _T).otherwise(_LETTER)
+    kind = F.when(text.rlike("^[a-z]$"), letter).when(text.rlike(_DIGIT), F.when(text == "0", _ZERO).otherwise(_ONE)).when(text.rlike(_BLANK), _SPACE).when(text == "A", _LARGE_A).when(text == ".", _STOP).otherwise(_OTHER)
+    return (kind + F.when(F.length(text) == 1, 0).otherwise(_LONG)).cast("byte")
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Pages that are whole, with their first rows; rows of a page follow each other, and a page that is not ended waits."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        rows = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+        new = np.zeros(rows.num_rows, bool)
+        for key in rows.columns[:n_keys]:
+            here, there = key.slice(1), key.slice(0, rows.num_rows - 1)
+            unlike = pc.or_(pc.fill_null(pc.not_equal(here, there), False), pc.not_equal(pc.is_null(here), pc.is_null(there)))
+            new[1:] |= unlike.to_numpy()
+        first = np.flatnonzero(new[1:] if held else new)
+        if not first.size:
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch.slice(0, first[-1])])
+        if whole.num_rows:
+            yield whole, np.concatenate([[0], first[:-1] + (whole.num_rows - first[-1])]).astype(np.int64)
+        held = [batch.slice(first[-1])]
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+
+
+def _mark(kind: np.ndarray, tenths: np.ndarray, sized: np.ndarray, y0: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the groups of characters that become one, and whether each is a raised run; pages are the first rows of pages.
+
+    Rows that look back do so by row numbers, of which -1, a row of nothing at the end, stands for none.
+    """
+    n, at = len(kind), np.arange(len(kind))
+    page = np.repeat(np.arange(len(pages)), np.diff(np.append(pages, n)))
+    since = pages[page]
+    single, kind = kind < _LONG, kind % _LONG
+    none = lambda x, v=False: np.append(x, v)
+    last = lambda some: (lambda j: np.where(j >= since, j, -1))(np.maximum.accumulate(np.where(some, at, -1)))  # noqa: E731  up to a row
+    left = np.where(at > since, at - 1, -1)
+
+    # the page's size
+    counted = np.flatnonzero(sized)
+    body = np.full(len(pages), np.nan)
+    if counted.size:
+        sizes, code = np.unique(tenths[counted], return_inverse=True)
+        alike, first, often = np.unique(page[counted] * len(sizes) + code, return_index=True, return_counts=True)
+        of = alike // len(sizes)
+        best = np.lexsort((first, -often, of))
+        best = best[np.append(True, np.diff(of[best]) > 0)]
+        body[of[best]] = sizes[alike[best] % len(sizes)]
+    body = body[page]
+
+    digit, letter = (kind == _ONE) | (kind == _ZERO), (kind >= _LETTER) & (kind <= _T)
+    small = digit & (tenths < SMALL * body)
+
+    # what stands before a character, blanks left out
+    before = none(none(last(kind != _SPACE), -1)[left], -1)
+    is_ = lambda *some: none(np.isin(kind, some))
+    stop = is_(_STOP) & is_(_T)[before] & is_(_R)[before[before]] & is_(_LARGE_A, _SMALL_A)[before[before[before]]]
+
+    # whether a character ends an article's number: what its first digit comes after holds for all digits and letters that touch
+    after_digit, after_letter = none(digit)[left], none(letter)[left]
+    introduced = none(none(stop[before])[last(digit & ~after_digit)])
+    suffixed = none(after_digit & introduced[left])[last(letter & ~after_letter)]
+    numbers = none((digit & introduced[:-1]) | (letter & suffixed))
+
+    before = before[:-1]
+    held = none(digit)[before] | (none(single)[before] & numbers[left])
+    starts = small & held & (none(tenths, np.nan)[before] >= FULL * body) & (y0 > none(y0, np.nan)[before]) & (kind != _ZERO)
+
+    # runs: islands of small digits whose first one starts
+    head = last(~(small & none(small)[left]))
+    first = np.flatnonzero(~(small & starts[head]) | (head == at))
+    return first, np.logical_or.reduceat(starts, first)
+
+
+def _marked(chars: DataFrame, keys: tuple[str, ...], whole: bool) -> DataFrame:
+    """The rows of mark_superscripts, or the texts of superscript_texts, of chars that come page by page and in order."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(float("inf")))
+    text = F.coalesce("text", F.lit(""))
+    kept = [] if whole else ["seq", *[F.col(c).cast("double").alias(c) for c in ("size", "x0", "x1", "y0")]]
+    rows = chars.select(*keys, text.alias("text"), _kind(text).alias("kind"), number("tenths").alias("tenths"), number("y0").alias("high"), *kept)
+    names, n_keys = rows.columns, len(keys)
+    out = StructType([*rows.schema.fields[:n_keys], StructField("n_marked", LongType()), StructField("text", StringType())]) if whole else StructType([*rows.schema.fields[:n_keys], *chars.select("seq").schema.fields, StructField("text", StringType()), *[StructField(c, DoubleType()) for c in ("size", "x0", "x1", "y0")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pages in _whole_pages(batches, n_keys):
+            text, kind, tenths, y0 = (c.combine_chunks() for c in table.columns[n_keys : n_keys + 4])
+            sized = pc.and_(pc.is_valid(tenths), pc.not_equal(text, "")).to_numpy(zero_copy_only=False)
+            floats = lambda x: pc.fill_null(x, np.nan).to_numpy(zero_copy_only=False)
+            first, raised = _mark(kind.to_numpy(), floats(tenths), sized, floats(y0), pages)
+            end = np.append(first[1:], table.num_rows)
+            opens, closes = np.zeros(table.num_rows, bool), np.zeros(table.num_rows, bool)
+            opens[first[raised]] = closes[end[raised] - 1] = True
+            parts = pc.binary_join_element_wise(pc.if_else(opens, "[", ""), text, pc.if_else(closes, "]", ""), "")
+            cuts = pages if whole else first
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(cuts, table.num_rows), pa.int64()), parts), "")
+            found = [table.column(i).take(pa.array(cuts)) for i in range(n_keys)]
+            if whole:
+                found += [pa.array(np.add.reduceat(opens.astype(np.int64), cuts)), joined]
+            else:
+                of = lambda c, i: table.column(n_keys + 4 + c).take(pa.array(i))
+                found += [of(0, first), joined, of(1, first), of(2, first), of(3, end - 1), of(4, first)]
+            yield from pa.table(found, names=out.names).combine_chunks().to_batches(10_000)
+
+    assert len(names) == n_keys + (4 if whole else 9)
+    return rows.mapInArrow(run, out)
 
 
 def mark_superscripts(chars: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> tuple[DataFrame, DataFrame]:
@@ -29,54 +146,23 @@ def mark_superscripts(chars: DataFrame, keys: tuple[str, ...] = ("doc_id", "page
     article: Art., digits and small letters, of which the last touches the run. Small digits that touch it go on with the run; one that begins with 0
     stays as it is. The row of a run has the place of its first character and the end of its last.
 
-    Pages are one shuffle; all that looks back are windows over a page's characters, however far they look. Null texts
-    are empty, and a null size neither counts nor is small. Repeated seq go by x0. Other columns are left out.
+    Pages are one shuffle and one sort; tasks then read page after page, and hold one with as many more as a batch has. Null
+    texts are empty, and a null size neither counts nor is small. Repeated seq go by x0. Other columns are left out.
     """
-    rows = chars.select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text"), F.col("size").cast("double").alias("size"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0")])
-    rows = rows.withColumns({"digit": F.col("text").rlike(_DIGIT), "blank": F.col("text").rlike(_BLANK), "tenths": F.round("size", 1)}).repartition(*keys)
-    page, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("seq", "x0")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    rows = chars.withColumn("tenths", F.round(F.col("size").cast("double"), 1)).select(*keys, "seq", "text", "size", "x0", "x1", "y0", "tenths")
+    marked = _marked(rows.repartition(*keys).sortWithinPartitions(*keys, "seq", F.col("x0").cast("double")), keys, whole=False)
+    sized = F.bool_or((F.coalesce("text", F.lit("")) != "") & F.col("tenths").isNotNull())
+    sizeless = rows.groupBy(*keys).agg(sized.alias("sized")).where("not sized")
+    return marked, sizeless.select(F.lit("malformed_structure").alias("rule"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), F.lit("no sized characters").alias("detail"))
 
-    # the page's size
-    counted = F.when((F.col("text") != "") & F.col("tenths").isNotNull(), F.lit(1))
-    alike = Window.partitionBy(*keys, "tenths")
-    rows = rows.withColumns({"often": F.count(counted).over(alike), "nth": F.row_number().over(along)})
-    rows = rows.withColumn("since", F.min(F.when(counted == 1, F.col("nth"))).over(alike))
-    body = F.max_by(F.when(F.col("often") > 0, F.col("tenths")), F.when(F.col("often") > 0, F.struct("often", -F.col("since")))).over(page)
-    rows = rows.withColumn("body", body).drop("often", "since")
-    small = F.coalesce(F.col("digit") & (F.col("tenths") < SMALL * F.col("body")), F.lit(False))
-
-    # what stands before a character, blanks left out
-    inked = Window.partitionBy(*keys, "blank").orderBy("seq", "x0")
-    back = [F.col("text") if k == 0 else F.lag("text", k).over(inked) for k in range(4)]
-    stop = reduce(lambda a, b: a & b, [x.isin(*some) for x, some in zip(back, _INTRODUCED, strict=True)])
-    rows = rows.withColumn("stop", F.coalesce(stop, F.lit(False)))
-    rows = rows.withColumn("before", F.lag(F.struct("text", "digit", "tenths", "y0", "stop")).over(inked))
 
-    # whether a character ends an article's number: what its first digit comes after holds for all digits and letters that touch
-    letter = F.col("text").rlike("^[a-z]$")
-    rows = rows.withColumns({"letter": letter, "after_digit": F.coalesce(F.lag("digit").over(along), F.lit(False)), "after_letter": F.coalesce(F.lag(letter).over(along), F.lit(False))})
-    first_digit, first_letter = F.col("digit") & ~F.col("after_digit"), F.col("letter") & ~F.col("after_letter")
-    rows = rows.withColumn("introduced", F.last(F.when(first_digit, F.coalesce(F.col("before.stop"), F.lit(False))), ignorenulls=True).over(upto))
-    rows = rows.withColumn("introduced_before", F.lag("introduced").over(along))
-    suffixed = F.last(F.when(first_letter, F.col("after_digit") & F.coalesce("introduced_before", F.lit(False))), ignorenulls=True).over(upto)
-    rows = rows.withColumn("numbers", F.coalesce(F.when(F.col("digit"), F.col("introduced")).when(F.col("letter"), suffixed), F.lit(False)))
-
-    held = F.col("before.digit") | ((F.length("before.text") == 1) & F.lag("numbers").over(along))
-    starts = small & held & (F.col("before.tenths") >= FULL * F.col("body")) & (F.col("y0") > F.col("before.y0"))
-    rows = rows.withColumns({"small": small, "starts": F.coalesce(starts, F.lit(False)) & (F.col("text") != "0")})
+def superscript_texts(chars: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """keys, n_marked, text: pages' characters with raised runs of digits as [n], joined, and the number of runs.
 
-    # runs: islands of small digits whose first one starts
-    rows = rows.withColumn("goes_on", F.col("small") & F.coalesce(F.lag("small").over(along), F.lit(False)))
-    head = F.last(F.when(~F.col("goes_on"), F.struct("nth", "starts")), ignorenulls=True).over(upto)
-    rows = rows.withColumn("head", head)
-    rows = rows.withColumn("run", F.when(F.col("small") & F.col("head.starts"), F.col("head.nth")).otherwise(F.col("nth")))
-    first = lambda c: F.min_by(c, "nth").alias(c)
-    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "")
-    text = F.when(F.bool_or("starts"), F.concat(F.lit("["), digits, F.lit("]"))).otherwise(digits)
-    marked = rows.groupBy(*keys, "run").agg(first("seq"), text.alias("text"), first("size"), first("x0"), F.max_by("x1", "nth").alias("x1"), first("y0"))
-    sizeless = rows.groupBy(*keys).agg(F.max("body").alias("body")).where("body is null")
-    return marked.drop("run"), sizeless.select(F.lit("malformed_structure").alias("rule"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), F.lit("no sized characters").alias("detail"))
+    chars(keys, text, size, y0) as in mark_superscripts, but unfolded from rows of pages: a page's characters come
+    together and in order, and pages that follow each other differ in their keys. So nothing is shuffled or sorted.
+    """
+    return _marked(chars.select(*keys, "text", "y0", F.round(F.col("size").cast("double"), 1).alias("tenths")), keys, whole=True)
 
 
 def scan_headings(lines: DataFrame, longest: int = 200, heading: str = HEADING, ambiguous: str = AMBIGUOUS, opens: str = OPENS, closes: str = CLOSES) -> tuple[DataFrame, DataFrame]:

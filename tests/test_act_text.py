@@ -122,3 +122,21 @@ def test_articles_end_before_the_next_and_before_annexes(spark):
     twice = spark.createDataFrame([(3, 1, "7"), (3, 1, "8")], "doc_id int, line int, number string")
     assert [r["detail"] for r in act_text.article_texts(twice, lines.where("doc_id = 3"))[1].collect()] == ["empty article text for 7"]
     assert act_text.scan_headings(lines.where("false"))[0].count() == 0 == act_text.article_texts(heads.where("false"), lines.where("false"))[0].count()
+
+
+def test_pages_are_read_once_and_in_any_batches(spark):
+    long = "Art. 7b" + "2" + "x" * 12_000 + "7"
+    pages = [page(1, [("7", *B), ("2", *S)]), page(2, [(long[:-1], *B), ("7", *B), ("23", *S), ("z", *B), ("1", *S)]), page(2, [("2", *S)] + [("x", *B)], page=2), page(3, [("999", *B), ("1", *S), ("0", *S)], page=2), page(None, [("4", *B), ("5", *S)])]
+    chars = spark.createDataFrame([r for p in pages for r in p], CHARS).coalesce(1)
+    marked, sizeless = act_text.mark_superscripts(chars.repartition(3))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1
+    texts = act_text.superscript_texts(chars)
+    plan = texts.drop("text")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort [" not in plan and "Exchange" not in plan
+    want = {(1, 1): ("7[2]", 1), (2, 1): (long + "[23]z1", 1), (2, 2): ("2x", 0), (3, 2): ("999[10]", 1), (None, 1): ("4[5]", 1)}
+    assert {(r["doc_id"], r["page"]): (r["text"], r["n_marked"]) for r in texts.collect()} == want
+    got = {}
+    for r in marked.orderBy("doc_id", "page", "seq").collect():
+        got[r["doc_id"], r["page"]] = got.get((r["doc_id"], r["page"]), "") + r["text"]
+    assert got == {k: v[0] for k, v in want.items()} and sizeless.count() == 0
