@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.sources.staging import dealt
+
 SUBSTANTIVE = ("consistent", "contradictory", "permissible_departure")
 
 
@@ -44,16 +46,15 @@ def cells(runs: DataFrame, judged: DataFrame, key: DataFrame) -> DataFrame:
     """
     by = ["series", "document_id", "arm"]
     is_ = lambda s: F.col("status") == s
-    got = judged.groupBy(*by).agg(
-        F.count_if(is_("correct")).alias("correct"),
-        F.count_if(is_("incorrect")).alias("incorrect"),
-        F.count_if(is_("unresolved")).alias("unresolved"),
-        F.count_distinct(F.when(is_("correct") & F.col("anchored") & F.col("covers"), F.col("item_id"))).alias("covered"),
-        *(F.count_if(F.col(c).isin("correct", "supported")).alias(f"{c}_good") for c in CRITERIA),
-        *(F.count_if(F.col(c).isin("incorrect", "unsupported")).alias(f"{c}_bad") for c in CRITERIA),
-    )
-    base = runs.select(*by, "stratum").distinct().join(got, by, "left").join(key, "document_id", "left")
-    base = base.na.fill(0, ["correct", "incorrect", "unresolved", "covered", "items", *(f"{c}_{g}" for c in CRITERIA for g in ("good", "bad"))])
+    told = {"correct": is_("correct"), "incorrect": is_("incorrect"), "unresolved": is_("unresolved")}
+    told |= {f"{c}_good": F.col(c).isin("correct", "supported") for c in CRITERIA} | {f"{c}_bad": F.col(c).isin("incorrect", "unsupported") for c in CRITERIA}
+    covered = F.when(is_("correct") & F.col("anchored") & F.col("covers"), F.col("item_id"))
+    # items first, so that a distinct count copies no rows; both sums find their rows where they were dealt
+    rows = dealt(judged.select(*by, covered.alias("covered"), *[c.alias(name) for name, c in told.items()]), *by)
+    items = rows.groupBy(*by, "covered").agg(*[F.count_if(name).alias(name) for name in told])
+    got = items.groupBy(*by).agg(*[F.sum(name).alias(name) for name in told], F.count("covered").alias("covered"))
+    base = dealt(dealt(runs.select(*by, "stratum"), *by).distinct().join(got, by, "left"), "document_id").join(key, "document_id", "left")
+    base = base.na.fill(0, ["covered", "items", *told])
     c, i, u = F.col("correct"), F.col("incorrect"), F.col("unresolved")
     dims = {"precision": (c, c + i), "completeness": (F.col("covered"), F.col("items")), "unresolved_share": (u, c + i + u), "confirmed_share": (c, c + i + u)}
     dims |= {f"{x}_accuracy": (F.col(f"{x}_good"), F.col(f"{x}_good") + F.col(f"{x}_bad")) for x in CRITERIA}
@@ -73,15 +74,21 @@ def per_arm(cell_rows: DataFrame) -> DataFrame:
 
 
 def paired_differences(cell_rows: DataFrame) -> DataFrame:
-    """series, document_id, dimension, pair, difference of the rates of mid and off, and of on and mid."""
-    pairs = [("mid_off", "mid", "off"), ("on_mid", "on", "mid")]
-    out = None
-    for name, later, earlier in pairs:
-        a = cell_rows.where(F.col("arm") == later).select("series", "document_id", "dimension", F.col("rate").alias("a"))
-        b = cell_rows.where(F.col("arm") == earlier).select("series", "document_id", "dimension", F.col("rate").alias("b"))
-        got = a.join(b, ["series", "document_id", "dimension"], "left").select("series", "document_id", "dimension", F.lit(name).alias("pair"), F.round(F.col("a") - F.col("b"), 9).alias("difference"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """series, document_id, dimension, pair, difference of the rates of mid and off, and of on and mid.
+
+    The cells of a document and dimension are brought together once; each later cell meets each earlier one, or none.
+    """
+    by = ["series", "document_id", "dimension"]
+    met = cell_rows.where(F.col("arm").isin("off", "mid", "on")).groupBy(*by).agg(F.collect_list(F.struct("arm", "rate")).alias("cells"))
+    known = F.col("series").isNotNull() & F.col("document_id").isNotNull() & F.col("dimension").isNotNull()
+    rates = lambda arm: F.transform(F.filter("cells", lambda x: x["arm"] == arm), lambda x: x["rate"])
+
+    def pairs(name: str, later: str, earlier: str) -> Column:
+        others = F.when(known & (F.size(rates(earlier)) > 0), rates(earlier)).otherwise(F.array(F.lit(None).cast("double")))
+        pair = lambda a, b: F.struct(F.lit(name).alias("pair"), F.round(a - b, 9).alias("difference"))
+        return F.flatten(F.transform(rates(later), lambda a: F.transform(others, lambda b: pair(a, b))))
+
+    return met.select(*by, F.inline(F.concat(pairs("mid_off", "mid", "off"), pairs("on_mid", "on", "mid"))))
 
 
 def reduce_attempts(attempts: DataFrame) -> DataFrame:
